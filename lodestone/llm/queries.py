@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import bpe_decode, bpe_encode
 from lodestone.llm.common import load
 from lodestone.llm.exact_dedup import exact_groups
+from lodestone.llm.fingerprints import neighbour_fingerprints
+from lodestone.llm.warc import archive_folder, read_bundles, write_bundles
 
 
 def vocabulary() -> str:
@@ -19,6 +21,35 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the written archive."""
+    index = write_bundles(load(spark, sf_dir, "pages"), archive_folder(spark))
+    return read_bundles(index, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), 'string_agg', '')
+    AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, compared with its edited text's and its neighbour's."""
+    return neighbour_fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count, and digests of its ids and of the decoded text."""
     docs = load(spark, sf_dir, "documents")
@@ -52,6 +83,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_warc": op5_warc,
+        "op8_fingerprints": op8_fingerprints,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
     }
@@ -59,5 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc": OP5_SQL,
         "op10_exact_dedup": OP10_SQL,
     }
