@@ -11,6 +11,7 @@ from lodestone.llm.bpe import bpe_decode, bpe_encode
 from lodestone.llm.common import load
 from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.fingerprints import neighbour_fingerprints
+from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
 from lodestone.llm.warc import archive_folder, read_bundles, write_bundles
 
 
@@ -21,6 +22,69 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cell, multiplier, probability and whether it is sampled."""
+    mixed = with_probabilities(load(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        F.col("__source").alias("source"),
+        F.col("__lang").alias("lang"),
+        F.col("__topic").alias("topic"),
+        F.col("__tokens").alias("tokens"),
+        F.round("__multiplier", 6).alias("multiplier"),
+        F.round("__prob", 6).alias("prob"),
+        F.col("__sampled").alias("sampled"),
+    )
+
+
+def op4_sql() -> str:
+    """The same raking, its rounds unrolled, and the scale by sorting instead of steps."""
+    parts = [
+        r"""
+k AS (
+  SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+    CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, ' = ') THEN 'config' WHEN contains(t, '@') THEN 'contact'
+      WHEN contains(t, 'icense') THEN 'licensed' WHEN length(t) < 400 THEN 'short' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(t, '[^ 	-]+'))::BIGINT AS tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+),
+c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS mass FROM k GROUP BY ALL),
+total AS (SELECT sum(mass) AS total FROM c),
+w0 AS (SELECT *, mass AS weight FROM c)"""
+    ]
+    for d in DIMENSIONS:
+        parts.append(
+            f"s_{d} AS (SELECT {d}, r / sum(r) OVER () AS share FROM "
+            f"(SELECT {d}, CASE WHEN sum(mass) > 0 THEN pow(sum(mass), {FLATTEN[d]}) ELSE 0 END AS r FROM c GROUP BY {d}))"
+        )
+    n = 0
+    for _ in range(ROUNDS):
+        for d in DIMENSIONS:
+            parts.append(
+                f"w{n + 1} AS (SELECT w{n}.source, w{n}.lang, w{n}.topic, mass, CASE WHEN m.s > 0 THEN "
+                f"weight * (share * (SELECT total FROM total) / m.s) ELSE 0 END AS weight FROM w{n} "
+                f"JOIN (SELECT {d}, sum(weight) AS s FROM w{n} GROUP BY {d}) m USING ({d}) JOIN s_{d} USING ({d}))"
+            )
+            n += 1
+    parts.append(
+        f"""f AS (SELECT *, CASE WHEN mass > 0 THEN weight / mass ELSE 0 END AS m FROM w{n}),
+o AS (SELECT *, sum(mass) OVER w - mass AS spent, sum(mass * m) OVER () - (sum(mass * m) OVER w - mass * m) AS rest
+  FROM f WINDOW w AS (ORDER BY m DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
+scale AS (SELECT ({FRACTION} * (SELECT total FROM total) - spent) / rest AS x FROM o
+  WHERE m * (({FRACTION} * (SELECT total FROM total) - spent) / rest) < 1 ORDER BY m DESC LIMIT 1)"""
+    )
+    return (
+        "WITH "
+        + ",\n".join(p.strip() for p in parts)
+        + """
+SELECT k.doc_id, k.source, k.lang, k.topic, k.tokens, round(m, 6) AS multiplier,
+  round(least(1.0, m * (SELECT x FROM scale)), 6) AS prob,
+  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0
+    < least(1.0, m * (SELECT x FROM scale)) AS sampled
+FROM k JOIN f USING (source, lang, topic)"""
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the written archive."""
     index = write_bundles(load(spark, sf_dir, "pages"), archive_folder(spark))
@@ -83,6 +147,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
         "op8_fingerprints": op8_fingerprints,
         "op9_bpe": op9_bpe,
@@ -92,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing": op4_sql(),
         "op5_warc": OP5_SQL,
         "op10_exact_dedup": OP10_SQL,
     }
