@@ -11,6 +11,7 @@ from lodestone.llm.bpe import bpe_decode, bpe_encode
 from lodestone.llm.common import load
 from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.fingerprints import neighbour_fingerprints
+from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
 from lodestone.llm.warc import archive_folder, read_bundles, write_bundles
 
@@ -45,7 +46,8 @@ k AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
     CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, ' = ') THEN 'config' WHEN contains(t, '@') THEN 'contact'
       WHEN contains(t, 'icense') THEN 'licensed' WHEN length(t) < 400 THEN 'short' ELSE 'prose' END AS topic,
-    len(regexp_extract_all(t, '[^ 	-]+'))::BIGINT AS tokens
+    len(regexp_extract_all(t, '[^ 	-
+]+'))::BIGINT AS tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)
 ),
 c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS mass FROM k GROUP BY ALL),
@@ -109,6 +111,30 @@ FROM p
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle set size and the smallest document that links reach."""
+    return jaccard_components(load(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.reached = p.a
+)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(reached) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, sh
+"""
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, compared with its edited text's and its neighbour's."""
     return neighbour_fingerprints(load(spark, sf_dir, "documents"))
@@ -149,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_fingerprints": op8_fingerprints,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
@@ -159,5 +186,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": op4_sql(),
         "op5_warc": OP5_SQL,
+        "op6_jaccard_join": OP6_SQL,
         "op10_exact_dedup": OP10_SQL,
     }
