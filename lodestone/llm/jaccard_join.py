@@ -545,7 +545,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of repeated rows of that id one stays. Documents with a null id stay.
     """
-    stay = stored(jaccard_components(docs, id_col, text_col).where(f"`{id_col}` <=> component_id"), "stay")
+    stay = stored(jaccard_components(docs, id_col, text_col).where(f"`{id_col}` is null or `{id_col}` = component_id"), "stay")
     ids = stay.groupBy(F.col(id_col).alias("__stay")).agg(F.count(F.lit(1)).alias("__n"))
     joined = docs.join(ids, F.col(id_col).eqNullSafe(F.col("__stay")))
     if not ids.where("__n > 1 and __stay is not null").isEmpty():

@@ -13,6 +13,7 @@ from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.fingerprints import neighbour_fingerprints
 from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
+from lodestone.llm.toxicity import THRESHOLD, fitted_on, held_out, score_toxicity
 from lodestone.llm.warc import archive_folder, read_bundles, write_bundles
 
 
@@ -135,6 +136,19 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(reached) AS component_id FRO
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the network fitted on the labels that are not held out."""
+    docs = load(spark, sf_dir, "documents")
+    network = fitted_on(docs, load(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs.select("doc_id", "text"), network)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, compared with its edited text's and its neighbour's."""
     return neighbour_fingerprints(load(spark, sf_dir, "documents"))
@@ -176,6 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_toxicity": op7_toxicity,
         "op8_fingerprints": op8_fingerprints,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
