@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import bpe_decode, bpe_encode
@@ -13,6 +13,7 @@ from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.fingerprints import neighbour_fingerprints
 from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
+from lodestone.llm.secrets import find_secrets
 from lodestone.llm.toxicity import THRESHOLD, fitted_on, held_out, score_toxicity
 from lodestone.llm.warc import archive_folder, read_bundles, write_bundles
 
@@ -24,6 +25,27 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts and digest of the base findings, and all spans."""
+    found = find_secrets(load(spark, sf_dir, "documents"))
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_joined(F.filter("spans", lambda s: s["kind"] != "learned")), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+        of("learned").alias("n_learned"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, multiplier, probability and whether it is sampled."""
     mixed = with_probabilities(load(spark, sf_dir, "documents"))
@@ -187,6 +209,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": op2_secrets,
         "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
