@@ -13,6 +13,7 @@ from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.fingerprints import neighbour_fingerprints
 from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
+from lodestone.llm.pii import KINDS, find_personal_data
 from lodestone.llm.secrets import find_secrets
 from lodestone.llm.toxicity import THRESHOLD, fitted_on, held_out, score_toxicity
 from lodestone.llm.warc import archive_folder, read_bundles, write_bundles
@@ -46,6 +47,23 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of the base findings, and all spans."""
+    found = find_personal_data(load(spark, sf_dir, "documents"))
+
+    def of(column: str, kind: str) -> Column:
+        return F.filter(column, lambda s: s["kind"] == kind)
+
+    both = F.concat(*[F.array_sort(F.concat(of("base", k), of("found", k))) for k in KINDS])
+    return found.select(
+        "doc_id",
+        *[F.size(of("base", k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(both).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, multiplier, probability and whether it is sampled."""
     mixed = with_probabilities(load(spark, sf_dir, "documents"))
@@ -210,6 +228,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secrets": op2_secrets,
+        "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
