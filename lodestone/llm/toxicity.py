@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import text_or_empty
 
 WINDOW, STRIDE = 32, 16
-MAX_TOXIC, MAX_CLEAN = 1500, 2000
+MAX_TOXIC, MAX_CLEAN = 1200, 1800
 THRESHOLD = 0.7
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 12, 8
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 16
@@ -43,6 +43,8 @@ GRAMS, BEGINNINGS = (3, 4, 5), (6, 7, 8, 9, 10)
 EPOCHS, BATCH, RATE = 5, 128, 0.01
 #: Words that a task remembers; beyond it the table starts anew.
 CACHE_WORDS = 300_000
+#: Words whose n-grams are expanded at once during the fit.
+CHUNK_WORDS = 8192
 WORD = re.compile(r"\w+")
 
 
@@ -187,7 +189,7 @@ class Network:
 def windows_of(rows: np.ndarray) -> np.ndarray:
     """All overlapping windows over a text's word rows; short texts are padded with 0."""
     n = max(1, -(-(len(rows) - WINDOW) // STRIDE) + 1) if len(rows) > WINDOW else 1
-    padded = np.zeros((n - 1) * STRIDE + WINDOW, dtype=np.int64)
+    padded = np.zeros((n - 1) * STRIDE + WINDOW, dtype=np.int32)
     padded[: len(rows)] = rows
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
@@ -225,7 +227,7 @@ class Scorer:
         index = self.index
         found = [windows_of(np.fromiter(map(index.__getitem__, w), dtype=np.int64, count=len(w))) for w in cut]
         owner = np.repeat(np.arange(len(found)), [len(w) for w in found])
-        every = np.concatenate(found) if found else np.zeros((0, WINDOW), dtype=np.int64)
+        every = np.concatenate(found) if found else np.zeros((0, WINDOW), dtype=np.int32)
         logits = np.concatenate([self.network.forward(self.table, every[a : a + 4096])[0] for a in range(0, len(every), 4096)]) if len(every) else np.zeros(0)
         return logits, owner, found
 
@@ -261,16 +263,23 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
     usable = np.array([len(c) > 0 for c in cut], dtype=bool)
     labels = np.asarray(labels)[usable].astype(np.int64)
     cut = [c for c in cut if c]
-    if len(cut) < 20 or labels.min() == labels.max():
+    n_texts = len(cut)
+    if n_texts < 20 or labels.min() == labels.max():
         return net
     r = np.random.Generator(np.random.PCG64(seed))
     vocabulary = list(dict.fromkeys(chain.from_iterable(cut)))
     index = {w: k for k, w in enumerate(vocabulary)}
     encoded = [w.encode("utf-8", "surrogatepass") for w in vocabulary]
-    rows, (grams, owner) = word_rows(encoded), grams_of(encoded)
-    bounds = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
-    texts_rows = [np.fromiter(map(index.__getitem__, c), dtype=np.int64, count=len(c)) for c in cut]
-    aside = r.random(len(cut)) < 0.2  # for the calibration
+    rows = word_rows(encoded)
+    parts, bounds = [], [np.zeros(1, dtype=np.int64)]
+    for at in range(0, len(encoded), CHUNK_WORDS):
+        own, owner = grams_of(encoded[at : at + CHUNK_WORDS])
+        parts.append(own)
+        bounds.append(bounds[-1][-1] + np.cumsum(np.bincount(owner)))
+    grams, bounds = np.concatenate(parts), np.concatenate(bounds)
+    texts_rows = [np.fromiter(map(index.__getitem__, c), dtype=np.int32, count=len(c)) for c in cut]
+    del parts, cut, vocabulary, index
+    aside = r.random(n_texts) < 0.2  # for the calibration
     train = np.flatnonzero(~aside)
 
     def grams_in(words: np.ndarray) -> np.ndarray:
@@ -288,13 +297,13 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
     weight = np.float32(min(4.0, 2 * (len(train) - labels[train].sum()) / max(1, labels[train].sum())))
 
     def all_logits() -> list[np.ndarray]:
-        x, _ = net.word_vectors(encoded)
+        x = np.concatenate([net.word_vectors(encoded[a : a + CHUNK_WORDS])[0] for a in range(0, len(encoded), CHUNK_WORDS)])
         if steps == 0:
             guess = np.concatenate([[0], x[:, 0] + x[:, WORD_DIM]])
             return [guess[w].max(axis=1) for w in windows]
         table = net.projections(x)
         every = np.concatenate(windows)
-        flat = np.concatenate([net.forward(table, every[a : a + 4096])[0] for a in range(0, len(every), 4096)])
+        flat = np.concatenate([net.forward(table, every[a : a + 2048])[0] for a in range(0, len(every), 2048)])
         return np.split(flat, np.cumsum([len(w) for w in windows])[:-1])
 
     for epoch in range(EPOCHS):
