@@ -493,9 +493,10 @@ def candidate_edges(docs: DataFrame, described: DataFrame, sets: DataFrame, text
             ok = bitmaps_pass(b["map_a"].to_pylist(), b["map_b"].to_pylist(), b["size_a"].to_numpy(), b["size_b"].to_numpy())
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    short = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(keep, "a long, b long")
+    # Both sides of these joins grow with the documents: sort-merge at every size.
+    short = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(keep, "a long, b long")
     members = scanned.where("b is null").select(F.col("key").alias("grp"), "a", "size")
-    parts = _blocked(members, LIST_BLOCK // 2, "1").join(marks.select(F.col("sid").alias("a"), "bitmap"), "a")
+    parts = _blocked(members, LIST_BLOCK // 2, "1").join(marks.select(F.col("sid").alias("a"), "bitmap").hint("merge"), "a")
     long = _long_list_edges(parts.select("part", "a", "size", "bitmap"))
     return stored(short.unionByName(long), "candidates")
 
@@ -525,8 +526,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = text_or_empty(text_col)
     wanted = members.select(F.col("a"), "__id", "__text")
     texts = docs.select(F.col(id_col).alias("__own"), text.alias("text")).withColumn("__key", F.xxhash64("text"))
-    found = texts.join(wanted, (F.col("__key") == F.col("__text")) & F.col("__own").eqNullSafe(F.col("__id"))).select("a", "text")
-    edges = _exact_edges(parts.join(found, "a").select("part", F.col("a").alias("digest"), "text"))
+    found = texts.join(wanted.hint("merge"), (F.col("__key") == F.col("__text")) & F.col("__own").eqNullSafe(F.col("__id"))).select("a", "text")
+    edges = _exact_edges(parts.join(found.hint("merge"), "a").select("part", F.col("a").alias("digest"), "text"))
     labels = connected_components(stored(edges, "links"))
     keyed = stored(
         rows.join(labels, rows["digest"] == labels["node"], "left").select(
