@@ -28,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Pieces that a task remembers; beyond it the table starts anew.
 CACHE_PIECES = 400_000
@@ -227,20 +228,23 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ids ARRAY<INT>``: the token ids of every whole text."""
+def bpe_encode(
+    docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id, ids ARRAY<INT>`` and the columns to ``keep``: the token ids of every whole text."""
     spec = _vocabulary(docs.sparkSession, vocab_path)
+    names = list(dict.fromkeys([id_col, *keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec.value)
         for whole in batches:
             for batch in _slices(whole, 1000):
-                flat, bounds = bpe.encode(batch.column(1).to_pylist())
+                flat, bounds = bpe.encode(batch.column(len(names)).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*names, "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -15,6 +15,7 @@ from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
 from lodestone.llm.pii import KINDS, find_personal_data
 from lodestone.llm.secrets import find_secrets
+from lodestone.llm.substring_dedup import duplicate_spans
 from lodestone.llm.toxicity import THRESHOLD, fitted_on, held_out, score_toxicity
 from lodestone.llm.warc import archive_folder, read_bundles, write_bundles
 
@@ -26,6 +27,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span that repeats a passage of a document with a smaller id, in code points."""
+    return duplicate_spans(load(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_chunks", "first_id")
+
+
 def _joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -227,6 +233,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_secrets": op2_secrets,
         "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
