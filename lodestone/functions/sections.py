@@ -15,6 +15,7 @@ LEVELS = (2, 3, 4, 5)
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 #: Tokens kept free for the part number and for what token counters add.
 SAFETY = 30
+PART = "phần"
 _HEADING = re.compile(r"#{1,6}(\s|$)")
 SECTION_TYPE = T.ArrayType(T.StructType().add("breadcrumb", T.StringType()).add("content", T.StringType()))
 
@@ -122,17 +123,17 @@ def recursive_split(text: str, budget: int, count: Callable[[str], int], separat
     return out
 
 
-def guarded(content: str, header_of: Callable[[str], str], count: Callable[[str], int], cap: int) -> list[str]:
+def guarded(content: str, header: str, count: Callable[[str], int], cap: int) -> list[str]:
     """Contents of the parts of one section above the cap; each fits below its header.
 
     Parts whose header and body still overflow are split again with less room, as long
     as that makes them smaller.
     """
-    room = max(cap - count(header_of("")) - SAFETY, 1)
+    room = max(cap - count(header) - SAFETY, 1)
     parts = recursive_split(content, room, count)
     k = 0
     while k < len(parts):
-        over = count(header_of(parts[k])) - cap
+        over = count(f"{header} ({PART} {k + 1}/{len(parts)})\n\n{parts[k]}") - cap
         if over > 0:
             smaller = recursive_split(parts[k], max(room - over - 5, 1), count)
             if len(smaller) > 1:
@@ -147,16 +148,12 @@ def whitespace_tokens(text: str) -> int:
 
 
 def guard_column(header: Column, content: Column, cap: int, counter: Callable[[str], int] = whitespace_tokens) -> Column:
-    """Parts of the content of a section above the cap. ``header`` is its context header.
-
-    The numbered headers are a few tokens longer than the plain one; the safety margin
-    has room for them.
-    """
+    """Parts of the content of a section above the cap. ``header`` is its context header."""
 
     @F.pandas_udf("array<string>")
     def split(headers: pd.Series, contents: pd.Series) -> pd.Series:
         return pd.Series(
-            [guarded(c, lambda part, h=h: f"{h}\n\n{part}", counter, cap) for h, c in zip(headers, contents, strict=True)]
+            [guarded(c, h, counter, cap) for h, c in zip(headers, contents, strict=True)]
         )
 
     return split(header, content)

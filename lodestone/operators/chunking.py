@@ -45,13 +45,13 @@ def chunk_articles(
     text = with_context(F.col("title"), F.col("s.breadcrumb"), F.col("url"), F.col("s.content"))
     rows = rows.withColumn("tokens", count_column(text))
     if max_tokens is None:
-        rows = rows.withColumn("parts", F.array("s.content"))
+        rows = rows.withColumn("parts", F.array("s.content")).withColumn("over", F.lit(False))
     else:
-        over = rows.where(F.col("tokens") > max_tokens).withColumn("parts", guard_column(header, F.col("s.content"), max_tokens, counter))
-        rows = rows.where(F.col("tokens") <= max_tokens).withColumn("parts", F.array("s.content")).unionByName(over)
+        over = rows.where(F.col("tokens") > max_tokens).withColumn("parts", guard_column(header, F.col("s.content"), max_tokens, counter)).withColumn("over", F.lit(True))
+        rows = rows.where(F.col("tokens") <= max_tokens).withColumn("parts", F.array("s.content")).withColumn("over", F.lit(False)).unionByName(over)
     split = rows.select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "content"))
-    number = F.when(F.col("n") > 1, F.concat((F.col("part") + 1).cast("string"), F.lit("/"), F.col("n").cast("string")))
-    suffix = F.when(F.col("n") > 1, F.concat(F.lit(f" ({PART} "), number, F.lit(")"))).otherwise(F.lit(""))
+    number = F.when(F.col("over"), F.concat((F.col("part") + 1).cast("string"), F.lit("/"), F.col("n").cast("string")))
+    suffix = F.when(F.col("over"), F.concat(F.lit(f" ({PART} "), number, F.lit(")"))).otherwise(F.lit(""))
     crumb = F.when(F.col("s.breadcrumb") != "", F.concat("s.breadcrumb", suffix)).otherwise(F.trim(suffix))
     full = with_context(F.col("title"), crumb, F.col("url"), F.col("content"))
     chunks = split.select(

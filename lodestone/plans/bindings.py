@@ -15,16 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, cut: int = 0) -> DataFrame:
     """``documents`` in the article format: every fourth line becomes a header.
 
     Type is the language, slug the id. Marks that mean something in markdown and blank
-    lines are taken out first, so that SQL can say the same.
+    lines are taken out first, so that SQL can say the same. The last ``cut`` lines go.
     """
     plain = F.translate(F.coalesce("text", F.lit("")), "#`~\r", "")
     lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     marked = F.transform(
-        lines,
+        F.slice(lines, F.lit(1), F.greatest(F.size(lines) - cut, F.lit(0))),
         lambda x, i: F.when(i % 8 == 3, F.concat(F.lit("## "), x)).when(i % 8 == 7, F.concat(F.lit("### "), x)).otherwise(x),
     )
     slug = F.col("doc_id").cast("string")
@@ -37,10 +37,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later delivery: every tenth article, its last header line onwards cut off."""
-    return articles(spark, sf_dir).where(F.col("article_slug").cast("long") % 10 == 0).withColumn(
-        "text", F.regexp_replace("text", r"(?s)\n##+ [^\n]*(?:\n(?!##)[^\n]*)*$", "")
-    )
+    """A later delivery: every tenth article without its last three lines."""
+    return articles(spark, sf_dir, cut=3).where(F.col("article_slug").cast("long") % 10 == 0)
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,50 +75,53 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ARTICLES_SQL = f"""
-a_lines AS (
-  SELECT lang AS article_type, doc_id::VARCHAR AS article_slug,
-    list_filter(list_transform(string_split(translate(coalesce(text, ''), '#`~' || chr(13), ''), chr(10)),
-      lambda x: trim(x)), lambda x: x <> '') AS ls
-  FROM documents
+def _sections_sql(prefix: str, cut: int, where: str) -> str:
+    """CTEs ``<prefix>articles, sections, passages, chunks``; the k-th section begins at line 4k."""
+    return rf"""
+{prefix}lines AS (
+  SELECT lang AS article_type, doc_id::VARCHAR AS article_slug, list_slice(ls, 1, len(ls) - {cut}) AS ls FROM (
+    SELECT lang, doc_id, list_filter(list_transform(string_split(translate(coalesce(text, ''), '#`~' || chr(13), ''), chr(10)),
+      lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents WHERE {where})
 ),
-articles AS (
+{prefix}articles AS (
   SELECT article_type, article_slug, ls, '# SOURCE_URL: {SITE}/' || article_type || '/' || article_slug || '/' || chr(10) || chr(10)
     || '# Doc ' || article_slug || chr(10) || chr(10) || '{BOILERPLATE}' || chr(10) || chr(10)
     || array_to_string(list_transform(ls, lambda x, i: CASE WHEN i % 8 = 4 THEN '## ' || x WHEN i % 8 = 0 THEN '### ' || x ELSE x END), chr(10)) AS text
-  FROM a_lines
-)"""
-
-#: Sections of the articles above: the k-th begins at line 4k, and needs a line under its header.
-SECTIONS_SQL = (
-    ARTICLES_SQL
-    + f""",
-a_parts AS (
-  SELECT article_type, article_slug, ls, unnest(range(0, len(ls) // 4 + 1)) AS k FROM articles
+  FROM {prefix}lines
+),
+{prefix}parts AS (
+  SELECT article_type, article_slug, ls, unnest(range(0, len(ls) // 4 + 1)) AS k FROM {prefix}articles
 ),
-sections AS (
+{prefix}sections AS (
   SELECT article_type, article_slug, '{SITE}/' || article_type || '/' || article_slug || '/' AS url, 'Doc ' || article_slug AS title, k AS nth,
     CASE WHEN k = 0 THEN '' WHEN k % 2 = 1 THEN ls[4 * k] ELSE ls[4 * k - 4] || ' > ' || ls[4 * k] END AS breadcrumb,
     CASE WHEN k = 0 THEN '' WHEN k % 2 = 1 THEN '## ' || ls[4 * k] || chr(10) ELSE '### ' || ls[4 * k] || chr(10) END
       || array_to_string(ls[4 * k + 1 : least(4 * k + 3, len(ls))], chr(10)) AS content
-  FROM a_parts WHERE len(ls) > 4 * k
+  FROM {prefix}parts WHERE len(ls) > 4 * k
 ),
-passages AS (
-  SELECT article_type AS type, article_slug, title AS article_title, url AS article_url, breadcrumb AS section_path,
+{prefix}passages AS (
+  SELECT article_type AS type, article_slug, title AS article_title, url AS article_url, breadcrumb AS section_path, content,
     '[Chủ đề: ' || title || CASE WHEN breadcrumb <> '' THEN ' | Mục: ' || breadcrumb ELSE '' END || ' | Nguồn: ' || url || ']'
       || chr(10) || chr(10) || content AS text,
     (row_number() OVER (PARTITION BY article_type, article_slug ORDER BY nth) - 1)::INT AS chunk_idx,
     article_type || ':' || article_slug || ':' || (row_number() OVER (PARTITION BY article_type, article_slug ORDER BY nth) - 1) AS name
-  FROM sections
+  FROM {prefix}sections
 ),
-chunks AS (
+{prefix}chunks AS (
   SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
     || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
-    len(regexp_extract_all(text, '\\S+'))::INT AS token_count
-  FROM (SELECT *, sha1(unhex('f47b6a3e3f0e4b8a9c2e2f8e6a1d7c50') || name::BLOB) AS h FROM passages)
-),
+    len(regexp_extract_all(text, '\S+'))::INT AS token_count
+  FROM (SELECT *, sha1(unhex('f47b6a3e3f0e4b8a9c2e2f8e6a1d7c50') || name::BLOB) AS h FROM {prefix}passages)
+)"""
+
+
+INPUTS_SQL = (
+    _sections_sql("", 0, "true")
+    + ","
+    + _sections_sql("new_", 3, "doc_id % 10 = 0")
+    + r""",
 questions AS (
-  SELECT item_id AS question_id, array_to_string((regexp_split_to_array(trim(text, chr(10) || ' '), '\\s+'))[1:8], ' ') AS question FROM benchmark
+  SELECT item_id AS question_id, array_to_string((regexp_split_to_array(trim(text, chr(10) || ' '), '\s+'))[1:8], ' ') AS question FROM benchmark
 ),
 messages AS (
   SELECT conv_id, turn, conv_id || '-' || turn AS msg_id, role,
@@ -133,8 +134,8 @@ messages AS (
 
 
 def sql(tail: str) -> str:
-    """A query over the bound inputs (CTEs articles, sections, chunks, questions, messages)."""
-    return f"WITH {SECTIONS_SQL.strip()}{',' if tail.lstrip().upper().startswith('CTE') else ''}\n{tail.lstrip().removeprefix('CTE')}"
+    """A query over the bound inputs (CTEs articles, sections, chunks, the same as new_..., questions, messages)."""
+    return f"WITH {INPUTS_SQL.strip()}{',' if tail.lstrip().upper().startswith('CTE') else ''}\n{tail.lstrip().removeprefix('CTE')}"
 
 
 __all__ = ["articles", "changed_articles", "messages", "passages", "questions", "sql", "table"]
