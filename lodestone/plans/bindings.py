@@ -79,7 +79,7 @@ def _sections_sql(prefix: str, cut: int, where: str) -> str:
     """CTEs ``<prefix>articles, sections, passages, chunks``; the k-th section begins at line 4k."""
     return rf"""
 {prefix}lines AS (
-  SELECT lang AS article_type, doc_id::VARCHAR AS article_slug, list_slice(ls, 1, len(ls) - {cut}) AS ls FROM (
+  SELECT lang AS article_type, doc_id::VARCHAR AS article_slug, list_slice(ls, 1, greatest(len(ls) - {cut}, 0)) AS ls FROM (
     SELECT lang, doc_id, list_filter(list_transform(string_split(translate(coalesce(text, ''), '#`~' || chr(13), ''), chr(10)),
       lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents WHERE {where})
 ),

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import search_queries, text_queries
+from lodestone.plans import chat_queries, index_queries, quality_queries, search_queries, text_queries
 
 FLAGSHIP = "bm25_topk"
-MODULES = (text_queries, search_queries)
+MODULES = (text_queries, search_queries, index_queries, quality_queries, chat_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
