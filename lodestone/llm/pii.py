@@ -8,9 +8,9 @@ the same expression that extracts the matches and adding up lengths, in code poi
 Bootstrapping. Every identifier-like word (it holds a digit or @) that meets no base
 finding is a candidate instance. A lexical pattern is the word before and the word
 after. Seeds (base findings) vote for the patterns around them; a candidate has the
-kind whose seeds share its shape (digits as 9, letters as a). Patterns and instances
-form a graph: a pattern's score is the mean score of its distinct instances, an
-instance's the mean of its patterns', seeds stay at 1; after ``ROUNDS`` rounds,
+kind whose seeds share its shape (digits as 9, letters as a, or something @ something). Patterns and instances
+form a graph: a pattern's score is the mean score of its distinct instances, an instance's
+the mean of its patterns' by their number of seeds, seeds stay at 1; after ``ROUNDS`` rounds,
 instances of at least ``CONFIDENT`` that stand in a pattern of at least as much, which
 at least ``SUPPORT`` different seeds support, are new findings.
 
@@ -122,8 +122,9 @@ def labelled(kind: str) -> Callable[[Column], Column]:
 
 
 def shape_of(value: Column) -> Column:
-    """Digits as 9, letters as a, runs of letters as one; the rest stays."""
-    return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "9")
+    """Digits as 9, runs of letters as one a, the rest stays; around an @ everything is one w."""
+    plain = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "9")
+    return F.when(F.contains(value, F.lit("@")), F.regexp_replace(value, "[^@]+", "w")).otherwise(plain)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +199,8 @@ def accepted(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             F.avg("score").alias("trust"), F.count_if("seed").alias("support")
         )
         joined = now.drop("score").join(patterns, ["kind", "pattern"])
-        instances = joined.groupBy("kind", "instance").agg(F.avg("trust").alias("mean"))
+        weight = F.col("support") + 1
+        instances = joined.groupBy("kind", "instance").agg((F.sum(F.col("trust") * weight) / F.sum(weight)).alias("mean"))
         now = stored(
             joined.join(instances, ["kind", "instance"]).select(
                 "kind", "pattern", "instance", "shape", "seed", "trust", "support",
