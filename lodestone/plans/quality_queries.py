@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import BOILERPLATE, word_count
+from lodestone.functions.text import BOILERPLATE
 from lodestone.operators import bm25, evaluate, search
 from lodestone.operators.chunking import MAX_TOKENS, section_rows
 from lodestone.plans.bindings import articles, passages, questions, sql, table
@@ -78,10 +78,6 @@ def smoke_hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.smoke_rates(records(spark, sf_dir))
 
 
-def longest_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(spark, sf_dir).groupBy("type").agg(F.max(word_count(F.col("text"))).alias("max_tokens"))
-
-
 QUERIES = {
     "context_containment": context_containment,
     "containment_rate_gate": containment_rate_gate,
