@@ -8,11 +8,12 @@ the same expression that extracts the matches and adding up lengths, in code poi
 Bootstrapping. Every identifier-like word (it holds a digit or @) that meets no base
 finding is a candidate instance. A lexical pattern is the word before and the word
 after. Seeds (base findings) vote for the patterns around them; a candidate has the
-kind whose seeds share its shape (digits as 9, letters as a, or something @ something). Patterns and instances
-form a graph: a pattern's score is the mean score of its distinct instances, an instance's
-the mean of its patterns' by their number of seeds, seeds stay at 1; after ``ROUNDS`` rounds,
-instances of at least ``CONFIDENT`` that stand in a pattern of at least as much, which
-at least ``SUPPORT`` different seeds support, are new findings.
+kind whose seeds share its shape (digits as 9, letters as a, or something @ something).
+Patterns and instances form a graph: a pattern's score is the mean score of its
+distinct instances, an instance's the mean of its patterns' by their number of seeds,
+seeds stay at 1. After ``ROUNDS`` rounds, instances of at least ``CONFIDENT`` that stand
+in a pattern of at least as much, which at least ``SUPPORT`` different seeds support,
+are new findings.
 
 Null and empty texts have no findings; repeated rows and null ids are scanned each by
 itself; an empty table gives an empty result; columns other than id and text are
