@@ -23,7 +23,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -195,7 +196,9 @@ def windows_of(rows: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Lower-case words; a word said over and over counts once, or it would fill a window alone."""
+    words = WORD.findall(text.lower()) if text else []
+    return list(compress(words, map(ne, words, chain(words[1:], (None,)))))
 
 
 class Scorer:
