@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, chatlog, prompts
 from lodestone.plans.bindings import messages, passages, questions, sql
-from lodestone.plans.search_queries import POSTINGS_SQL
+from lodestone.plans.search_queries import POSTINGS_SQL, sparse_index
+from lodestone.sources.tables import materialised
 
 #: Ten days after the first conversation of the log.
 NOW_MS = 1_700_000_000_000 + 864_000_000
@@ -15,8 +16,8 @@ NOW_MS = 1_700_000_000_000 + 864_000_000
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Questions, and BM25 hits with their chunks; every fourth question finds nothing."""
-    chunks, asked = passages(spark, sf_dir), questions(spark, sf_dir)
-    top = bm25.sparse_topk(asked.where("question_id % 4 <> 3"), bm25.term_frequencies(chunks), bm25.corpus_stats(chunks))
+    chunks, asked = materialised(passages(spark, sf_dir), "chunks"), questions(spark, sf_dir)
+    top = bm25.sparse_topk(asked.where("question_id % 4 <> 3"), *sparse_index(chunks))
     full = top.select("question_id", "chunk_id", "rank").join(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id")
     return asked, full.withColumn("score", F.lit(None).cast("double"))
 

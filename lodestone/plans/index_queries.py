@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +9,12 @@ from lodestone.operators import index as ix
 from lodestone.operators.chunking import chunk_articles
 from lodestone.plans.bindings import articles, changed_articles, passages, sql, table
 from lodestone.sources.files import load_conversations, read_qa_cases, save_conversations
+from lodestone.sources.tables import scratch
 from lodestone.streaming.ingest import incremental_ingest
 
 DIMENSION = 2
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the session, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _slug() -> Column:
     return F.col("article_slug").cast("long")
 

@@ -9,7 +9,7 @@ from lodestone.functions.text import BOILERPLATE
 from lodestone.operators import bm25, evaluate, search
 from lodestone.operators.chunking import MAX_TOKENS, section_rows
 from lodestone.plans.bindings import articles, passages, questions, sql, table
-from lodestone.plans.search_queries import HYBRID_SQL, with_vectors
+from lodestone.plans.search_queries import HYBRID_SQL, sparse_index, with_vectors
 
 BASELINES = {"en": 0.6, "de": 0.99}
 
@@ -55,7 +55,7 @@ def sample_cases_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the right article and the right context for every question in three modes."""
     chunks, asked = with_vectors(spark, sf_dir)
-    postings, stats = bm25.term_frequencies(chunks), bm25.corpus_stats(chunks)
+    postings, stats = sparse_index(chunks)
     sparse = bm25.sparse_topk(asked, postings, stats, k=search.CANDIDATES)
     dense = search.dense_topk(asked, chunks, k=search.CANDIDATES)
     parts = {"dense": dense.where("rank <= 5"), "sparse": sparse.where("rank <= 5"), "hybrid": search.hybrid_search(dense, sparse)}

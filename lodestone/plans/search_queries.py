@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import query_vector, terms
 from lodestone.operators import bm25, search
 from lodestone.plans.bindings import passages, questions, sql, table
+from lodestone.sources.tables import materialised
+
+
+def sparse_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored postings and statistics of chunks."""
+    return materialised(bm25.term_frequencies(chunks), "postings"), materialised(bm25.corpus_stats(chunks), "stats")
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = passages(spark, sf_dir)
-    return chunks, bm25.term_frequencies(chunks), bm25.corpus_stats(chunks)
+    chunks = materialised(passages(spark, sf_dir), "chunks")
+    return chunks, *sparse_index(chunks)
 
 
 def bm25_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +63,15 @@ def with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Chunks and questions, each with the vector whose id is its number modulo the table's size."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("dense"))
     n = vectors.count()
-    chunks = passages(spark, sf_dir).withColumn("v", F.col("article_slug").cast("long") % n).join(vectors, "v")
+    numbered = passages(spark, sf_dir).withColumn("v", F.col("article_slug").cast("long") % n)
+    chunks = materialised(numbered.join(vectors, "v"), "chunks")
     asked = questions(spark, sf_dir).withColumn("v", F.col("question_id") % n).join(vectors, "v")
     return chunks, asked
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     chunks, asked = with_vectors(spark, sf_dir)
-    postings, stats = bm25.term_frequencies(chunks), bm25.corpus_stats(chunks)
+    postings, stats = sparse_index(chunks)
     sparse = bm25.sparse_topk(asked, postings, stats, k=search.CANDIDATES)
     return chunks, asked, search.dense_topk(asked, chunks, k=search.CANDIDATES), sparse
 
