@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces that a task remembers; beyond it the table starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: A vocabulary is broadcast; this bounds its size.
 MAX_VOCAB_BYTES = 64_000_000
 _NONE = np.int64(1) << 40

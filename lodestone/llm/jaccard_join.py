@@ -59,7 +59,7 @@ MEMBER_BLOCK = 2048
 TABLE_ROWS = 1 << 19
 FREQUENT = 16
 #: Elements that a task counts at once for those tables.
-COUNT_BLOCK = 3_000_000
+COUNT_BLOCK = 1_500_000
 _SIZES = 256
 
 
@@ -221,7 +221,7 @@ def _postings(docs: DataFrame, text_col: str, order, boundary: int) -> DataFrame
             block = Shingled(batch.column(0).to_pylist(), hashes)
             word_scores = _looked_up(common, scores, block.words)
             keys, sids, sizes = [], [], []
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             for k in range(batch.num_rows):
                 own, score = block.set_with_scores(k, word_scores)

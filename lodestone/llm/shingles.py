@@ -10,7 +10,7 @@ import xxhash
 WORDS = 5
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 #: Word hashes that a task remembers; beyond it the table starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -20,9 +20,10 @@ stand and are ignored respectively. Empty tables give empty results.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, compress
 from operator import ne
 
@@ -43,8 +44,8 @@ WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 16
 GRAMS, BEGINNINGS = (3, 4, 5), (6, 7, 8, 9, 10)
 EPOCHS, BATCH, RATE = 5, 128, 0.01
 #: Words that a task remembers; beyond it the table starts anew.
-CACHE_WORDS = 300_000
-#: Words whose n-grams are expanded at once during the fit.
+CACHE_WORDS = 150_000
+#: Words whose n-grams are expanded at once.
 CHUNK_WORDS = 8192
 WORD = re.compile(r"\w+")
 
@@ -120,6 +121,10 @@ class Network:
         top = np.maximum.reduceat(values, starts, axis=0)
         return np.concatenate([self.p["words"][rows], top], axis=1), (rows, grams, owner, values, top)
 
+    def vectors_of(self, words: list[bytes]) -> np.ndarray:
+        """The vectors of many words, a block at a time."""
+        return np.concatenate([self.word_vectors(words[a : a + CHUNK_WORDS])[0] for a in range(0, len(words), CHUNK_WORDS)])
+
     def projections(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Each word's share of the gates, by direction; row 0 is the pad, which keeps the state."""
         out = {}
@@ -213,7 +218,8 @@ class Scorer:
         self.table = self.network.projections(np.zeros((0, WORD_DIM + CHAR_DIM), dtype=np.float32))
 
     def learn(self, words: list[str]) -> None:
-        x, _ = self.network.word_vectors([w.encode("utf-8", "surrogatepass") for w in words])
+        encoded = [w.encode("utf-8", "surrogatepass") for w in words]
+        x = self.network.vectors_of(encoded)
         base = len(self.index) + 1
         self.index.update(zip(words, range(base, base + len(words))))
         new = self.network.projections(x)
@@ -244,7 +250,7 @@ class Scorer:
         return np.where(empty, 0.0, 1 / (1 + np.exp(-np.clip(a * top + b, -40, 40))))
 
 
-def _log_odds(features: list[np.ndarray], labels: np.ndarray, rows: int) -> np.ndarray:
+def _log_odds(features: Iterable[np.ndarray], labels: np.ndarray, rows: int) -> np.ndarray:
     """Of each feature: how much likelier a toxic text holds it, as a log ratio; 0 if rare."""
     seen = np.zeros((2, rows))
     for f, y in zip(features, labels, strict=True):
@@ -262,17 +268,20 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
     differs: the calibrated odds are corrected by it.
     """
     net = Network(seed)
-    cut = [words_of(t) for t in texts]
-    usable = np.array([len(c) > 0 for c in cut], dtype=bool)
+    index: dict[str, int] = {}
+    texts_rows = []
+    for text in texts:
+        # Each text becomes numbers at once: lists of words would take most of the memory.
+        words = words_of(text)
+        texts_rows.append(np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int32, count=len(words)))
+    usable = np.array([len(t) > 0 for t in texts_rows], dtype=bool)
     labels = np.asarray(labels)[usable].astype(np.int64)
-    cut = [c for c in cut if c]
-    n_texts = len(cut)
+    texts_rows = [t for t in texts_rows if len(t)]
+    n_texts = len(texts_rows)
     if n_texts < 20 or labels.min() == labels.max():
         return net
     r = np.random.Generator(np.random.PCG64(seed))
-    vocabulary = list(dict.fromkeys(chain.from_iterable(cut)))
-    index = {w: k for k, w in enumerate(vocabulary)}
-    encoded = [w.encode("utf-8", "surrogatepass") for w in vocabulary]
+    encoded = [w.encode("utf-8", "surrogatepass") for w in index]
     rows = word_rows(encoded)
     parts, bounds = [], [np.zeros(1, dtype=np.int64)]
     for at in range(0, len(encoded), CHUNK_WORDS):
@@ -280,8 +289,7 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
         parts.append(own)
         bounds.append(bounds[-1][-1] + np.cumsum(np.bincount(owner)))
     grams, bounds = np.concatenate(parts), np.concatenate(bounds)
-    texts_rows = [np.fromiter(map(index.__getitem__, c), dtype=np.int32, count=len(c)) for c in cut]
-    del parts, cut, vocabulary, index
+    del parts, index
     aside = r.random(n_texts) < 0.2  # for the calibration
     train = np.flatnonzero(~aside)
 
@@ -290,8 +298,8 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
         return np.unique(np.concatenate([grams[bounds[w] : bounds[w + 1]] for w in some]))
 
     # A first guess of each part's weight, from the texts that hold it, finds the windows.
-    net.p["grams"][:, 0] += _log_odds([grams_in(texts_rows[k]) for k in train], labels[train], GRAM_ROWS) / 2
-    net.p["words"][:, 0] += _log_odds([np.unique(rows[texts_rows[k]]) for k in train], labels[train], WORD_ROWS) / 2
+    net.p["grams"][:, 0] += _log_odds((grams_in(texts_rows[k]) for k in train), labels[train], GRAM_ROWS) / 2
+    net.p["words"][:, 0] += _log_odds((np.unique(rows[texts_rows[k]]) for k in train), labels[train], WORD_ROWS) / 2
     windows = [windows_of(t + 1) for t in texts_rows]
     moments = {k: np.zeros_like(v) for k, v in net.p.items()}
     squares = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -300,7 +308,7 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
     weight = np.float32(min(4.0, 2 * (len(train) - labels[train].sum()) / max(1, labels[train].sum())))
 
     def all_logits() -> list[np.ndarray]:
-        x = np.concatenate([net.word_vectors(encoded[a : a + CHUNK_WORDS])[0] for a in range(0, len(encoded), CHUNK_WORDS)])
+        x = net.vectors_of(encoded)
         if steps == 0:
             guess = np.concatenate([[0], x[:, 0] + x[:, WORD_DIM]])
             return [guess[w].max(axis=1) for w in windows]
@@ -409,7 +417,10 @@ def fitted_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     sample = training_sample(docs, labels, id_col, text_col)
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col(id_col)))
     share = usable.agg(F.avg("toxic")).first()[0]
-    return fit(sample["text"].tolist(), sample["toxic"].to_numpy(), share if share and share < 1 else None)
+    network = fit(sample["text"].tolist(), sample["toxic"].to_numpy(), share if share and share < 1 else None)
+    del sample
+    gc.collect()  # the driver goes on with the rest of its jobs
+    return network
 
 
 def drop_toxic(docs: DataFrame, network: Network, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
