@@ -16,16 +16,16 @@ tokens and its cell alone never decides a share; a cell without tokens gets mult
 0. Repeated rows are sampled alike. A null id hashes as the word ``null``. An empty
 table gives an empty result. All of a document's columns are kept.
 
-Only cells and marginals are shuffled, after partial sums; documents meet the cell
-table by an equi-join (broadcast where Spark finds it small, else sort-merge with skew
-splitting). Each round is written once, so its lineage stays short.
+Only cells are shuffled, after partial sums; documents meet the cell table by an
+equi-join (broadcast where Spark finds it small, else sort-merge with skew splitting).
+Each round is written once, so its lineage stays short.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored, text_or_empty
@@ -85,22 +85,18 @@ def raked_cells(
         _keyed(docs, text_col, topic).groupBy(*dims).agg(F.sum("__tokens").cast("double").alias("__mass")), "cells"
     )
     total = float(cells.agg(F.sum("__mass")).first()[0] or 0.0)
-    wanted = {
-        d: stored(_target(cells, f"__{d}", (targets or {}).get(d), flatten[d]), f"target-{d}") for d in DIMENSIONS
-    }
     now = cells.withColumn("__weight", F.col("__mass"))
-    for _ in range(rounds):
+    for d in DIMENSIONS:
+        share = _target(cells, f"__{d}", (targets or {}).get(d), flatten[d]).withColumnRenamed("__share", f"__share_{d}")
+        now = now.join(share.hint("merge"), f"__{d}", "left")
+    now = stored(now, "rake-0")
+    for n in range(rounds):
         for d in DIMENSIONS:
-            key = f"__{d}"
-            have = now.groupBy(key).agg(F.sum("__weight").alias("__sum"))
-            factor = have.join(wanted[d], key, "left").select(
-                key,
-                F.when(F.col("__sum") > 0, F.coalesce("__share", F.lit(0.0)) * total / F.col("__sum"))
-                .otherwise(0.0)
-                .alias("__factor"),
-            )
-            now = now.join(factor, key).withColumn("__weight", F.col("__weight") * F.col("__factor")).drop("__factor")
-        now = stored(now, "raked")
+            # Cells are sums already: a name's cells number as many as the other names' pairs.
+            have = F.sum("__weight").over(Window.partitionBy(f"__{d}"))
+            factor = F.when(have > 0, F.coalesce(F.col(f"__share_{d}"), F.lit(0.0)) * total / have).otherwise(0.0)
+            now = now.withColumn("__weight", F.col("__weight") * factor)
+        now = stored(now, f"rake-{n + 1}")
     rated = stored(
         now.select(
             *dims,
