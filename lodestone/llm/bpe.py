@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import bounded_batches
+
 #: Pieces that a task remembers; beyond it the table starts anew.
 CACHE_PIECES = 250_000
 #: A vocabulary is broadcast; this bounds its size.
@@ -232,6 +234,7 @@ def bpe_encode(
     docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``id, ids ARRAY<INT>`` and the columns to ``keep``: the token ids of every whole text."""
+    bounded_batches(docs.sparkSession)
     spec = _vocabulary(docs.sparkSession, vocab_path)
     names = list(dict.fromkeys([id_col, *keep]))
 

@@ -33,6 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; texts are long and workers are many.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches by bytes, so that memory does not follow text lengths."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read back.
 
@@ -43,12 +53,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``: for small tables of iterative jobs, cleaned up by Spark."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_or_empty(column: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored, text_or_empty
+from lodestone.llm.common import bounded_batches, stored, text_or_empty
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import Shingled, WordHashes, mixed
 
@@ -91,7 +91,7 @@ def may_differ(sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
     return (sizes_a + sizes_b) * (LINK[1] - LINK[0]) // (LINK[1] + LINK[0])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -503,6 +503,7 @@ def candidate_edges(docs: DataFrame, described: DataFrame, sets: DataFrame, text
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` for every row."""
+    bounded_batches(docs.sparkSession)
     described = stored(describe_sets(docs, id_col, text_col), "sets")
     rows = described.where("kind = 0").select(id_col, "text_key", "size", "digest")
     sid = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")

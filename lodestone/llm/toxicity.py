@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_or_empty
+from lodestone.llm.common import bounded_batches, text_or_empty
 
 WINDOW, STRIDE = 32, 16
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
@@ -398,14 +398,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def score_toxicity(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns and ``__score``."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for whole in parts:
             at = whole.schema.names.index(text_col)
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 250):
+                batch = whole.slice(start, 250)
                 scores = pa.array(scorer.scores(batch.column(at).to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "__score"])
 
