@@ -34,7 +34,9 @@ def _paragraphs(body: str) -> Iterator[tuple[tuple[tuple[int, str], ...], str]]:
     held_path: tuple[tuple[int, str], ...] = ()
     fence = ""
     for raw in body.split("\n"):
-        line = "".join(c for c in raw.strip() if c.isprintable())
+        line = raw.strip()
+        if not line.isprintable():
+            line = "".join(c for c in line if c.isprintable())
         if fence:
             if line.startswith(fence):
                 fence = ""
