@@ -2,7 +2,8 @@
 
 An index row is a chunk with ``dense`` and ``sparse``. On disk it is a Parquet table
 partitioned by type and by a bucket of the slug, so a replacement rewrites only the
-buckets that it touches.
+buckets that it touches. Every article of a dated delivery has a marker row (null id)
+with its ``delivered_at`` and ``delivered_hash``, also one that was removed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 KEY = ["type", "article_slug"]
 BUCKETS = 64
+#: What a stored article was delivered as; the later one is the larger, null the least.
+VERSION = {"delivered_at": "long", "delivered_hash": "string"}
 
 
 def _bucket(buckets: int) -> Column:
@@ -24,9 +27,27 @@ def write_index(index: DataFrame, path: str, buckets: int = BUCKETS, mode: str =
     bucketed.repartition("type", "bucket").write.mode(mode).partitionBy("type", "bucket").parquet(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows and markers; Parquet files from before a first delivery lack the version."""
+    schema = spark.read.parquet(path).schema
+    for name, kind in VERSION.items():
+        if name not in schema.names:
+            schema = schema.add(name, kind)
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index's rows; markers of emptied buckets are left out."""
-    return spark.read.parquet(path).where("id is not null").drop("bucket")
+    """The index's rows; markers of articles and of emptied buckets are left out."""
+    return _stored(spark, path).where("id is not null").drop("bucket", *VERSION)
+
+
+def not_outdated(spark: SparkSession, path: str, articles: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``articles`` (with key and version) without those of which the index has had a later version."""
+    touched = articles.select("type", _bucket(buckets).alias("bucket")).distinct()
+    versions = _stored(spark, path).where("article_slug is not null").join(touched, ["type", "bucket"], "left_semi")
+    last = versions.groupBy(*KEY).agg(F.max(F.struct(*VERSION)).alias("__stored"))
+    both = articles.join(last, KEY, "left")
+    return both.where(F.col("__stored").isNull() | (F.col("__stored") <= F.struct(*VERSION))).drop("__stored")
 
 
 def replace_stored(spark: SparkSession, path: str, keys: DataFrame, new: DataFrame, staging: str, buckets: int = BUCKETS) -> None:
@@ -34,13 +55,17 @@ def replace_stored(spark: SparkSession, path: str, keys: DataFrame, new: DataFra
 
     Only touched buckets are read and rewritten. They are staged first, as a table
     cannot be read while it is overwritten. Each bucket keeps a marker row (null id),
-    so one that loses all its rows is overwritten as well.
+    so one that loses all its rows is overwritten as well. Where ``keys`` have a version,
+    it is kept in a marker for each of them.
     """
     touched = keys.select("type", _bucket(buckets).alias("bucket")).distinct()
-    old = spark.read.parquet(path).where("id is not null")
+    old = _stored(spark, path).where("id is not null or article_slug is not null")
     around = old.join(touched, ["type", "bucket"], "left_semi")
-    merged = replace_articles(around, keys, new.withColumn("bucket", _bucket(buckets)))
-    marked = merged.unionByName(touched, allowMissingColumns=True)
+    rows = new.drop(*VERSION).withColumn("bucket", _bucket(buckets)).withColumns({c: F.lit(None).cast(t) for c, t in VERSION.items()})
+    marked = replace_articles(around, keys, rows).unionByName(touched, allowMissingColumns=True)
+    if set(VERSION) <= set(keys.columns):
+        versions = keys.select(*KEY, *VERSION, _bucket(buckets).alias("bucket")).distinct()
+        marked = marked.unionByName(versions, allowMissingColumns=True)
     marked.write.mode("overwrite").parquet(staging)
     spark.read.schema(marked.schema).parquet(staging).repartition("type", "bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"

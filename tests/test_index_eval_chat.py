@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -41,6 +42,19 @@ def test_stored_replacement_and_stream(spark, tmp_path):
         assert sorted((r.article_slug, r.section_path) for r in found.collect()) == [("a", ""), ("a", "x")]
 
 
+def test_older_deliveries_in_later_batches_change_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    ix.write_index(chunk_articles(articles(spark, ("drug", "a", text("a", "x", "y")), ("drug", "b", text("b", "z")))), f"{path}/index")
+    same = sorted(("p", "q"), key=lambda s: hashlib.sha256(text("c", s).encode()).digest(), reverse=True)
+    deliveries = [("a", text("a", "new"), 5), ("b", "", 5), ("a", text("a", "old"), 1), ("b", text("b", "old"), 4), *(("c", text("c", s), 7) for s in same)]
+    for slug, body, at in deliveries:
+        one = articles(spark, ("drug", slug, body)).withColumn("delivered_at", F.lit(at).cast("long"))
+        one.coalesce(1).write.mode("append").parquet(f"{path}/incoming")
+    incremental_ingest(spark, f"{path}/incoming", f"{path}/index", f"{path}/run", files_per_batch=1)
+    found = sorted((r.article_slug, r.section_path) for r in ix.read_index(spark, f"{path}/index").collect())
+    assert found == [("a", ""), ("a", "new"), ("c", ""), ("c", same[0])]
+
+
 def test_failed_articles_stay_out(spark):
     rows = [("t", "ok", "1", [1.0, 2.0]), ("t", "bad", "2", [1.0]), ("t", "bad", "3", [1.0, 2.0]), ("t", "none", "4", None)]
     chunks = spark.createDataFrame(rows, "type string, article_slug string, id string, dense array<float>")
