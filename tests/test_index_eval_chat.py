@@ -1,11 +1,13 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import chatlog, evaluate, prompts
 from lodestone.operators import index as ix
 from lodestone.operators.chunking import chunk_articles
+from lodestone.plans import chat_queries, index_queries
 from lodestone.sources.files import load_conversations, read_articles, read_qa_cases, save_conversations
 from lodestone.streaming.ingest import incremental_ingest
 
@@ -91,6 +93,32 @@ def test_prompt_and_no_hits(spark):
     assert out[2].answer == prompts.NO_RESULT and out[2].sources == [] and out[2].messages is None
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Documents 1 to 12 of five lines each, and a question on each of the first four and on nothing."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    docs = [(k, "en", "\n".join(f"w{k}x{i} common" for i in range(5))) for k in range(1, 13)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{path}/documents.parquet")
+    asked = [(k, f"w{k}x0 w{k}x1") for k in range(1, 5)] + [(5, "nowhere")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_prompt_queries_search_every_question(spark, tables, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    out = {r.question_id: r for r in chat_queries.answer_rows(spark, tables).collect()}
+    assert {k: r.n_sources for k, r in out.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+    assert [k for k, r in out.items() if r.answer == prompts.NO_RESULT] == [5]
+
+
+def test_status_queries_see_every_article(spark, tables):
+    status = index_queries.isolate_failed_articles(spark, tables).collect()
+    assert sorted((int(r.article_slug), r.n_chunks, r.ok) for r in status) == [(k, 2, True) for k in range(1, 13)]
+    report = index_queries.ingest_report(spark, tables).first()
+    assert (report.articles_ok, report.expected_chunks, report.index_points) == (12, 24, 24)
+    assert index_queries.good_chunks(spark, tables).count() == 24
+
+
 def test_chat_log(spark):
     rows = [("c", 0, "m0", "hỏi", None, 10), ("c", 1, "m1", "đáp", ["s1"], 11), ("c", 3, "m3", "lỗi", None, 12)]
     log = spark.createDataFrame(rows, "conv_id string, turn int, msg_id string, text string, sources array<string>, created_at long")
