@@ -54,6 +54,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def qa_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``case_id, type, article_slug, context`` per benchmark item: its whole text; no type without an article."""
+    types = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("type"))
+    return table(spark, sf_dir, "benchmark").join(types, "item_id", "left").select(
+        F.col("item_id").alias("case_id"), "type", F.col("item_id").cast("string").alias("article_slug"), F.col("text").alias("context")
+    )
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as a chat log: markers and sources on answers, times by arithmetic."""
     base = table(spark, sf_dir, "conversations")
@@ -138,4 +146,4 @@ def sql(tail: str) -> str:
     return f"WITH {INPUTS_SQL.strip()}{',' if tail.lstrip().upper().startswith('CTE') else ''}\n{tail.lstrip().removeprefix('CTE')}"
 
 
-__all__ = ["articles", "changed_articles", "messages", "passages", "questions", "sql", "table"]
+__all__ = ["articles", "changed_articles", "messages", "passages", "qa_contexts", "questions", "sql", "table"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import BOILERPLATE
 from lodestone.operators import bm25, evaluate, search
 from lodestone.operators.chunking import MAX_TOKENS, section_rows
-from lodestone.plans.bindings import articles, passages, questions, sql, table
+from lodestone.plans.bindings import articles, passages, qa_contexts, sql
 from lodestone.plans.search_queries import HYBRID_SQL, sparse_index, with_vectors
 
 BASELINES = {"en": 0.6, "de": 0.99}
@@ -64,10 +64,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = part.select(F.col("question_id").alias("case_id"), "chunk_id", "rank", F.lit(mode).alias("mode"))
         ranked = rows if ranked is None else ranked.unionByName(rows)
     payload = chunks.select(F.col("id").alias("chunk_id"), F.col("type").alias("hit_type"), F.col("article_slug").alias("hit_slug"), "text")
-    cases = questions(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.col("lang").alias("type")), "question_id"
-    ).select(F.col("question_id").alias("case_id"), "type", F.col("question_id").cast("string").alias("article_slug"), F.col("question").alias("context"))
-    return evaluate.first_hits(cases, ranked.join(payload, "chunk_id"))
+    return evaluate.first_hits(qa_contexts(spark, sf_dir), ranked.join(payload, "chunk_id"))
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import chatlog, evaluate, prompts
 from lodestone.operators import index as ix
 from lodestone.operators.chunking import chunk_articles
-from lodestone.plans import chat_queries, index_queries
+from lodestone.plans import bindings, chat_queries, index_queries
 from lodestone.sources.files import load_conversations, read_articles, read_qa_cases, save_conversations
 from lodestone.streaming.ingest import incremental_ingest
 
@@ -119,6 +119,17 @@ def test_status_queries_see_every_article(spark, tables):
     assert index_queries.good_chunks(spark, tables).count() == 24
 
 
+def test_contexts_are_whole_texts_also_without_an_article(spark, tmp_path):
+    whole = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, "en", whole)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, whole), (99, whole)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cases = bindings.qa_contexts(spark, str(tmp_path))
+    assert sorted((r.case_id, r.type, r.context) for r in cases.collect()) == [(1, "en", whole), (99, None, whole)]
+    hit = spark.createDataFrame([("m", 1, 1, "en", "1", "one two three four five six seven eight")], "mode string, case_id long, rank int, hit_type string, hit_slug string, text string")
+    records = evaluate.first_hits(cases, hit)
+    assert sorted((r.case_id, r.article_rank, r.chunk_rank) for r in records.collect()) == [(1, 1, None), (99, None, None)]
+
+
 def test_chat_log(spark):
     rows = [("c", 0, "m0", "hỏi", None, 10), ("c", 1, "m1", "đáp", ["s1"], 11), ("c", 3, "m3", "lỗi", None, 12)]
     log = spark.createDataFrame(rows, "conv_id string, turn int, msg_id string, text string, sources array<string>, created_at long")
