@@ -5,15 +5,17 @@ DataFrame operations only. Base findings, leftmost and non-overlapping per kind:
 Luhn check) and ``phone`` (+, 9 to 15 digits). Positions come from splitting a text by
 the same expression that extracts the matches and adding up lengths, in code points.
 
-Bootstrapping. Every identifier-like word (it holds a digit or @) that meets no base
-finding is a candidate instance. A lexical pattern is the word before and the word
-after. Seeds (base findings) vote for the patterns around them; a candidate has the
-kind whose seeds share its shape (digits as 9, letters as a, or something @ something).
-Patterns and instances form a graph: a pattern's score is the mean score of its
-distinct instances, an instance's the mean of its patterns' by their number of seeds,
-seeds stay at 1. After ``ROUNDS`` rounds, instances of at least ``CONFIDENT`` that stand
-in a pattern of at least as much, which at least ``SUPPORT`` different seeds support,
-are new findings.
+Bootstrapping. Every identifier-like word (it holds a digit or @) or row of digit groups,
+without the punctuation around it, that meets no base finding is a candidate instance. A
+lexical pattern is the word before and the word after. Seeds (base findings) vote for the
+patterns around them; a candidate has the kinds of the seeds that share one of its patterns,
+whatever its form. Patterns and instances form a graph: a pattern's score is the mean score
+of its distinct instances, an instance's the mean of its patterns' by their number of seeds,
+seeds stay at 1; a candidate starts at ``LIKE`` if its shape (digits as 9, letters as a, or
+something @ something) is one of its kind's seeds, else at 0. After ``ROUNDS`` rounds,
+instances of at least ``CONFIDENT`` that stand in a pattern of at least as much, which at
+least ``SUPPORT`` different seeds support, are new findings, each of its likeliest kind.
+Where there is no word on either side only candidates of a seed's shape enter.
 
 Null and empty texts have no findings; repeated rows and null ids are scanned each by
 itself; an empty table gives an empty result; columns other than id and text are
@@ -37,6 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 CONFIDENT = 0.8
 SUPPORT = 5
+#: First score of a candidate that looks like a seed of its kind.
+LIKE = 0.5
 #: Fixed expressions of the four kinds, each led by where it may start.
 EXPRESSIONS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -44,7 +48,12 @@ EXPRESSIONS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+CANDIDATE = (
+    r"(?<![^\x20\x09-\x0D])(?:[+(]*+[0-9][0-9().\/-]*+(?:\x20[0-9(][0-9().\/-]*+(?![^\x20\x09-\x0D,;:!?\"'\]}>]))++"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
+#: Punctuation around a candidate; parentheses only where the other one is missing.
+OPENING, CLOSING = r"\"'\[{<,;:", r".,;:!?\"'\]}>"
 #: Characters of the pieces beside a match in which its neighbour words are sought.
 BESIDE = 40
 
@@ -86,6 +95,20 @@ def placed(found: Column, pieces: Column, piece_lengths: Column, match_lengths:
     return F.transform(found, one)
 
 
+def trimmed(span: Column) -> Column:
+    """The span without the punctuation around its value."""
+    value = span["value"]
+    lead, trail = (
+        F.when(F.contains(value, F.lit(other)), F.regexp_extract(value, f"^[{marks}]*+", 0) if first else F.regexp_extract(value, f"(?<![{marks}])[{marks}]++$", 0)).otherwise(
+            F.regexp_extract(value, f"^[{marks}{own}]*+", 0) if first else F.regexp_extract(value, f"(?<![{marks}{own}])[{marks}{own}]++$", 0)
+        )
+        for marks, own, other, first in ((OPENING, "(", ")", True), (CLOSING, ")", "(", False))
+    )
+    start, end = span["start"] + F.length(lead), span["end"] - F.length(trail)
+    core = F.substring(value, F.length(lead) + 1, end - start)
+    return F.struct(start.alias("start"), end.alias("end"), core.alias("value"), span["before"].alias("before"), span["after"].alias("after"))
+
+
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -152,6 +175,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         spans = placed(*(F.col(f"__{c}_{kind}") for c in ("m", "p", "pl", "ml")))
         if kind in KINDS:
             spans = F.filter(spans, passing(kind))
+        else:
+            spans = F.filter(F.transform(spans, trimmed), lambda c: c["start"] < c["end"])
         layers[2][kind] = spans
     for layer in layers:
         signs = signs.withColumns(layer)
@@ -167,7 +192,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _votes(scanned: DataFrame) -> DataFrame:
-    """``kind, pattern, instance, shape, seed``: the graph's distinct edges."""
+    """``kind, pattern, instance, like, seed``: the graph's distinct edges."""
     pattern = F.concat_ws(" ", "s.before", F.lit("_"), "s.after")
     seeds = None
     for kind in KINDS:
@@ -177,23 +202,27 @@ def _votes(scanned: DataFrame) -> DataFrame:
         seeds.select("kind", pattern.alias("pattern"), F.col("s.value").alias("instance"), shape_of(F.col("s.value")).alias("shape")).distinct(),
         "pii-seeds",
     )
-    shapes = seeds.select("kind", "shape").distinct()
-    others = (
+    candidates = stored(
         scanned.where(F.size("candidates") > 0)
         .select(F.explode("candidates").alias("s"))
         .select(pattern.alias("pattern"), F.col("s.value").alias("instance"), shape_of(F.col("s.value")).alias("shape"))
-        .distinct()
-        .join(shapes, "shape")
+        .distinct(),
+        "pii-candidates",
     )
+    shapes = seeds.select("kind", "shape", F.lit(True).alias("like")).distinct()
+    entering = candidates.join(seeds.select("kind", "pattern").distinct(), "pattern").join(shapes, ["kind", "shape"], "left")
+    entering = entering.where(F.col("like") | (F.col("pattern") != " _ ")).select("kind", "instance").distinct()
+    others = candidates.join(entering, "instance").join(shapes, ["kind", "shape"], "left")
+    columns = ["kind", "pattern", "instance", F.coalesce("like", F.lit(False)).alias("like"), "seed"]
     return stored(
-        seeds.withColumn("seed", F.lit(True)).unionByName(others.select("kind", "pattern", "instance", "shape").withColumn("seed", F.lit(False))),
+        seeds.withColumns({"like": F.lit(True), "seed": F.lit(True)}).select(*columns).unionByName(others.withColumn("seed", F.lit(False)).select(*columns)),
         "pii-graph",
     )
 
 
 def accepted(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``kind, pattern, instance``: the confident occurrences, after iterative scoring."""
-    start = F.when(F.col("seed"), 1.0).otherwise(0.0)
+    start = F.when(F.col("seed"), 1.0).when(F.col("like"), LIKE).otherwise(0.0)
     now = edges.withColumn("score", start)
     for _ in range(rounds):
         patterns = now.groupBy("kind", "pattern").agg(
@@ -204,15 +233,15 @@ def accepted(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         instances = joined.groupBy("kind", "instance").agg((F.sum(F.col("trust") * weight) / F.sum(weight)).alias("mean"))
         now = stored(
             joined.join(instances, ["kind", "instance"]).select(
-                "kind", "pattern", "instance", "shape", "seed", "trust", "support",
+                "kind", "pattern", "instance", "like", "seed", "trust", "support",
                 F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score"),
             ),
             "pii-round",
         )
         edges_now, now = now, now.drop("trust", "support")
-    return edges_now.where(~F.col("seed") & (F.col("score") >= CONFIDENT) & (F.col("trust") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select(
-        "kind", "pattern", "instance"
-    ).distinct()
+    sure = edges_now.where(~F.col("seed") & (F.col("score") >= CONFIDENT) & (F.col("trust") >= CONFIDENT) & (F.col("support") >= SUPPORT))
+    best = F.max(F.struct("like", "support", "kind"))
+    return sure.groupBy("pattern", "instance").agg(best.alias("best")).select("best.kind", "pattern", "instance")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

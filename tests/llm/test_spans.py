@@ -122,6 +122,18 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(not f for i, f in found.items() if i != 100)
 
 
+def test_identifiers_of_another_form_enter_by_their_context(spark):
+    r = random.Random(6)
+    planted = {100: "030 1234 5678", 101: "AC-99-1234567", 102: "0301234567,", 103: "(0171) 555 1234."}
+    rows = [(k, f"{prose(r, 4)} phone: +49 30 {5550000 + 37 * k} today {prose(r, 4)}") for k in range(40)]
+    rows += [(k, f"we phone: {v} today again") for k, v in planted.items()]
+    rows += [(200, "room 12345 is 7x9 and 030 1234 5679 elsewhere"), (201, "030 99 88")]
+    found = {x.doc_id: [(s.kind, s.start, s.end) for s in x.found] for x in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, v in planted.items():
+        assert found[k] == [("phone", 10, 10 + len(v.rstrip(",.")))], v
+    assert all(not f for k, f in found.items() if k not in planted)
+
+
 def test_luhn(spark):
     numbers = ["4111111111111111", "4111111111111112", "79927398713", "0"]
     got = spark.createDataFrame([(n,) for n in numbers], "n string").select(luhn(digits_of(F.col("n"))).alias("ok")).collect()
