@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +43,67 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes of an Arrow batch that goes to a Python worker; texts are long and workers are many.
 BATCH_BYTES = 4 << 20
+#: Rows, and bytes of text, that a worker turns into Python objects at once.
+SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
 
+Batches = Iterator[pa.RecordBatch]
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Limits the session's Arrow batches by bytes, so that memory does not follow text lengths."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark.conf.set(name, str(BATCH_BYTES))
+
+def released() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with bounded memory, the same for every operator of this package.
+
+    Batches are limited by bytes (a setting of the session), so that memory does not follow
+    text lengths. Workers live on between tasks: at the end of a partition each gives back
+    what the partition took, so that stages after it find the memory free.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    @functools.wraps(run)
+    def tidy(batches: Batches) -> Batches:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def sliced(batch: pa.RecordBatch, text_at: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Batches:
+    """The batch in slices of bounded rows and bytes of text; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = int(sizes[at - 1]) if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(sizes, done + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def fields(df: DataFrame, names: Iterable[str]) -> str:
+    """The columns as a schema string."""
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def fresh(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``: helper columns beside it clash with none; ``row.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,8 @@ Texts are equal when they are identical after deleting every character of
 ``[\\x20\\x09-\\x0D]``; null counts as the empty text. Of equal texts the row with the
 most code points in its original text stays, then the one with the smallest id (a
 null id counts as the smallest). Of repeated rows (same id, same text) one stays.
-An empty table gives an empty result. Columns other than id and text are ignored.
+An empty table gives an empty result. Very long texts are hashed whole. Columns other than id
+and text are ignored by ``exact_groups`` and kept by ``drop_copies``, whatever their names.
 
 Only ids, lengths and hashes are grouped, with partial aggregation before the
 shuffle, so a group that holds a third of all rows costs one row per task. Bytes are
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored, text_or_empty, without_white
+from lodestone.llm.common import stored, text_or_empty, whole_row, without_white
 
 
 def content_hash(normalised: Column) -> Column:
@@ -94,14 +95,15 @@ def exact_groups(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     groups = stored(exact_groups(docs, id_col, text_col), "exact-decisions")
-    stay = groups.where("kept").select(F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    sha = F.sha2(without_white(text_or_empty(text_col)), 256)
-    # Copies with other ids never meet in the join: its key holds the id as well.
-    joined = docs.withColumn("__sha", sha).join(
-        stay, (F.col("__sha") == F.col("__keep_sha")) & F.col(id_col).eqNullSafe(F.col("__keep_id"))
+    stay = groups.where("kept").select(F.col(id_col).alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    text = text_or_empty(text_col)
+    keys = docs.select(
+        whole_row(docs), F.col(id_col).alias("id"), F.sha2(without_white(text), 256).alias("sha"), F.length(text).alias("length")
     )
+    # Copies with other ids never meet in the join: its key holds the id as well.
+    joined = keys.join(stay, (F.col("sha") == F.col("keep_sha")) & F.col("id").eqNullSafe(F.col("keep_id")))
     if not groups.where(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id"))).isEmpty():
         # The kept id itself is repeated: of its rows the longest stays.
-        nth = Window.partitionBy("__keep_sha", "__keep_id").orderBy(F.length(text_or_empty(text_col)).desc())
-        joined = joined.withColumn("__nth", F.row_number().over(nth)).where("__nth = 1")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+        nth = Window.partitionBy("keep_sha", "keep_id").orderBy(F.col("length").desc())
+        joined = joined.withColumn("nth", F.row_number().over(nth)).where("nth = 1")
+    return joined.select("row.*")

@@ -9,7 +9,8 @@ sizes are equal or differ by a factor of two; otherwise their likeness is 0.
 Null texts count as empty; the fingerprint of the empty text is ``3::`` and two of
 them are alike (1.0). Equal texts have equal fingerprints. Repeated rows are separate
 documents; with equal ids the order is by text. A null id sorts below all others. An
-empty table gives an empty result, and columns other than id and text are ignored.
+empty table gives an empty result, and columns other than id and text are ignored. Very long
+texts are hashed whole.
 
 ``neighbour_fingerprints`` needs the text of the next document. One range shuffle by id
 puts neighbours into the same partition; only the first and last text of each partition
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored, text_or_empty
+from lodestone.llm.common import arrow_map, stored, text_or_empty
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 LONGEST = 64
@@ -210,7 +211,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
             marks = [written(f) for f in fingerprints([t.encode() for t in texts])]
             yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], ids[0].type), pa.array(marks)], names=[id_col, "fingerprint"])
 
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
+    return arrow_map(docs.select(F.col(id_col), text_or_empty(text_col).alias(text_col)), run, f"`{id_col}` {kind}, fingerprint string")
 
 
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +259,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
         .repartitionByRange(F.col(id_col).desc_nulls_last())
         .sortWithinPartitions(F.col(id_col).desc_nulls_last(), F.col(text_col))
     )
-    done = stored(ordered.mapInArrow(inner, schema), "fingerprints")
+    done = stored(arrow_map(ordered, inner, schema), "fingerprints")
     # One number for each partition that has rows, so the driver holds no data.
     everything = Window.partitionBy(F.lit(1))
     parts = done.where("__kind = 1").select("__part")
@@ -268,5 +269,5 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     firsts = done.where("__kind = 1").select(F.col("__part").alias("__then"), F.col("__text").alias("__next"))
     pairs = done.where("__kind = 2").select("__part", id_col, "__text").join(follows, "__part").join(firsts, "__then")
-    rest = pairs.select(id_col, "__text", "__next").mapInArrow(last, f"`{id_col}` {kind}, {_RESULT}")
+    rest = arrow_map(pairs.select(id_col, "__text", "__next"), last, f"`{id_col}` {kind}, {_RESULT}")
     return done.where("__kind = 0").select(*names[:7]).unionByName(rest)
