@@ -2,38 +2,49 @@
 
 Documents are counted into cells (source, language, topic) by their tokens (words, the
 longest runs without [\\x20\\x09-\\x0D]). Raking scales the cells' weights to the target
-share of each source, language and topic in turn, for ``rounds`` rounds. A cell's
-multiplier is its raked weight over its tokens; a document's probability is
-``min(1, scale * multiplier)`` with the scale at which the expected tokens are
-``fraction`` of all. A document is sampled if a hash of its id and the seed, as a number
-in [0, 1), is below its probability, so a rerun samples the same documents.
-
-Targets are shares by name; without them a dimension's own shares are flattened to the
-power ``flatten[dimension]``. A name that the given targets lack has share 0.
+share of each source, language and topic in turn, until no share is off by more than
+``tolerance`` (or for ``rounds`` rounds). A cell's multiplier is its raked weight over its
+tokens, 1 on average; a document's probability is ``fraction * multiplier``.
+
+Sampling can thin names out but not repeat documents, so the targets hold in the sample
+only while no probability exceeds 1. ``fraction`` is therefore the share of all tokens that
+is asked for or the largest at which every probability is at most 1, whichever is less:
+every source, language and topic then has its target share of the expected tokens. What
+was reached is told by ``shares``. A document is sampled if a hash of its id and the seed,
+as a number in [0, 1), is below its probability, so a rerun samples the same documents.
+
+Targets are weights by name, taken over the names that have tokens (a name that the given
+targets lack has share 0); without them a dimension's own shares are flattened to the power
+``flatten[dimension]``. The topic is a column that the caller passes; without one it is the
+form of the text (``form_topic``).
 
 Null source, language or topic is the name ``unknown``; a null or empty text has no
 tokens and its cell alone never decides a share; a cell without tokens gets multiplier
 0. Repeated rows are sampled alike. A null id hashes as the word ``null``. An empty
-table gives an empty result. All of a document's columns are kept.
+table gives an empty result. All of a document's columns are kept, whatever their names.
+A very long text counts with all its tokens.
 
-Only cells are shuffled, after partial sums; documents meet the cell table by an
-equi-join (broadcast where Spark finds it small, else sort-merge with skew splitting).
-Each round is written once, so its lineage stays short.
+Only cells are shuffled, after partial sums; a name's sum is an aggregate that is joined
+back, so no task gathers the cells of a name. Documents meet the cell table by an equi-join
+(broadcast where Spark finds it small, else sort-merge with skew splitting). Each round is
+written once, so its lineage stays short.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored, text_or_empty
+from lodestone.llm.common import stored, text_or_empty, whole_row
 
 DIMENSIONS = ("source", "lang", "topic")
-FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+FLATTEN = {"source": 0.9, "lang": 0.9, "topic": 0.9}
 WORD = r"[^\x20\x09-\x0D]+"
-ROUNDS = 8
+ROUNDS = 16
+TOLERANCE = 1e-12
+#: The largest share of all tokens that is sampled.
 FRACTION = 0.8
 
 
@@ -49,25 +60,27 @@ def form_topic(text: Column) -> Column:
     )
 
 
-def _keyed(docs: DataFrame, text_col: str, topic: Column | None) -> DataFrame:
+def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic: Column | None = None) -> DataFrame:
+    """``row`` (all columns), ``id, source, lang, topic, tokens``."""
     text = text_or_empty(text_col)
     named = {d: F.coalesce(F.col(d), F.lit("unknown")) for d in ("source", "lang")}
     named["topic"] = F.coalesce(topic if topic is not None else form_topic(text), F.lit("unknown"))
     tokens = F.regexp_count(text, F.lit(WORD)).cast("long")
-    return docs.withColumns({f"__{d}": c for d, c in named.items()} | {"__tokens": tokens})
+    return docs.select(whole_row(docs), F.col(id_col).alias("id"), *[c.alias(d) for d, c in named.items()], tokens.alias("tokens"))
 
 
-def _target(cells: DataFrame, dim: str, given: Mapping[str, float] | None, flatten: float) -> DataFrame:
-    """``dim, __share``: the shares that the dimension shall have; they sum to 1."""
-    spark: SparkSession = cells.sparkSession
-    if given is not None:
-        total = sum(given.values())
-        rows = [(str(k), float(v) / total) for k, v in given.items()]
-        return spark.createDataFrame(rows, f"`{dim}` string, __share double")
-    own = cells.groupBy(dim).agg(F.sum("__mass").alias("__sum"))
-    raised = own.select(dim, F.when(F.col("__sum") > 0, F.pow("__sum", F.lit(float(flatten)))).otherwise(0.0).alias("__raised"))
-    total = float(raised.agg(F.sum("__raised")).first()[0] or 0.0) or 1.0
-    return raised.select(dim, (F.col("__raised") / total).alias("__share"))
+def _targets(cells: DataFrame, dim: str, given: Mapping[str, float] | None, flatten: float) -> DataFrame:
+    """``dim, share_<dim>``: the shares that the dimension shall have; they sum to 1 over names with tokens."""
+    own = cells.groupBy(dim).agg(F.sum("mass").alias("own"))
+    if given is None:
+        raised = own.select(dim, F.when(F.col("own") > 0, F.pow("own", F.lit(float(flatten)))).otherwise(0.0).alias("raised"))
+    else:
+        rows = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in given.items()], f"`{dim}` string, weight double")
+        raised = own.join(rows, dim, "left").select(
+            dim, F.when(F.col("own") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0).alias("raised")
+        )
+    total = float(raised.agg(F.sum("raised")).first()[0] or 0.0) or 1.0
+    return raised.select(dim, (F.col("raised") / total).alias(f"share_{dim}"))
 
 
 def raked_cells(
@@ -78,54 +91,35 @@ def raked_cells(
     flatten: Mapping[str, float] = FLATTEN,
     rounds: int = ROUNDS,
     fraction: float = FRACTION,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """One row per cell: ``__source, __lang, __topic, __mass, __multiplier, __prob``."""
-    dims = [f"__{d}" for d in DIMENSIONS]
-    cells = stored(
-        _keyed(docs, text_col, topic).groupBy(*dims).agg(F.sum("__tokens").cast("double").alias("__mass")), "cells"
-    )
-    total = float(cells.agg(F.sum("__mass")).first()[0] or 0.0)
-    now = cells.withColumn("__weight", F.col("__mass"))
+    """One row per cell: ``source, lang, topic, mass, multiplier, prob`` and the target shares of its names."""
+    counted = keyed(docs, text_col, text_col, topic).groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("mass"))
+    cells = stored(counted, "cells")
+    total = float(cells.agg(F.sum("mass")).first()[0] or 0.0)
+    now = cells.withColumn("weight", F.col("mass"))
     for d in DIMENSIONS:
-        share = _target(cells, f"__{d}", (targets or {}).get(d), flatten[d]).withColumnRenamed("__share", f"__share_{d}")
-        now = now.join(share.hint("merge"), f"__{d}", "left")
+        now = now.join(_targets(cells, d, (targets or {}).get(d), flatten[d]).hint("merge"), d)
     now = stored(now, "rake-0")
+    columns = now.columns
     for n in range(rounds):
+        off = F.lit(0.0)
         for d in DIMENSIONS:
-            # Cells are sums already: a name's cells number as many as the other names' pairs.
-            have = F.sum("__weight").over(Window.partitionBy(f"__{d}"))
-            factor = F.when(have > 0, F.coalesce(F.col(f"__share_{d}"), F.lit(0.0)) * total / have).otherwise(0.0)
-            now = now.withColumn("__weight", F.col("__weight") * factor)
-        now = stored(now, f"rake-{n + 1}")
-    rated = stored(
-        now.select(
-            *dims,
-            "__mass",
-            F.when(F.col("__mass") > 0, F.col("__weight") / F.col("__mass")).otherwise(0.0).alias("__multiplier"),
-        ),
-        "multipliers",
-    )
-    scale = _scale(rated, fraction * total)
-    return rated.withColumn("__prob", F.least(F.lit(1.0), F.col("__multiplier") * scale))
-
-
-def _scale(rated: DataFrame, budget: float) -> float:
-    """The scale at which sum(mass * min(1, scale * multiplier)) is the budget.
-
-    Each step fixes the cells that reached probability 1; their set only grows, so
-    this ends. One aggregated row comes to the driver per step.
-    """
-    scale, fixed = 0.0, -1
-    while True:
-        full = F.col("__multiplier") * scale >= 1
-        n, spent, rest = rated.agg(
-            F.count_if(full),
-            F.sum(F.when(full, F.col("__mass")).otherwise(0.0)),
-            F.sum(F.when(full, 0.0).otherwise(F.col("__mass") * F.col("__multiplier"))),
-        ).first()
-        if n == fixed or not rest or rest <= 0 or budget <= spent:
-            return scale
-        scale, fixed = (budget - spent) / rest, n
+            have = now.groupBy(d).agg(F.sum("weight").alias("have"))
+            factor = F.when(F.col("have") > 0, F.col(f"share_{d}") * total / F.col("have")).otherwise(0.0)
+            off = F.greatest(off, F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0))
+            now = now.join(have.hint("merge"), d).withColumn("factor", factor).withColumn("off", off)
+            now = now.withColumn("weight", F.col("weight") * F.col("factor")).select(*columns, "off")
+            off = F.col("off")
+        moved = stored(now, f"rake-{n + 1}")
+        now = moved.select(*columns)
+        if (moved.agg(F.max("off")).first()[0] or 0.0) < tolerance:
+            break
+    multiplier = F.when(F.col("mass") > 0, F.col("weight") / F.col("mass")).otherwise(0.0)
+    rated = stored(now.withColumn("multiplier", multiplier).drop("weight"), "multipliers")
+    most = float(rated.agg(F.max("multiplier")).first()[0] or 0.0)
+    reached = min(fraction, 1 / most) if most > 0 else fraction
+    return rated.withColumn("prob", F.least(F.lit(1.0), F.col("multiplier") * reached))
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -134,16 +128,33 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def with_probabilities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, topic: Column | None = None, **raking) -> DataFrame:
-    """``docs`` with ``__source, __lang, __topic, __tokens, __multiplier, __prob, __sampled``."""
-    cells = raked_cells(docs, text_col, topic, **raking).drop("__mass")
-    keyed = _keyed(docs, text_col, topic)
-    joined = keyed.join(cells, [f"__{d}" for d in DIMENSIONS])
-    return joined.withColumn("__sampled", uniform(F.col(id_col), seed) < F.col("__prob"))
+def with_probabilities(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, topic: Column | None = None, **raking
+) -> DataFrame:
+    """Per document ``row`` (all its columns), ``id, source, lang, topic, tokens, multiplier, prob, sampled``."""
+    cells = raked_cells(docs, text_col, topic, **raking).select(*DIMENSIONS, "multiplier", "prob")
+    joined = keyed(docs, text_col, id_col, topic).join(cells, list(DIMENSIONS))
+    return joined.withColumn("sampled", uniform(F.col("id"), seed) < F.col("prob"))
+
+
+def shares(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, topic: Column | None = None, **raking) -> DataFrame:
+    """``dimension, name, target, expected, sampled``: shares of the tokens, asked for and reached."""
+    cells = stored(raked_cells(docs, text_col, topic, **raking), "raked")
+    drawn = keyed(docs, text_col, id_col, topic).join(cells.select(*DIMENSIONS, "prob"), list(DIMENSIONS))
+    drawn = drawn.where(uniform(F.col("id"), seed) < F.col("prob")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("drawn"))
+    both = stored(cells.join(drawn, list(DIMENSIONS), "left").withColumn("expected", F.col("mass") * F.col("prob")), "drawn")
+    expected, sampled = (float(x or 0.0) or 1.0 for x in both.agg(F.sum("expected"), F.sum("drawn")).first())
+    out = None
+    for d in DIMENSIONS:
+        own = both.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("name")).agg(
+            F.max(f"share_{d}").alias("target"),
+            (F.sum("expected") / expected).alias("expected"),
+            (F.coalesce(F.sum("drawn"), F.lit(0)) / sampled).alias("sampled"),
+        )
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def sample_to_targets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The sampled documents with their own columns only."""
-    return with_probabilities(docs, text_col, id_col, **options).where("__sampled").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    return with_probabilities(docs, text_col, id_col, **options).where("sampled").select("row.*")

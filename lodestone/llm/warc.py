@@ -7,18 +7,21 @@ frame can be found and read alone. The returned index maps each record identifie
 its bundle, its frame and the offset inside the frame. ``read_bundles`` reads whole
 bundles back, ``read_records`` only the frames of chosen records.
 
-Of pages with equal payloads the one with the smallest id becomes a ``response``, the
-others ``revisit`` records that name it and hold no payload. Payloads shorter than
+Of pages with equal payloads (equal SHA-256) the one with the smallest id becomes a
+``response``, the others ``revisit`` records that name it (``WARC-Refers-To`` its record,
+``WARC-Refers-To-Target-URI`` its address) and hold no payload. Payloads shorter than
 ``min_bytes`` are always responses. Null html counts as the empty payload, a null url
 as ``about:blank``; control characters in urls are percent-encoded. Repeated rows of
 the response's id are responses as well. Pages with a null id are written without a
 page number, as revisits if a page with an id has their payload, else as responses.
-An empty table gives no bundle and an empty result. Other columns are ignored.
+An empty table gives no bundle and an empty result. Other columns are ignored. A very long
+payload is a frame of its own.
 
 Bundles are written by the tasks into the shared folder under a name of their own and
 become visible by a rename; only those that the committed index names belong to the
 archive, so a task that runs twice leaves nothing that is read. Only ids and digests
-are grouped; the join back splits a hot digest (AQE), as it needs no whole groups.
+are grouped; the join back splits a hot digest (AQE), as it needs no whole groups. Reading
+back takes as many tasks as the archive's bytes ask for (``READ_BYTES`` each).
 """
 
 from __future__ import annotations
@@ -38,11 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, stored, text_or_empty
+from lodestone.llm.common import arrow_map, shared_dir, stored, text_or_empty
 
 #: Plain bytes of a frame, and of the frames of a bundle, at which a new one begins.
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 28
+#: Compressed bytes of the frames that one task reads back.
+READ_BYTES = 1 << 21
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_SCHEMA = "record_id string, page_id long, bundle string, frame int, frame_offset long, frame_bytes long, offset_in_frame long, record_bytes long"
@@ -58,8 +63,16 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id_of(page_id: int | None, url: str | None) -> str:
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url}"))
+
+
+def safe_url(url: str | None) -> str:
+    return quote(url, safe="".join(chr(c) for c in range(33, 127))) if url else "about:blank"
+
+
 def record_bytes(
-    record_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str
+    record_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, refers_url: str | None = None
 ) -> bytes:
     """One WARC 1.1 record, response or (with ``refers_to``) revisit."""
     http = (
@@ -67,15 +80,21 @@ def record_bytes(
         f"Content-Length: {len(payload)}\r\n\r\n"
     ).encode()
     block = http if refers_to is not None else http + payload
-    safe = quote(url, safe="".join(chr(c) for c in range(33, 127))) if url else "about:blank"
+    refers = [
+        f"WARC-Profile: {REVISIT_PROFILE}",
+        f"WARC-Refers-To: <urn:uuid:{record_id_of(refers_to, refers_url)}>",
+        f"WARC-Refers-To-Target-URI: {safe_url(refers_url)}",
+        f"WARC-Refers-To-Date: {date}",
+        f"X-Refers-To-Page: {refers_to}",
+    ]
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:uuid:{record_id}>",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {safe}",
+        f"WARC-Target-URI: {safe_url(url)}",
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
-        *([f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page: {refers_to}"] if refers_to is not None else []),
+        *(refers if refers_to is not None else []),
         *([f"X-Page: {page_id}"] if page_id is not None else []),
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
@@ -149,20 +168,19 @@ class BundleReader:
 
 
 def _types(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """Pages as ``page_id, url, html, refers_to`` (null for responses)."""
-    base = pages.select("page_id", "url", text_or_empty("html").alias("html")).withColumn(
-        "__sha", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.col("html").cast("binary")))
-    )
+    """Pages as ``page_id, url, html, refers_to, refers_url`` (the last two null for responses)."""
+    base = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html")
+    ).withColumn("sha", F.when(F.octet_length("html") >= min_bytes, F.sha2("html", 256)))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
     several = stored(
-        base.where("__sha is not null")
-        .groupBy("__sha")
-        .agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n"))
-        .where("__n > 1")
-        .select("__sha", "__first"),
+        base.where("sha is not null").groupBy("sha").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first"),
         "warc-copies",
     )
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first"))
-    return base.join(several, "__sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    other = ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    return base.join(several, "sha", "left").select(
+        "page_id", "url", "html", F.when(other, F.col("first.page_id")).alias("refers_to"), F.when(other, F.col("first.url")).alias("refers_url")
+    )
 
 
 def write_bundles(
@@ -187,8 +205,8 @@ def write_bundles(
                 if writer is None:
                     writer = BundleWriter(folder, f"{name}-{bundles:04d}", level)
                     bundles += 1
-                record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{row['page_id']} {row['url']}"))
-                data = record_bytes(record_id, row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date)
+                record_id = record_id_of(row["page_id"], row["url"])
+                data = record_bytes(record_id, row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date, row["refers_url"])
                 rows.append((record_id, row["page_id"], plain, len(data)))
                 frame.append(data)
                 plain += len(data)
@@ -203,7 +221,7 @@ def write_bundles(
                 yield flush()
             writer.close()
 
-    return stored(_types(pages, min_bytes).mapInArrow(run, INDEX_SCHEMA), "warc-index")
+    return stored(arrow_map(_types(pages, min_bytes), run, INDEX_SCHEMA), "warc-index")
 
 
 def _parsed(data: bytes, with_payload: bool, only: set[int] | None = None) -> list[list]:
@@ -246,7 +264,8 @@ def _record_batch(rows: list[list]) -> pa.RecordBatch:
 
 def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """Every record of the bundles that the index names, frame by frame."""
-    frames = index.select("bundle", "frame").distinct()
+    frames = index.groupBy("bundle", "frame").agg(F.max("frame_bytes").alias("bytes"))
+    tasks = -(-int(frames.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, uri = None, None
@@ -257,8 +276,9 @@ def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows := _parsed(reader.frame(frame), with_payload):
                     yield _record_batch(rows)
 
-    dealt = frames.repartition(F.col("bundle"), F.floor(F.col("frame") / 64)).sortWithinPartitions("bundle", "frame")
-    return dealt.mapInArrow(run, RECORD_SCHEMA)
+    # A number of tasks that is asked for is kept: the rows are few, but each stands for a frame.
+    dealt = frames.select("bundle", "frame").repartition(max(1, tasks), F.hash("bundle", F.floor(F.col("frame") / 4)))
+    return arrow_map(dealt.sortWithinPartitions("bundle", "frame"), run, RECORD_SCHEMA)
 
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -272,7 +292,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows := _parsed(data, with_payload, set(row["offsets"])):
                     yield _record_batch(rows)
 
-    return wanted.mapInArrow(run, RECORD_SCHEMA)
+    return arrow_map(wanted, run, RECORD_SCHEMA)
 
 
 def archive_folder(spark: SparkSession) -> str:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints as fp
-from lodestone.llm.mixing import raked_cells, sample_to_targets, with_probabilities
+from lodestone.llm import warc
+from lodestone.llm.mixing import sample_to_targets, shares, with_probabilities
 from lodestone.llm.warc import BundleReader, archive_folder, parse_records, read_bundles, read_records, write_bundles
 
 
@@ -39,6 +40,25 @@ def test_archive_round_trip(spark):
     assert read_bundles(write_bundles(pages.limit(0), archive_folder(spark))).collect() == []
 
 
+def test_revisits_name_their_response(spark):
+    pages = spark.createDataFrame([p for p in PAGES if p[0] in (2, 4)], "page_id long, url string, html string")
+    index = {r.page_id: r for r in write_bundles(pages, archive_folder(spark)).collect()}
+    row = index[4]
+    found = [h for h, _, at, _ in parse_records(BundleReader(row.bundle).frame(row.frame)) if at == row.offset_in_frame]
+    assert found[0]["WARC-Refers-To"] == f"<urn:uuid:{index[2].record_id}>"
+    assert found[0]["WARC-Refers-To-Target-URI"] == "http://b.org"
+
+
+def test_reading_back_is_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 1000)
+    r = np.random.Generator(np.random.PCG64(3))
+    rows = [(k, f"u{k}", r.bytes(300_000).hex()) for k in range(12)] + [(99, None, "z" * 3_000_000)]
+    index = write_bundles(spark.createDataFrame(rows, "page_id int, url string, html string"), archive_folder(spark))
+    back = read_bundles(index)
+    assert back.rdd.getNumPartitions() > 12
+    assert {x.page_id: bytes(x.payload).decode() for x in back.collect()} == {k: h for k, _, h in rows}
+
+
 def test_seek_table_maps_records_to_frames(spark, monkeypatch):
     pages = spark.createDataFrame([(k, f"u{k}", f"page {k} " * 20_000) for k in range(8)], "page_id long, url string, html string").coalesce(1)
     index = write_bundles(pages, archive_folder(spark))
@@ -91,25 +111,33 @@ def test_likeness_is_the_edit_distance():
     assert fp.likeness([(3, b"AB", b"A")], [(12, b"AB", b"A")])[0] == 0
 
 
-def test_marginals_meet_given_targets(spark):
-    rows = [(k, "w " * (1 + k % 7), ["a", "b", None][k % 3], ["x", "y"][k % 2], 1) for k in range(600)]
+def test_sampled_shares_meet_given_targets(spark):
+    rows = [(k, "w " * (1 + k % 7), ["a", "b", None][k % 3], ["x", "y"][k % 2], 1) for k in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
-    targets = {"source": {"a": 2, "b": 1, "unknown": 1}, "lang": {"x": 3, "y": 1}}
-    cells = raked_cells(docs, targets=targets, rounds=12, flatten={"source": 1, "lang": 1, "topic": 1}).withColumn("w", F.col("__mass") * F.col("__multiplier"))
-    total = cells.agg(F.sum("w")).first()[0]
-    share = {r[0]: r[1] / total for r in cells.groupBy("__source").agg(F.sum("w")).collect()}
-    assert share == pytest.approx({"a": 0.5, "b": 0.25, "unknown": 0.25}, abs=1e-6)
+    targets = {"source": {"a": 2, "b": 1, "unknown": 1, "absent": 9}, "lang": {"x": 3, "y": 1}}
+    wanted = {"a": 0.5, "b": 0.25, "unknown": 0.25, "x": 0.75, "y": 0.25}
+    found = {r.name: r for r in shares(docs, targets=targets).collect()}
+    for name, share in wanted.items():
+        assert found[name].target == pytest.approx(share) == found[name].expected
+        assert found[name].sampled == pytest.approx(share, abs=0.03)
     mixed = with_probabilities(docs, targets=targets)
-    expected = mixed.agg(F.sum(F.col("__prob") * F.col("__tokens"))).first()[0]
-    assert expected == pytest.approx(0.8 * sum(1 + k % 7 for k in range(600)), rel=1e-6)
+    assert mixed.agg(F.max("prob")).first()[0] == pytest.approx(1)  # as many tokens as the targets allow
+    asked = with_probabilities(docs, targets=targets, fraction=0.2)
+    expected = asked.agg(F.sum(F.col("prob") * F.col("tokens"))).first()[0]
+    assert expected == pytest.approx(0.2 * sum(1 + k % 7 for k in range(6000)), rel=1e-6)
     sampled = sample_to_targets(docs, targets=targets)
-    assert sampled.columns == docs.columns and 0.6 < sampled.count() / 600 < 0.95
+    assert sampled.columns == docs.columns
     assert sorted(r.doc_id for r in sampled.collect()) == sorted(r.doc_id for r in sample_to_targets(docs, targets=targets).collect())
 
 
 def test_mixing_edges(spark):
-    empty = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
-    assert sample_to_targets(empty).collect() == []
-    rows = [(None, None, None, None), (1, "", "a", "x"), (1, "", "a", "x"), (2, "one two", "a", "x")]
-    mixed = with_probabilities(spark.createDataFrame(rows, empty.schema)).collect()
-    assert len(mixed) == 4 and all(0 <= m["__prob"] <= 1 for m in mixed)
+    schema = "doc_id long, text string, source string, lang string, tokens int, prob double, weight string, `row` int, __prob int"
+    empty = spark.createDataFrame([], schema)
+    assert sample_to_targets(empty).collect() == [] and sample_to_targets(empty).columns == empty.columns
+    rows = [(None, None, None, None), (1, "", "a", "x"), (1, "", "a", "x"), (2, "one two", "a", "x"), (2, "one two", "a", "x"), (3, "long " * 100_000, "b", "x")]
+    docs = spark.createDataFrame([(*r, 1, 2.0, "w", 3, 4) for r in rows], schema)
+    mixed = with_probabilities(docs).collect()
+    assert len(mixed) == 6 and all(0 <= m.prob <= 1 for m in mixed)
+    assert {m.tokens for m in mixed if m.id == 3} == {100_000}
+    kept = sample_to_targets(docs)
+    assert kept.columns == docs.columns and all(r.weight == "w" and r["__prob"] == 4 for r in kept.collect())
