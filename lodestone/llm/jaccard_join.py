@@ -18,24 +18,27 @@ The join works on distinct sets (equal sets are one by a 128-bit digest):
 2. Filter. Each set has a parity bitmap of one bit per element or more; two sets differ
    in at least as many elements as their bitmaps in bits, so most chance candidates go,
    and no link does. Short lists give their pairs. Of long lists (of frequent shingles
-   or large groups of near copies) only spanning edges of the filter's graph leave a
-   task; members are compared in blocks of bounded size.
-3. Exact check. Components of what passed hold every link. Their members' texts meet in
-   blocks of bounded size, all intersections of a block are counted, and spanning edges
-   of the real links give the final components.
+   or large groups of near copies) only spanning edges of the filter's graph leave a task.
+3. Exact check. Components of what passed hold every link. Their members' texts meet, all
+   intersections are counted, and spanning edges of the real links give the final components.
 
-No pair table of a group is ever written: rows stay in proportion to documents.
+Large groups (in 2 and 3) are cut by size into blocks of bounded weight. One block of each
+is compared with all its others first; what that connects needs no more comparisons inside
+it, so only members outside the largest component so found are compared with the rest. A
+group of near copies of M members so costs about 2 M rows; one of which R members stay
+apart costs R * M / block more. No pair table of a group is ever written.
 
 Null and empty texts have no set (size 0) and link with nothing. Repeated rows and rows
 with equal texts are linked. A null id is not a candidate for ``component_id`` unless
-all ids of the component are null. Columns other than id and text are ignored; an empty
-table gives an empty result.
+all ids of the component are null. Very long texts are compared whole (a set larger than a
+block is a block of its own). Columns other than id and text are ignored (``keep_one_of_each``
+keeps them, whatever their names); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, stored, text_or_empty
+from lodestone.llm.common import arrow_map, sliced, stored, text_or_empty, whole_row
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import Shingled, WordHashes, mixed
 
@@ -91,12 +94,6 @@ def may_differ(sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
     return (sizes_a + sizes_b) * (LINK[1] - LINK[0]) // (LINK[1] + LINK[0])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys; the input is sorted by the key column."""
     held: list[pa.RecordBatch] = []
@@ -147,7 +144,7 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 empty = [pa.nulls(m, t) for t in types]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), *empty, _long(key), _long(n)], names=names)
 
-        for batch in _blocks(batches):
+        for batch in (part for whole in batches for part in sliced(whole, 2, 500)):
             block = Shingled(batch.column(2).to_pylist(), hashes)
             size, digest, bitmap = [], [], []
             for k in range(batch.num_rows):
@@ -169,8 +166,10 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield from counts()
 
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(
-        run, f"kind int, `{id_col}` {id_type}, text_key long, size long, digest string, bitmap binary, key long, n long"
+    return arrow_map(
+        docs.select(F.col(id_col), F.xxhash64(text).alias("text_key"), text.alias("text")),
+        run,
+        f"kind int, `{id_col}` {id_type}, text_key long, size long, digest string, bitmap binary, key long, n long",
     )
 
 
@@ -217,7 +216,7 @@ def _postings(docs: DataFrame, text_col: str, order, boundary: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, classes, common, scores = order.value
         hashes, seen = WordHashes(), set()
-        for batch in _blocks(batches):
+        for batch in (part for whole in batches for part in sliced(whole, 0, 500)):
             block = Shingled(batch.column(0).to_pylist(), hashes)
             word_scores = _looked_up(common, scores, block.words)
             keys, sids, sizes = [], [], []
@@ -253,7 +252,7 @@ def _postings(docs: DataFrame, text_col: str, order, boundary: int) -> DataFrame
                     names=["key", "sid", "size"],
                 )
 
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "key long, sid long, size int")
+    return arrow_map(docs.select(text_or_empty(text_col).alias("text")), run, "key long, sid long, size int")
 
 
 def _scan_lists(postings: DataFrame, boundary: int) -> DataFrame:
@@ -319,32 +318,84 @@ def _scan_lists(postings: DataFrame, boundary: int) -> DataFrame:
         if rest is not None:
             yield from emitted(*rest)
 
-    return postings.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "key long, a long, b long, size long")
+    dealt = postings.repartition("key").sortWithinPartitions("key", "sid")
+    return arrow_map(dealt, run, "key long, a long, b long, size long")
 
 
-def _blocked(members: DataFrame, limit: int, weight: str) -> DataFrame:
-    """``members (grp, a, size)`` as ``part, a, size``: in each part all of two blocks of a group.
+def _cut(members: DataFrame, limit: int, weight: str) -> DataFrame:
+    """``grp, a, size, block``: groups cut in the order of sizes into blocks of about ``limit`` weight.
 
-    Groups are cut in the order of sizes into blocks of about ``limit`` weight; pairs of
-    blocks whose sizes cannot link are left out.
+    The cuts come from counts by group and size, so no task gathers a group. A size that
+    alone makes up much of a block is dealt over blocks of its own by hash.
     """
-    by_size = Window.partitionBy("grp").orderBy("size", "a").rowsBetween(Window.unboundedPreceding, 0)
-    cut = stored(members.withColumn("block", F.floor(F.sum(F.expr(weight)).over(by_size) / limit)), "blocks")
-    blocks = cut.groupBy("grp", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    other = blocks.select("grp", F.col("block").alias("block2"), F.col("low").alias("low2"))
-    pairs = blocks.join(other, "grp").where(
-        (F.col("block") <= F.col("block2")) & (LINK[1] * F.col("high") >= LINK[0] * F.col("low2"))
-    )
-    alone = Window.partitionBy("grp", "block")
-    needed = (
-        pairs.withColumn("pairs", F.count(F.lit(1)).over(alone))
-        # A block is compared with itself in its pair with another.
-        .where("block <> block2 or pairs = 1")
-        .select("grp", F.xxhash64("grp", "block", "block2").alias("part"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    smaller = Window.partitionBy("grp").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (
+        members.groupBy("grp", "size")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("weight", F.col("n") * F.expr(weight))
+        .withColumn("first", F.floor(F.coalesce(F.sum("weight").over(smaller), F.lit(0)) / limit))
+        .withColumn("own", F.when(F.col("weight") > limit / 4, F.ceil(F.col("weight") / limit)))
+        .select("grp", "size", "first", "own")
     )
+    within = F.coalesce(F.pmod(F.xxhash64("a"), F.col("own")) + 1, F.lit(0))
+    block = F.col("first") * (1 << 20) + within
+    return members.join(sizes.hint("merge"), ["grp", "size"]).select("grp", "a", "size", block.alias("block"))
+
+
+def _bounds(cut: DataFrame) -> DataFrame:
+    return cut.groupBy("grp", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``grp, block, block2`` of every two blocks of a group whose sizes can link."""
+    other = right.select("grp", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    fits = (LINK[1] * F.col("high") >= LINK[0] * F.col("low2")) & (LINK[1] * F.col("high2") >= LINK[0] * F.col("low"))
+    return left.join(other, "grp").where(fits).select("grp", "block", "block2")
+
+
+def _once(pairs: DataFrame, of: str) -> DataFrame:
+    """Without pairs of a block and itself, if it is compared with itself in a pair with another."""
+    alone = F.count(F.lit(1)).over(Window.partitionBy("grp", of)) == 1
+    return pairs.withColumn("alone", alone).where("block <> block2 or alone").drop("alone")
+
+
+def _parts(cut: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``part, a, size``: in each part all members of the two blocks of a pair."""
+    both = F.explode(F.array_distinct(F.array("block", "block2")))
+    needed = pairs.select("grp", F.xxhash64("grp", "block", "block2").alias("part"), both.alias("block"))
     return cut.join(needed, ["grp", "block"]).select("part", "a", "size")
 
 
+def _connected(members: DataFrame, limit: int, weight: str, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``a, b``: edges that connect whatever ``edges_of`` links inside the groups of ``members (grp, a, size)``.
+
+    ``edges_of`` takes parts (``part, a, size``) and gives spanning edges of each.
+    """
+    cut = stored(_cut(members, limit, weight), "blocks")
+    bounds = stored(_bounds(cut), "block-bounds")
+    # The middle block of each group meets all others.
+    pivots = bounds.groupBy("grp").agg(F.percentile_approx("block", 0.5).alias("block"), F.count(F.lit(1)).alias("blocks"))
+    pivots = stored(pivots, "pivots")
+    first = _pairs(bounds, bounds.join(pivots.select("grp", "block"), ["grp", "block"]))
+    edges = stored(edges_of(_parts(cut, _once(first, "block2"))), "block-edges")
+    large = pivots.where("blocks > 1")
+    if large.isEmpty():
+        return edges
+    labels = connected_components(edges).withColumnRenamed("node", "a")
+    named = cut.join(large.select("grp", F.col("block").alias("pivot")), "grp").join(labels.hint("merge"), "a", "left")
+    named = stored(named.select("grp", "a", "size", "block", "pivot", "label"), "block-labels")
+    counted = named.where("label is not null").groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counted.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    placed = named.join(main, "grp", "left").where("block <> pivot")  # the pivots have met all
+    inside = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+    rest = _cut(placed.where(~inside).select("grp", "a", "size"), limit, weight).withColumn("block", -1 - F.col("block"))
+    again = stored(rest.unionByName(placed.where(inside).select("grp", "a", "size", "block")), "blocks")
+    bounds = stored(_bounds(again), "block-bounds")
+    apart = bounds.where("block < 0")
+    pairs = _pairs(apart, bounds).where("block2 >= 0 or block >= block2")
+    return edges.unionByName(edges_of(_parts(again, _once(pairs, "block"))))
+
+
 def _bits(bitmaps: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(bitmaps), dtype=np.uint8)).reshape(len(bitmaps), -1)
 
@@ -413,7 +464,7 @@ def _long_list_edges(parts: DataFrame) -> DataFrame:
                 i, j = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j])], names=["a", "b"])
 
-    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
+    return arrow_map(parts.repartition("part").sortWithinPartitions("part"), run, "a long, b long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -465,7 +516,7 @@ def _exact_edges(parts: DataFrame) -> DataFrame:
                 i, j = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in i]), pa.array([names[k] for k in j])], names=["a", "b"])
 
-    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a string, b string")
+    return arrow_map(parts.repartition("part").sortWithinPartitions("part"), run, "a string, b string")
 
 
 def candidate_edges(docs: DataFrame, described: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
@@ -489,23 +540,25 @@ def candidate_edges(docs: DataFrame, described: DataFrame, sets: DataFrame, text
     right = marks.select(F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("bitmap").alias("map_b"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, 5000):
+        for b in (whole.slice(at, 5000) for whole in batches for at in range(0, whole.num_rows, 5000)):
             ok = bitmaps_pass(b["map_a"].to_pylist(), b["map_b"].to_pylist(), b["size_a"].to_numpy(), b["size_b"].to_numpy())
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     # Both sides of these joins grow with the documents: sort-merge at every size.
-    short = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(keep, "a long, b long")
+    marked = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "size_a", "size_b", "map_a", "map_b")
+    short = arrow_map(marked, keep, "a long, b long")
     members = scanned.where("b is null").select(F.col("key").alias("grp"), "a", "size")
-    parts = _blocked(members, LIST_BLOCK // 2, "1").join(marks.select(F.col("sid").alias("a"), "bitmap").hint("merge"), "a")
-    long = _long_list_edges(parts.select("part", "a", "size", "bitmap"))
+    maps = marks.select(F.col("sid").alias("a"), "bitmap").hint("merge")
+    long = _connected(
+        members, LIST_BLOCK // 2, "1", lambda parts: _long_list_edges(parts.join(maps, "a").select("part", "a", "size", "bitmap"))
+    )
     return stored(short.unionByName(long), "candidates")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id`` for every row."""
-    bounded_batches(docs.sparkSession)
+def _rows_by_component(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text_key, size, component`` of every row, stored; no component without words."""
     described = stored(describe_sets(docs, id_col, text_col), "sets")
-    rows = described.where("kind = 0").select(id_col, "text_key", "size", "digest")
+    rows = described.where("kind = 0").select(F.col(id_col).alias("id"), "text_key", "size", "digest")
     sid = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
     sets = stored(
         described.where("kind = 0 and size >= 3")
@@ -522,35 +575,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ),
         "members",
     )
-    weight = f"greatest(size, {SET_BLOCK // MEMBER_BLOCK})"
-    parts = _blocked(members.select("grp", "a", "size"), SET_BLOCK // 2, weight)
     text = text_or_empty(text_col)
     wanted = members.select(F.col("a"), "__id", "__text")
     texts = docs.select(F.col(id_col).alias("__own"), text.alias("text")).withColumn("__key", F.xxhash64("text"))
     found = texts.join(wanted.hint("merge"), (F.col("__key") == F.col("__text")) & F.col("__own").eqNullSafe(F.col("__id"))).select("a", "text")
-    edges = _exact_edges(parts.join(found.hint("merge"), "a").select("part", F.col("a").alias("digest"), "text"))
+    weight = f"greatest(size, {SET_BLOCK // MEMBER_BLOCK})"
+    edges = _connected(
+        members.select("grp", "a", "size"),
+        SET_BLOCK // 2,
+        weight,
+        lambda parts: _exact_edges(parts.join(found.hint("merge"), "a").select("part", F.col("a").alias("digest"), "text")),
+    )
     labels = connected_components(stored(edges, "links"))
-    keyed = stored(
+    return stored(
         rows.join(labels, rows["digest"] == labels["node"], "left").select(
-            id_col, "size", F.coalesce("label", "digest").alias("__key")
+            "id", "text_key", "size", F.coalesce("label", "digest").alias("component")
         ),
         "keyed",
     )
-    least = stored(keyed.where("__key is not null").groupBy("__key").agg(F.min(id_col).alias("__least")), "least")
-    return keyed.join(least, "__key", "left").select(
-        F.col(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("__least")).otherwise(F.col(id_col)).alias("component_id")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_shingles, component_id`` for every row."""
+    rows = _rows_by_component(docs, id_col, text_col)
+    least = stored(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least")), "least")
+    return rows.join(least, "component", "left").select(
+        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id")
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns.
+    """One document of each component, with all its columns; documents without words stay.
 
-    Of repeated rows of that id one stays. Documents with a null id stay.
+    The one with the smallest id stays (a null id only where all are null; of equal ids
+    the one with the smallest hash of its text). Rows are told apart by id and text, so rows
+    of one id that are not linked are decided each by itself. Of rows that are equal in both
+    one stays.
     """
-    stay = stored(jaccard_components(docs, id_col, text_col).where(f"`{id_col}` is null or `{id_col}` = component_id"), "stay")
-    ids = stay.groupBy(F.col(id_col).alias("__stay")).agg(F.count(F.lit(1)).alias("__n"))
-    joined = docs.join(ids, F.col(id_col).eqNullSafe(F.col("__stay")))
-    if not ids.where("__n > 1 and __stay is not null").isEmpty():
-        nth = Window.partitionBy("__stay").orderBy(F.length(text_or_empty(text_col)).desc())
-        joined = joined.withColumn("__nth", F.row_number().over(nth)).where("__nth = 1 or __stay is null")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _rows_by_component(docs, id_col, text_col).where("component is not null")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    first = stored(rows.groupBy("component").agg(F.min(order).alias("first")), "first-rows")
+    stay = first.select(F.col("first.id").alias("stay_id"), F.col("first.text_key").alias("stay_key"))
+    text = text_or_empty(text_col)
+    keys = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    kept = keys.where("words").join(
+        stay.hint("merge"), (F.col("key") == F.col("stay_key")) & F.col("id").eqNullSafe(F.col("stay_id"))
+    )
+    same = rows.join(first, "component").where(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
+    if not same.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        nth = Window.partitionBy("stay_key", "stay_id").orderBy(F.lit(1))
+        kept = kept.withColumn("nth", F.row_number().over(nth)).where("nth = 1")
+    return keys.where(~F.col("words")).select("row.*").unionByName(kept.select("row.*"))

@@ -78,7 +78,38 @@ def test_empty_table_and_clashing_columns(spark):
     assert sorted(x.component_id for x in jaccard_components(docs).where("n_shingles > 0").collect()) == [1, 1, 1, 1]
     kept = keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((x.doc_id or -1, x.component_id) for x in kept.collect()) == [(-1, 7), (-1, 8), (1, 5)]
+    assert sorted((x.doc_id or -1, x.component_id) for x in kept.collect()) == [(-1, 8), (1, 5)]
+
+
+def test_rows_of_one_id_are_decided_each_by_itself(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+    one, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, one, 0), (1, other, 1), (2, one + " end", 2), (None, one + " last", 3), (None, other + " last", 4), (5, None, 5), (5, None, 6), (6, "x " * 300_000, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row` int")
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(x["row"] for x in kept.collect()) == [0, 1, 5, 6, 7]
+
+
+def test_a_large_group_with_members_apart_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "SET_BLOCK", 600)
+    monkeypatch.setattr(jaccard_join, "MEMBER_BLOCK", 16)
+    r = random.Random(5)
+    shared = [f"s{k}" for k in range(12)]
+    rows = []
+    for k in range(60):  # one tight group, chains beside it, and texts that only share a passage
+        own = [f"c{j}" for j in range(30)]
+        own[k % 30] = f"v{k}"
+        rows.append((k, " ".join(shared + own)))
+    chain = [f"z{j}" for j in range(60)]
+    for k in range(25):
+        chain = chain[2:] + [f"n{k}a", f"n{k}b"]
+        rows.append((1000 + k, " ".join(shared + chain)))
+    for k in range(60):
+        rows.append((2000 + k, " ".join(shared + [f"q{r.randrange(10**6)}" for _ in range(r.randint(8, 60))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in jaccard_components(docs).collect()) == brute(rows)
 
 
 def test_prefixes_and_boundary():
