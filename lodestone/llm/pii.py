@@ -15,12 +15,15 @@ seeds stay at 1; a candidate starts at ``LIKE`` if its shape (digits as 9, lette
 something @ something) is one of its kind's seeds, else at 0. After ``ROUNDS`` rounds,
 instances of at least ``CONFIDENT`` that stand in a pattern of at least as much, which at
 least ``SUPPORT`` different seeds support, are new findings, each of its likeliest kind.
+These are seeds of the next generation: they induce patterns at all places where they stand,
+which find further instances, for ``GENERATIONS`` generations or until nothing is new.
 Where there is no word on either side only candidates of a seed's shape enter.
 
 Null and empty texts have no findings; repeated rows and null ids are scanned each by
 itself; an empty table gives an empty result; columns other than id and text are
 ignored. Expressions start only where a run of characters starts (or where the last
-match ended) and take runs possessively, so very long runs cost linear time.
+match ended) and take runs possessively, so very long runs cost linear time. A text of n
+matches takes n * sqrt(n) steps for their positions, which are summed in blocks.
 
 The scan is stored once; all graph tables are aggregates of it with partial sums before
 each shuffle, so a frequent pattern or a hot source is never gathered into one task.
@@ -37,6 +40,7 @@ from lodestone.llm.common import stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
+GENERATIONS = 3
 CONFIDENT = 0.8
 SUPPORT = 5
 #: First score of a candidate that looks like a seed of its kind.
@@ -66,8 +70,25 @@ def _after(piece: Column) -> Column:
     return F.lower(F.regexp_extract(F.left(piece, F.lit(BESIDE)), r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)", 1))
 
 
-def _total(lengths: Column, upto: Column) -> Column:
-    return F.aggregate(F.slice(lengths, F.lit(1), upto), F.lit(0), lambda a, x: a + x)
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _block(items: Column) -> Column:
+    """Length of the blocks in which a long array is gone through: about its square root."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+
+
+def _each_block(items: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` each block of the array, in order."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(items) - 1, _block(items)), lambda at: of(F.slice(items, at + 1, _block(items)))
+    )
+
+
+def _sums_before(numbers: Column) -> Column:
+    """At each place the sum of what comes before it."""
+    return F.transform(numbers, lambda _, k: _sum(F.slice(numbers, F.lit(1), k)))
 
 
 def matches(text: Column, expression: str, present: Column) -> tuple[Column, Column]:
@@ -79,11 +100,16 @@ def matches(text: Column, expression: str, present: Column) -> tuple[Column, Col
     )
 
 
-def placed(found: Column, pieces: Column, piece_lengths: Column, match_lengths: Column) -> Column:
-    """``start, end, value, before, after`` of each match."""
+def placed(found: Column, pieces: Column, steps: Column, before: Column) -> Column:
+    """``start, end, value, before, after`` of each match.
+
+    ``steps``: the length of each piece and the match after it; ``before``: their sums up to each block.
+    """
 
     def one(value: Column, k: Column) -> Column:
-        start = _total(piece_lengths, k + 1) + _total(match_lengths, k)
+        block = F.floor(k / _block(steps)).cast("int")
+        upto = F.slice(steps, block * _block(steps) + 1, k - block * _block(steps))
+        start = F.get(before, block) + _sum(upto) + F.length(F.get(pieces, k))
         return F.struct(
             start.alias("start"),
             (start + F.length(value)).alias("end"),
@@ -163,55 +189,60 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "phone": F.col("__digit") & F.contains(text, F.lit("+")),
         "candidates": F.col("__at") | F.col("__digit"),
     }
-    # Each layer of columns uses the one before it.
-    layers: list[dict[str, Column]] = [{}, {}, {}]
+    # Each layer of columns uses the ones before it.
+    layers: list[dict[str, Column]] = [{}, {}, {}, {}, {}]
     for kind, there in present.items():
         found, pieces = matches(text, EXPRESSIONS.get(kind, CANDIDATE), there)
+        m, p, steps, sums, before = (F.col(f"__{c}_{kind}") for c in ("m", "p", "steps", "sums", "before"))
         layers[0] |= {f"__m_{kind}": found, f"__p_{kind}": pieces}
-        layers[1] |= {
-            f"__ml_{kind}": F.transform(F.col(f"__m_{kind}"), lambda x: F.length(x)),
-            f"__pl_{kind}": F.transform(F.col(f"__p_{kind}"), lambda x: F.length(x)),
-        }
-        spans = placed(*(F.col(f"__{c}_{kind}") for c in ("m", "p", "pl", "ml")))
+        layers[1] |= {f"__steps_{kind}": F.zip_with(p, m, lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))}
+        layers[2] |= {f"__sums_{kind}": F.when(F.size(m) > 0, _each_block(steps, _sum))}
+        layers[3] |= {f"__before_{kind}": _sums_before(sums)}
+        spans = placed(m, p, steps, before)
         if kind in KINDS:
             spans = F.filter(spans, passing(kind))
         else:
             spans = F.filter(F.transform(spans, trimmed), lambda c: c["start"] < c["end"])
-        layers[2][kind] = spans
+        layers[4][kind] = spans
     for layer in layers:
         signs = signs.withColumns(layer)
-    free = F.filter(
-        "candidates",
-        lambda c: ~F.exists(
-            F.concat(*KINDS), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
-        ),
+    every = F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"], s["end"])))
+    bounds = lambda block: F.struct(
+        F.get(block, F.lit(0))["start"].alias("low"), F.array_max(F.transform(block, lambda s: s["end"])).alias("high"), block.alias("spans")
     )
+    signs = signs.withColumn("__every", every)
+    signs = signs.withColumn("__blocks", F.when(F.size("__every") > 0, _each_block(F.col("__every"), bounds)))
+    meets = lambda c: F.exists(
+        "__blocks",
+        lambda b: (b["low"] < c["end"]) & (c["start"] < b["high"]) & F.exists(b["spans"], lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])),
+    )
+    free = F.when(F.col("__blocks").isNull(), F.col("candidates")).otherwise(F.filter("candidates", lambda c: ~meets(c)))
     return stored(
         signs.select(F.monotonically_increasing_id().alias("__row"), id_col, *KINDS, free.alias("candidates")), "pii-scan"
     )
 
 
-def _votes(scanned: DataFrame) -> DataFrame:
-    """``kind, pattern, instance, like, seed``: the graph's distinct edges."""
-    pattern = F.concat_ws(" ", "s.before", F.lit("_"), "s.after")
+def _pattern() -> Column:
+    return F.concat_ws(" ", "s.before", F.lit("_"), "s.after").alias("pattern")
+
+
+def _instances(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds (``kind, pattern, instance, shape``) and candidates (without ``kind``), each distinct."""
     seeds = None
     for kind in KINDS:
         some = scanned.where(F.size(kind) > 0).select(F.lit(kind).alias("kind"), F.explode(kind).alias("s"))
         seeds = some if seeds is None else seeds.unionByName(some)
-    seeds = stored(
-        seeds.select("kind", pattern.alias("pattern"), F.col("s.value").alias("instance"), shape_of(F.col("s.value")).alias("shape")).distinct(),
-        "pii-seeds",
-    )
-    candidates = stored(
-        scanned.where(F.size("candidates") > 0)
-        .select(F.explode("candidates").alias("s"))
-        .select(pattern.alias("pattern"), F.col("s.value").alias("instance"), shape_of(F.col("s.value")).alias("shape"))
-        .distinct(),
-        "pii-candidates",
-    )
+    own = [_pattern(), F.col("s.value").alias("instance"), shape_of(F.col("s.value")).alias("shape")]
+    others = scanned.where(F.size("candidates") > 0).select(F.explode("candidates").alias("s"))
+    return stored(seeds.select("kind", *own).distinct(), "pii-seeds"), stored(others.select(*own).distinct(), "pii-candidates")
+
+
+def _edges(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``kind, pattern, instance, like, seed``: the graph's distinct edges."""
     shapes = seeds.select("kind", "shape", F.lit(True).alias("like")).distinct()
     entering = candidates.join(seeds.select("kind", "pattern").distinct(), "pattern").join(shapes, ["kind", "shape"], "left")
     entering = entering.where(F.col("like") | (F.col("pattern") != " _ ")).select("kind", "instance").distinct()
+    entering = entering.join(seeds.select("kind", "instance").distinct(), ["kind", "instance"], "left_anti")
     others = candidates.join(entering, "instance").join(shapes, ["kind", "shape"], "left")
     columns = ["kind", "pattern", "instance", F.coalesce("like", F.lit(False)).alias("like"), "seed"]
     return stored(
@@ -244,14 +275,29 @@ def accepted(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return sure.groupBy("pattern", "instance").agg(best.alias("best")).select("best.kind", "pattern", "instance")
 
 
+def bootstrapped(scanned: DataFrame, generations: int = GENERATIONS, rounds: int = ROUNDS) -> DataFrame:
+    """``kind, pattern, instance``: the confident occurrences of all generations."""
+    seeds, candidates = _instances(scanned)
+    found = None
+    for n in range(generations):
+        good = stored(accepted(_edges(seeds, candidates), rounds), f"pii-accepted-{n}")
+        found = good if found is None else found.unionByName(good)
+        if n + 1 == generations or good.isEmpty():
+            break
+        # What was found is a seed from now on, wherever it stands.
+        promoted = candidates.join(good.select("kind", "instance").distinct(), "instance").select("kind", "pattern", "instance", "shape")
+        seeds = stored(seeds.unionByName(promoted), f"pii-seeds-{n + 1}")
+    return found
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, base, found``: arrays of ``kind, start, end`` by kind as listed, then start."""
     scanned = scan(docs, id_col, text_col)
-    good = stored(accepted(_votes(scanned)), "pii-accepted")
+    good = bootstrapped(scanned)
     occurrences = (
         scanned.where(F.size("candidates") > 0)
         .select("__row", F.explode("candidates").alias("s"))
-        .select("__row", "s.start", "s.end", F.concat_ws(" ", "s.before", F.lit("_"), "s.after").alias("pattern"), F.col("s.value").alias("instance"))
+        .select("__row", "s.start", "s.end", _pattern(), F.col("s.value").alias("instance"))
         .join(good, ["pattern", "instance"])
     )
     found = occurrences.groupBy("__row").agg(

@@ -8,17 +8,23 @@ average and at least ``RADIUS``, but for the first and last of a text.
 
 A chunk is repeated if its 64-bit digest (with its length) occurs in documents of
 different ids. The document with the smallest id keeps it. In the others, unbroken runs
-of repeated chunks of at least ``MIN_CHARS`` code points are duplicate spans: a passage
-of over 50 words gives one, whatever stands around it; a chance match of one chunk
-does not. Runs inside one document only are not duplicates.
+of repeated chunks of at least ``min_chars`` code points are duplicates: a passage of
+over 50 words gives one, whatever stands around it (what it loses at its ends is less
+than two chunks); a chance match of one chunk does not. A run comes as spans, one for each
+stretch that the keeping document has in one piece: the text of a span stands in the
+document ``first_id`` from ``first_start`` on. Runs inside one document only are not
+duplicates.
 
 Null and empty texts have no chunks. Rows of equal id count as one document; a null id
-counts as the smallest. A text without any maximum (one character over and over) is one
-chunk. An empty table gives an empty result; columns other than id and text are ignored.
+(of any type) is an id of its own that is smaller than all others. A text without any
+maximum (one character over and over) is one chunk. Very long texts are cut whole. An empty
+table gives an empty result; columns other than id and text are ignored
+(``without_duplicate_spans`` keeps them, whatever their names).
 
 Digests are aggregated with partial minima and maxima, so a line that a third of all
 documents share costs one row per task; the join back needs no whole groups, so Spark
-splits hot digests. Runs are windows over one document's chunks.
+splits hot digests. Runs are windows over one document's chunks. The texts are cut twice, for
+the digests and for the join: that takes less than to store and read all chunks.
 """
 
 from __future__ import annotations
@@ -27,13 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored, text_or_empty
+from lodestone.llm.common import arrow_map, stored, text_or_empty, whole_row
 
 RADIUS = 16
 WINDOW = 8
+#: Least length of a run, in code points: about 20 words of typical length.
 MIN_CHARS = 96
 #: Code points that are hashed at once (a longer text is hashed alone).
 BLOCK_CHARS = 1_000_000
@@ -41,7 +48,6 @@ _TABLE = 1 << 12
 _GEAR = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 32, _TABLE, dtype=np.uint32)
 _DIGEST = np.random.Generator(np.random.PCG64(12)).integers(1, 1 << 63, _TABLE, dtype=np.uint64) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
-_LEAST = -(1 << 63)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -115,61 +121,64 @@ def text_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col), F.hash(text).alias("part"), text.alias("text")).mapInArrow(
-        run, f"`{id_col}` {kind}, part int, start int, end int, digest long"
+    return arrow_map(
+        docs.select(F.col(id_col), F.hash(text).alias("part"), text.alias("text")), run, f"`{id_col}` {kind}, part int, start int, end int, digest long"
     )
 
 
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, part, start, end, n_chunks, first_id``: spans that a document with a smaller id keeps."""
-    chunks = text_chunks(docs, id_col, text_col)
-    if dict(chunks.dtypes)[id_col] == "bigint":
-        chunks = chunks.withColumn(id_col, F.coalesce(F.col(id_col), F.lit(_LEAST)))
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """``id, part, start, end, n_chunks, first_id, first_start``: spans that a document with a smaller id keeps."""
+    # A struct that tells null ids apart orders them first, whatever the id's type.
+    doc = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"))
+    chunks = text_chunks(docs, id_col, text_col).select(doc.alias("doc"), "part", "start", "end", "digest")
     repeated = stored(
         chunks.groupBy("digest")
-        .agg(F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
-        .where("first_id <> last_id")
-        .select("digest", "first_id"),
+        .agg(F.min(F.struct("doc", "part", "start")).alias("first"), F.max("doc").alias("last"))
+        .where("first.doc <> last")
+        .select("digest", "first"),
         "repeated-chunks",
     )
     # The repeated digests grow with the documents: sort-merge at every size.
-    found = chunks.join(repeated.hint("merge"), "digest").where(F.col(id_col) != F.col("first_id"))
-    of_text = Window.partitionBy(id_col, "part").orderBy("start")
-    breaks = (F.col("start") != F.lag("end", 1, -1).over(of_text)).cast("int")
-    runs = (
-        found.select(id_col, "part", "start", "end", "first_id")
-        .distinct()
-        .withColumn("__break", breaks)
-        .withColumn("__run", F.sum("__break").over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(id_col, "part", "__run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_id").alias("first_id"))
-        .where(F.col("end") - F.col("start") >= MIN_CHARS)
-        .drop("__run")
+    found = chunks.join(repeated.hint("merge"), "digest").where("doc <> first.doc")
+    # Where the keeping document has it: chunks that follow each other there share all three.
+    source = F.struct("first.doc", "first.part", (F.col("start") - F.col("first.start")).alias("shift"))
+    of_text = Window.partitionBy("doc", "part").orderBy("start")
+    so_far = of_text.rowsBetween(Window.unboundedPreceding, 0)
+    spans = (
+        found.select("doc", "part", "start", "end", source.alias("source"))
+        .withColumn("last", F.lag(F.struct("start", "end", "source")).over(of_text))
+        .where(F.col("last").isNull() | (F.col("last.start") != F.col("start")))  # a repeated row counts once
+        .withColumn("gap", F.coalesce(F.col("start") != F.col("last.end"), F.lit(True)))
+        .withColumn("run", F.sum(F.col("gap").cast("int")).over(so_far))
+        .withColumn("piece", F.sum((F.col("gap") | (F.col("source") != F.col("last.source"))).cast("int")).over(so_far))
+        .groupBy("doc", "part", "run", "piece")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min("source").alias("source"))
+        .withColumn("chars", F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("doc", "part", "run")))
+        .where(F.col("chars") >= min_chars)
+    )
+    return spans.select(
+        F.col("doc.id").alias(id_col), "part", "start", "end", "n_chunks",
+        F.col("source.doc.id").alias("first_id"), (F.col("start") - F.col("source.shift")).alias("first_start"),
     )
-
-    def named(column: str) -> Column:
-        return F.when(F.col(column) != _LEAST, F.col(column)) if dict(runs.dtypes)[column] == "bigint" else F.col(column)
-
-    return runs.select(named(id_col).alias(id_col), "part", "start", "end", "n_chunks", named("first_id").alias("first_id"))
 
 
 def without_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the duplicate spans cut out of their texts."""
     spans = stored(duplicate_spans(docs, id_col, text_col), "duplicate-spans")
-    of_text = spans.groupBy(F.col(id_col).alias("__id"), F.col("part").alias("__part")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")
+    of_text = spans.groupBy(F.col(id_col).alias("span_id"), F.col("part").alias("span_part")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")
     )
-    text = text_or_empty(text_col)
+    text = F.col("plain")
     # Each span is followed by what stands up to the next one.
     kept = F.transform(
-        "__spans",
-        lambda s, k: F.substring(
-            text, s["end"] + 1, F.coalesce(F.get("__spans", k + 1)["start"], F.length(text)) - s["end"]
-        ),
+        "spans",
+        lambda s, k: F.substring(text, s["end"] + 1, F.coalesce(F.get("spans", k + 1)["start"], F.length(text)) - s["end"]),
     )
-    rest = F.concat(F.substring(text, F.lit(1), F.get("__spans", F.lit(0))["start"]), F.array_join(kept, ""))
-    marked = docs.withColumn("__hash", F.hash(text))
-    joined = marked.join(of_text, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__part")), "left")
+    rest = F.concat(F.substring(text, F.lit(1), F.get("spans", F.lit(0))["start"]), F.array_join(kept, ""))
+    plain = text_or_empty(text_col)
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), plain.alias("plain"), F.hash(plain).alias("hash"))
+    joined = rows.join(of_text, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("hash") == F.col("span_part")), "left")
+    own = F.col("row")[text_col]
     return joined.select(
-        *[(F.when(F.col("__spans").isNotNull(), rest).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
+        *[(F.when(F.col("spans").isNotNull(), rest).otherwise(own) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
     )

@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from lodestone.llm import secrets
 from lodestone.llm import substring_dedup as sd
-from lodestone.llm.pii import KINDS, find_personal_data, luhn, digits_of
+from lodestone.llm.pii import KINDS, bootstrapped, digits_of, find_personal_data, luhn, scan
 from lodestone.llm.secrets import find_secrets
 from pyspark.sql import functions as F
 
@@ -25,15 +27,17 @@ def test_repeated_passages_are_found_and_clean_texts_left_alone(spark):
     rows += [*planted.items(), (50, None), (51, ""), (52, "a" * 500), (53, "short")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int")
     spans = sd.duplicate_spans(docs).collect()
-    assert {(s.doc_id, s.first_id) for s in spans} == {(41, 40), (42, 40)}
+    assert {s.doc_id for s in spans} == {41, 42} and all(s.first_id < s.doc_id for s in spans)
+    texts = dict(rows)
     for s in spans:
         assert planted[s.doc_id][s.start : s.end] in passage
+        assert texts[s.first_id][s.first_start : s.first_start + s.end - s.start] == texts[s.doc_id][s.start : s.end]
     cleaned = {x.doc_id: x.text for x in sd.without_duplicate_spans(docs).collect()}
     for i, t in rows:
         expected = t
-        for s in spans:
+        for s in sorted(spans, key=lambda s: -s.start):
             if s.doc_id == i:
-                expected = t[: s.start] + t[s.end :]
+                expected = expected[: s.start] + expected[s.end :]
         assert cleaned[i] == expected
     assert sd.duplicate_spans(docs.limit(0)).collect() == []
 
@@ -48,6 +52,62 @@ def test_chunks_cover_texts_and_resist_insertions():
     assert len(a & b) >= len(a) - 2
 
 
+def brute_spans(rows, min_chars):
+    """Plain loops over the chunks of ``rows`` (id, text): (id, start, end, first id, first start)."""
+    chunks = []
+    for i, t in rows:
+        owner, start, end, digest = sd.chunk_texts([t or ""])
+        chunks.append((i, [(int(a), int(b), int(d)) for a, b, d in zip(start, end, digest)]))
+    low = lambda i: (i is not None, i or 0)
+    first, ids = {}, {}
+    for i, own in chunks:
+        for a, _, d in own:
+            first[d] = min(first.get(d, (low(i), a, i)), (low(i), a, i))
+            ids.setdefault(d, set()).add(low(i))
+    out = []
+    for i, own in chunks:
+        runs = []
+        for a, b, d in own:
+            if len(ids[d]) < 2 or first[d][0] == low(i):
+                continue
+            piece = (a, b, first[d][2], first[d][1])
+            if not runs or runs[-1][-1][1] != a:
+                runs.append([])
+            last = runs[-1][-1] if runs[-1] else None
+            if last and last[2] == piece[2] and last[3] - last[0] == piece[3] - a:
+                runs[-1][-1] = (last[0], b, last[2], last[3])
+            else:
+                runs[-1].append(piece)
+        for run in runs:
+            if run[-1][1] - run[0][0] >= min_chars:
+                out += [(i, *piece) for piece in run]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_spans_equal_brute_force_and_stand_in_the_first_document(spark, kind):
+    r = random.Random(8)
+    passages = [prose(r, 30) for _ in range(6)]
+    texts = {}
+    for k in range(40):
+        texts[k] = " ".join(r.choice(passages) if r.random() < 0.5 else prose(r, 25) for _ in range(5))
+    texts[41], texts[42] = prose(r, 20_000) + passages[0], "ab" * 300
+    texts[43] = prose(r, 30) + "ab" * 300
+    texts[None] = passages[1] + " " + prose(r, 40)
+    of = (lambda i: i) if kind == "long" else (lambda i: None if i is None else f"d{i:03d}")
+    rows = [(of(i), t) for i, t in texts.items()]
+    repeated = [*rows, rows[3], rows[5]]  # rows of one id and text count once
+    docs = spark.createDataFrame([(i, t, 9, 9) for i, t in repeated], f"doc_id {kind}, text string, start int, digest int")
+    found = sd.duplicate_spans(docs, min_chars=60).collect()
+    named = {of(i): t for i, t in texts.items()}
+    for s in found:
+        assert named[s.first_id][s.first_start : s.first_start + s.end - s.start] == named[s.doc_id][s.start : s.end]
+    if kind == "long":
+        assert sorted(((s.doc_id, s.start, s.end, s.first_id, s.first_start) for s in found), key=str) == brute_spans(rows, 60)
+    assert any(s.first_id is None for s in found) and all(s.doc_id is not None for s in found)
+    assert sd.without_duplicate_spans(docs).columns == docs.columns
+
+
 SECRET_PATTERNS = [
     ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 8),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
@@ -77,6 +137,45 @@ def test_base_secrets_equal_brute_force_and_stay(spark):
     assert find_secrets(docs.limit(0)).collect() == []
 
 
+def test_keys_of_formats_that_the_fit_has_not_seen_are_found():
+    r = random.Random(12)
+    lines = [f"{prose(r, 6)} {r.choice(['see', 'id', 'page'])} {r.choice(['a1b2c3d4e5', '4111111111111111', 'chapter12of40', 'https'])} {prose(r, 6)}" for _ in range(300)]
+    lines += [f"{prose(r, 4)} password={''.join(r.choices('abcdefghijkmnp23456789', k=14))} {prose(r, 4)}" for _ in range(60)]
+    windows, labels = [], []
+    for line in lines:
+        for _, _, shown, known in secrets.candidates(line, secrets.base_findings(line)):
+            windows += shown
+            labels += [known] * len(shown)
+    draws = secrets._drawer(np.random.Generator(np.random.PCG64(3)))
+    for held in (("code_host", "chat"), ("web_token", "payment"), ("maps", "packages", "big_hex")):
+        net = secrets.fit(windows, np.array(labels), {k: f for k, f in secrets.FORMATS.items() if k not in held})
+        caught = lambda value: net.probabilities(secrets.shown(f"we use {value} here", 7, 7 + len(value))).max() >= net.threshold
+        for name in held:
+            assert np.mean([caught(secrets.FORMATS[name](draws)) for _ in range(60)]) >= 0.9, name
+        for name in ("number", "date", "path", "name", "long_word"):
+            assert np.mean([caught(secrets.LOOKALIKES[name](draws)) for _ in range(60)]) <= 0.1, name
+
+
+def test_candidates_do_not_hang_on_the_rest_of_the_text():
+    key = "QwErTyUiOpAsDfGhJkLzXcVbNmQwErTy"
+    for around in ("plain words", "1 digit", "password=abcdefgh1"):
+        text = f"{around} {key} end"
+        assert (text.index(key), text.index(key) + 32) in [c[:2] for c in secrets.candidates(text, secrets.base_findings(text))]
+    long = "a1" * 50_000
+    (start, end, shown, known), = secrets.candidates(f"x {long} y", [])
+    assert (start, end, known) == (2, 100_002, False) and shown[-1].rstrip("\0").endswith(" y") and len(shown) > 4000
+    assert all(len(w) == len(shown[0]) for w in shown)
+
+
+def test_secrets_without_examples_and_in_long_texts(spark):
+    r = random.Random(3)
+    text = prose(r, 30_000) + " token=abcdefghij " + prose(r, 30_000)
+    rows = spark.createDataFrame([(1, text), (1, text), (2, prose(r, 5))], "doc_id long, text string")
+    at = text.index("token=")
+    found = [[(s.kind, s.start, s.end) for s in x.spans if s.kind != "learned"] for x in find_secrets(rows).collect()]
+    assert sorted(found) == [[], [("assign", at, at + 16)], [("assign", at, at + 16)]]
+
+
 def passes_luhn(d):
     total = 0
     for k, c in enumerate(reversed(d)):
@@ -134,6 +233,27 @@ def test_identifiers_of_another_form_enter_by_their_context(spark):
     assert all(not f for k, f in found.items() if k not in planted)
 
 
+def test_what_is_found_finds_more_in_the_next_generation(spark):
+    r = random.Random(9)
+    rows = [(k, f"{prose(r, 4)} phone: +49 30 {5550000 + 37 * k} today {prose(r, 4)}") for k in range(40)]
+    first = {100 + k: f"AC-{k}-{9000 + k}" for k in range(8)}
+    second = {200 + k: f"AC/{k}/{7000 + k}x" for k in range(4)}
+    rows += [(k, f"we phone: {v} today and badge {v} active") for k, v in first.items()]
+    rows += [(k, f"{prose(r, 3)} badge {v} active {prose(r, 3)}") for k, v in second.items()]
+    rows += [(300, "room 12345 open"), (301, None), (302, "phone: +49 30 5550000 today " * 3000)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    scanned = scan(docs)
+    reached = [{x.instance for x in bootstrapped(scanned, generations=n).collect()} for n in (1, 3)]
+    assert reached[0] == set(first.values()) and reached[1] == set(first.values()) | set(second.values())
+    found = find_personal_data(docs).collect()
+    assert len(found) == len(rows) + 1
+    by_id = {x.doc_id: x for x in found}
+    for k, v in second.items():
+        at = dict(rows)[k].index(v)
+        assert [(s.kind, s.start, s.end) for s in by_id[k].found] == [("phone", at, at + len(v))]
+    assert [(s.kind, s.start, s.end) for s in by_id[302].base] == personal(dict(rows)[302])
+
+
 def test_luhn(spark):
     numbers = ["4111111111111111", "4111111111111112", "79927398713", "0"]
     got = spark.createDataFrame([(n,) for n in numbers], "n string").select(luhn(digits_of(F.col("n"))).alias("ok")).collect()
