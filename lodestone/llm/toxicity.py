@@ -8,43 +8,52 @@ whole text; a document's logit is that of its highest window, calibrated on docu
 that the fit left out.
 
 The network is fitted on the driver on a bounded sample: at most ``MAX_TOXIC`` and
-``MAX_CLEAN`` labelled documents, taken in the order of a hash of their id, of those whose
-crc32(id as text) mod 3 is not 1. Of a toxic document the window that scores highest is
+``MAX_CLEAN`` labelled documents of at most ``MAX_SAMPLE_BYTES`` each, taken in the order of a
+hash of their id, of those whose crc32(id as text) mod 3 is not 1 (of an id that is repeated,
+the first text). Of a toxic document the window that scores highest is
 its example (the label says that some window is toxic), of a clean one the highest and a
 random one. Neither labels, language, source nor ids are inputs of a score.
 
 Null and empty texts, and texts without a word, score 0.0. Without labels of both kinds
-all scores are 0.0. Repeated rows score alike. Repeated or null labels count as they
-stand and are ignored respectively. Empty tables give empty results.
+all scores are 0.0. Repeated rows score alike. Repeated labels count once, null ones and
+those without an id are ignored; a row without an id is scored and not held out. Empty tables
+give empty results; a very long text is scored in all its windows. A column that has the
+score's name is replaced by it; ``drop_toxic`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, compress
 from operator import ne
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, text_or_empty
+from lodestone.llm.common import arrow_map, fields, fresh, released, sliced, text_or_empty
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 WINDOW, STRIDE = 32, 16
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
+#: Longer texts are scored but not fitted on, so the driver's sample is bounded in bytes too.
+MAX_SAMPLE_BYTES = 1 << 15
 THRESHOLD = 0.7
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 12, 8
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 16
 #: Lengths in bytes of n-grams taken anywhere in a word, and of its beginnings.
 GRAMS, BEGINNINGS = (3, 4, 5), (6, 7, 8, 9, 10)
 EPOCHS, BATCH, RATE = 5, 128, 0.01
+#: Small samples are gone through more often, until there are so many steps (or epochs).
+STEPS, MOST_EPOCHS = 180, 25
 #: Words that a task remembers; beyond it the table starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Words whose n-grams are expanded at once.
 CHUNK_WORDS = 8192
 WORD = re.compile(r"\w+")
@@ -52,7 +61,7 @@ WORD = re.compile(r"\w+")
 
 def held_out(id_col: Column) -> Column:
     """Whether a label is kept from the fit."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,12 +260,16 @@ class Scorer:
 
 
 def _log_odds(features: Iterable[np.ndarray], labels: np.ndarray, rows: int) -> np.ndarray:
-    """Of each feature: how much likelier a toxic text holds it, as a log ratio; 0 if rare."""
+    """Of each feature: how much likelier a toxic text holds it, as a log ratio; 0 if rare.
+
+    The ratio less its standard error, so that what chance may have done counts less.
+    """
     seen = np.zeros((2, rows))
     for f, y in zip(features, labels, strict=True):
         seen[int(y), f] += 1
     of = [max(1, int((labels == y).sum())) for y in (0, 1)]
     ratio = np.log((seen[1] + 0.5) / (of[1] + 1)) - np.log((seen[0] + 0.5) / (of[0] + 1))
+    ratio -= np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
     # What few toxic texts hold (a group of copies, say) may be chance.
     return np.where(seen[1] >= max(4, of[1] // 50), np.clip(ratio, 0, 6), 0).astype(np.float32)
 
@@ -298,8 +311,8 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
         return np.unique(np.concatenate([grams[bounds[w] : bounds[w + 1]] for w in some]))
 
     # A first guess of each part's weight, from the texts that hold it, finds the windows.
-    net.p["grams"][:, 0] += _log_odds((grams_in(texts_rows[k]) for k in train), labels[train], GRAM_ROWS) / 2
-    net.p["words"][:, 0] += _log_odds((np.unique(rows[texts_rows[k]]) for k in train), labels[train], WORD_ROWS) / 2
+    net.p["grams"][:, 0] += _log_odds((grams_in(texts_rows[k]) for k in train), labels[train], GRAM_ROWS) * 0.75
+    net.p["words"][:, 0] += _log_odds((np.unique(rows[texts_rows[k]]) for k in train), labels[train], WORD_ROWS) * 0.75
     windows = [windows_of(t + 1) for t in texts_rows]
     moments = {k: np.zeros_like(v) for k, v in net.p.items()}
     squares = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -317,7 +330,8 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
         flat = np.concatenate([net.forward(table, every[a : a + 2048])[0] for a in range(0, len(every), 2048)])
         return np.split(flat, np.cumsum([len(w) for w in windows])[:-1])
 
-    for epoch in range(EPOCHS):
+    per_epoch = -(-int((2 - labels[train]).sum()) // BATCH)
+    for _ in range(min(MOST_EPOCHS, max(EPOCHS, -(-STEPS // per_epoch)))):
         now = all_logits()
         examples, targets = [], []
         for k in train:
@@ -384,47 +398,57 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(max(a, 1e-3)), float(b))
 
 
+def _labelled(labels: DataFrame, id_col: str) -> DataFrame:
+    """``__id, toxic``: the labels that a fit may use."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    return usable.select(F.col(id_col).alias("__id"), "toxic").distinct()
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
     """The bounded sample of labelled texts (``text, toxic``), on the driver."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), "toxic")
+    usable = _labelled(labels, id_col)
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = [usable.where(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     sample = picked[0].unionByName(picked[1])
     text = text_or_empty(text_col)
+    short = docs.where(F.octet_length(text) <= MAX_SAMPLE_BYTES).select(F.col(id_col).alias("__own"), text.alias("text"))
     # At most MAX_TOXIC + MAX_CLEAN ids are broadcast.
-    found = docs.select(F.col(id_col).alias("__own"), text.alias("text")).join(F.broadcast(sample), F.col("__own") == F.col("__id"))
-    return found.select("__id", "text", "toxic").toPandas().sort_values(["__id", "toxic", "text"], kind="stable")
+    found = short.join(F.broadcast(sample), F.col("__own") == F.col("__id"))
+    one_each = found.groupBy("__id", "toxic").agg(F.min("text").alias("text"))
+    return one_each.toPandas().sort_values(["__id", "toxic"], kind="stable")
 
 
-def score_toxicity(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns and ``__score``."""
-    bounded_batches(docs.sparkSession)
+def score_toxicity(
+    docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", score_col: str = "__score"
+) -> DataFrame:
+    """``docs`` with its columns and the score."""
     model = docs.sparkSession.sparkContext.broadcast(network)
+    names = [c for c in docs.columns if c != score_col]
+    at = names.index(text_col)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
-        for whole in parts:
-            at = whole.schema.names.index(text_col)
-            for start in range(0, whole.num_rows, 250):
-                batch = whole.slice(start, 250)
+        for whole in batches:
+            for batch in sliced(whole, at, 250):
                 scores = pa.array(scorer.scores(batch.column(at).to_pylist()), pa.float64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, score_col])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, __score double")
+    own = docs.select(*[F.col(f"`{c}`") for c in names])
+    return arrow_map(own, run, f"{fields(docs, names)}, `{score_col}` double")
 
 
 def fitted_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    """The network fitted on the bounded sample of ``docs`` that have labels."""
     sample = training_sample(docs, labels, id_col, text_col)
-    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col(id_col)))
-    share = usable.agg(F.avg("toxic")).first()[0]
+    share = _labelled(labels, id_col).agg(F.avg("toxic")).first()[0]
     network = fit(sample["text"].tolist(), sample["toxic"].to_numpy(), share if share and share < 1 else None)
     del sample
-    gc.collect()  # the driver goes on with the rest of its jobs
+    released()  # the driver goes on with the rest of its jobs
     return network
 
 
 def drop_toxic(docs: DataFrame, network: Network, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents below the threshold, with their own columns."""
-    scored = score_toxicity(docs, network, id_col, text_col)
-    return scored.where(F.col("__score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = fresh(docs, "__score")
+    scored = score_toxicity(docs, network, id_col, text_col, score)
+    return scored.where(F.col(score) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
