@@ -7,12 +7,16 @@ that are no UTF-8 become U+FFFD.
 
 Null texts count as empty and give no ids; empty tables give empty results; repeated
 rows are encoded each; columns other than id and text are ignored. Very long texts
-are encoded whole.
+are encoded whole. Where an output has the name of an input column, the output stands.
+
+``bpe_round_trip`` encodes and decodes in one pass over Arrow batches, so a text crosses to
+Python once and each task has one worker with one vocabulary.
 
 The merges of all new pieces of a batch run together: their symbols lie in one flat
 array, the rank of every adjacent pair is found by binary search over the sorted pair
 keys, and each round merges, in every piece, its lowest-ranked pair. Pieces met
-before are taken from a table that is bounded by ``CACHE_PIECES`` entries.
+before are taken from a table that is bounded by ``CACHE_PIECES`` entries and lives as long
+as its partition.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches
+from lodestone.llm.common import arrow_map, fields, sliced, text_or_empty
 
 #: Pieces that a task remembers; beyond it the table starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: A vocabulary is broadcast; this bounds its size.
 MAX_VOCAB_BYTES = 64_000_000
 _NONE = np.int64(1) << 40
@@ -94,9 +98,6 @@ class ByteBpe:
         self.keys, self.ranks = keys[order], np.append(order.astype(np.int64), _NONE)
         self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)[order]
         self.special = {t["content"]: t["id"] for t in config.get("added_tokens", [])}
-        back = {s: bytes([i]) for i, s in enumerate(symbols)}
-        self.token_bytes = {i: b"".join(back[c] for c in token) for token, i in vocab.items()}
-        self.token_bytes |= {i: token.encode() for token, i in self.special.items()}
         self.special_pattern = (
             re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
             if self.special
@@ -207,8 +208,23 @@ class ByteBpe:
         flat = self.ids[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
         return flat, ends[np.concatenate([[0], np.cumsum(counts)])]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+class Decoder:
+    """What each id stands for, in bytes."""
+
+    def __init__(self, spec: bytes) -> None:
+        config = json.loads(spec)
+        back = {s: bytes([i]) for i, s in enumerate(byte_symbols())}
+        tokens = {i: b"".join(back[c] for c in token) for token, i in config["model"]["vocab"].items()}
+        tokens |= {t["id"]: t["content"].encode() for t in config.get("added_tokens", [])}
+        self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
+
+    def decode(self, flat: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts whose ids lie in ``flat`` between consecutive bounds."""
+        data = b"".join(map(self.tokens.__getitem__, flat.tolist()))
+        ends = np.concatenate([[0], np.cumsum(self.lengths[flat])])[bounds].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -220,47 +236,83 @@ def _vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(spec)
 
 
-@lru_cache(maxsize=2)
-def _loaded(spec: bytes) -> ByteBpe:
-    return ByteBpe(spec)
+def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _kept(docs: DataFrame, id_col: str, keep: tuple[str, ...], outputs: tuple[str, ...]) -> list[str]:
+    return [n for n in dict.fromkeys([id_col, *keep]) if n not in outputs]
 
 
 def bpe_encode(
     docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``id, ids ARRAY<INT>`` and the columns to ``keep``: the token ids of every whole text."""
-    bounded_batches(docs.sparkSession)
     spec = _vocabulary(docs.sparkSession, vocab_path)
-    names = list(dict.fromkeys([id_col, *keep]))
+    names = _kept(docs, id_col, keep, ("ids",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(spec.value)
+        bpe = ByteBpe(spec.value)
         for whole in batches:
-            for batch in _slices(whole, 1000):
-                flat, bounds = bpe.encode(batch.column(len(names)).to_pylist())
-                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+            for batch in sliced(whole, len(names)):
+                ids = _lists(*bpe.encode(batch.column(len(names)).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*names, "ids"])
 
-    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, ids array<int>")
+    texts = docs.select(*[F.col(f"`{n}`") for n in names], text_or_empty(text_col).alias("__text"))
+    return arrow_map(texts, run, f"{fields(docs, names)}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids give the empty text."""
     spec = _vocabulary(encoded.sparkSession, vocab_path)
-    at = encoded.columns.index(ids_col)
+    names = [c for c in encoded.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode: Callable[[list[int]], str] = _loaded(spec.value).decode
+        decoder = Decoder(spec.value)
         for whole in batches:
-            for batch in _slices(whole, 1000):
-                texts = pa.array([decode(ids) if ids else "" for ids in batch.column(at).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text_col])
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                lists = [x or [] for x in batch.column(len(names)).to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+                flat = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(bounds[-1]))
+                texts = pa.array(decoder.decode(flat, bounds), pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*names, text_col])
+
+    chosen = encoded.select(*[F.col(f"`{n}`") for n in names], F.col(ids_col).alias("__ids"))
+    return arrow_map(chosen, run, f"{fields(encoded, names)}, `{text_col}` string")
+
+
+def bpe_round_trip(
+    docs: DataFrame,
+    vocab_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+    decoded: bool = True,
+) -> DataFrame:
+    """``id``, the columns to ``keep``, ``ids, n_tokens, round_trip`` and (if asked for) ``decoded``.
+
+    ``round_trip`` says whether the decoded ids give the text back.
+    """
+    spec = _vocabulary(docs.sparkSession, vocab_path)
+    outputs = ("ids", "n_tokens", "round_trip", *(("decoded",) if decoded else ()))
+    names = _kept(docs, id_col, keep, outputs)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, `{text_col}` string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, decoder = ByteBpe(spec.value), Decoder(spec.value)
+        for whole in batches:
+            for batch in sliced(whole, len(names)):
+                texts = batch.column(len(names)).to_pylist()
+                flat, bounds = bpe.encode(texts)
+                back = decoder.decode(flat, bounds)
+                found = [
+                    _lists(flat, bounds),
+                    pa.array(np.diff(bounds), pa.int64()),
+                    pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
+                    *([pa.array(back, pa.string())] if decoded else []),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*names, *outputs])
+
+    texts = docs.select(*[F.col(f"`{n}`") for n in names], text_or_empty(text_col).alias("__text"))
+    kinds = "ids array<int>, n_tokens long, round_trip boolean" + ", decoded string" * decoded
+    return arrow_map(texts, run, f"{fields(docs, names)}, {kinds}")

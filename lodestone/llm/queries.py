@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import bpe_decode, bpe_encode
+from lodestone.llm.bpe import bpe_round_trip
 from lodestone.llm.common import load
 from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.fingerprints import neighbour_fingerprints
@@ -28,8 +28,8 @@ def vocabulary() -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every span that repeats a passage of a document with a smaller id, in code points."""
-    return duplicate_spans(load(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_chunks", "first_id")
+    """Every span that repeats what a document with a smaller id has in one piece, in code points."""
+    return duplicate_spans(load(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_chunks", "first_id", "first_start")
 
 
 def _joined(spans: Column) -> Column:
@@ -74,19 +74,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, multiplier, probability and whether it is sampled."""
     mixed = with_probabilities(load(spark, sf_dir, "documents"))
     return mixed.select(
-        "doc_id",
-        F.col("__source").alias("source"),
-        F.col("__lang").alias("lang"),
-        F.col("__topic").alias("topic"),
-        F.col("__tokens").alias("tokens"),
-        F.round("__multiplier", 6).alias("multiplier"),
-        F.round("__prob", 6).alias("prob"),
-        F.col("__sampled").alias("sampled"),
+        F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens",
+        F.round("multiplier", 6).alias("multiplier"), F.round("prob", 6).alias("prob"), "sampled",
     )
 
 
 def op4_sql() -> str:
-    """The same raking, its rounds unrolled, and the scale by sorting instead of steps."""
+    """The same raking, all its rounds unrolled."""
     parts = [
         r"""
 k AS (
@@ -117,10 +111,7 @@ w0 AS (SELECT *, mass AS weight FROM c)"""
             n += 1
     parts.append(
         f"""f AS (SELECT *, CASE WHEN mass > 0 THEN weight / mass ELSE 0 END AS m FROM w{n}),
-o AS (SELECT *, sum(mass) OVER w - mass AS spent, sum(mass * m) OVER () - (sum(mass * m) OVER w - mass * m) AS rest
-  FROM f WINDOW w AS (ORDER BY m DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
-scale AS (SELECT ({FRACTION} * (SELECT total FROM total) - spent) / rest AS x FROM o
-  WHERE m * (({FRACTION} * (SELECT total FROM total) - spent) / rest) < 1 ORDER BY m DESC LIMIT 1)"""
+scale AS (SELECT least({FRACTION}, 1 / max(m)) AS x FROM f)"""
     )
     return (
         "WITH "
@@ -186,12 +177,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity by the network fitted on the labels that are not held out."""
     docs = load(spark, sf_dir, "documents")
     network = fitted_on(docs, load(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs.select("doc_id", "text"), network)
+    scored = score_toxicity(docs.select("doc_id", "text"), network, score_col="score")
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
@@ -202,11 +193,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count, and digests of its ids and of the decoded text."""
-    docs = load(spark, sf_dir, "documents")
-    both = bpe_decode(bpe_encode(docs, vocabulary()), vocabulary())
-    return both.select(
+    return bpe_round_trip(load(spark, sf_dir, "documents"), vocabulary()).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
+        "n_tokens",
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -1,10 +1,11 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.bpe import ByteBpe, bpe_decode, bpe_encode
+from lodestone.llm.bpe import Decoder, bpe_decode, bpe_encode, bpe_round_trip
 from lodestone.llm.exact_dedup import drop_copies, exact_groups
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +60,36 @@ def test_ids_and_texts_equal_the_library(spark):
 
 
 def test_invalid_bytes_become_replacement_characters():
-    bpe, library = ByteBpe(open(VOCABULARY, "rb").read()), Tokenizer.from_file(VOCABULARY)
-    for ids in ([447, 247], [447], [220, 50256, 13]):
-        assert bpe.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    decoder, library = Decoder(open(VOCABULARY, "rb").read()), Tokenizer.from_file(VOCABULARY)
+    lists = [[447, 247], [447], [], [220, 50256, 13]]
+    flat, bounds = np.array([i for x in lists for i in x]), np.cumsum([0, *map(len, lists)])
+    assert decoder.decode(flat, bounds) == [library.decode(ids, skip_special_tokens=False) for ids in lists]
+
+
+def test_round_trip_in_one_pass(spark):
+    library = Tokenizer.from_file(VOCABULARY)
+    long = "Ein sehr langer Text, né? " * 200_000
+    rows = [(k, t, "x", 0) for k, t in enumerate([*TEXTS, long])] + [(3, TEXTS[3], "x", 0), (None, "a", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string, ids int")
+    for kept in (("decoded", "ids"), ()):
+        out = bpe_round_trip(docs, VOCABULARY, keep=kept)
+        assert out.columns == ["doc_id", "ids", "n_tokens", "round_trip", "decoded"]
+        found = out.collect()
+        assert len(found) == len(rows)
+        for r in found:
+            text = (dict((i, t) for i, t, _, _ in rows)[r.doc_id]) or ""
+            assert r.ids == library.encode(text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+            assert r.round_trip and r.decoded == text
+    assert bpe_round_trip(docs, VOCABULARY, keep=("decoded",), decoded=False).columns == ["doc_id", "decoded", "ids", "n_tokens", "round_trip"]
+    assert bpe_round_trip(docs.limit(0), VOCABULARY).collect() == []
+    back = bpe_decode(bpe_encode(docs, VOCABULARY, keep=("decoded",)), VOCABULARY)
+    assert back.columns == ["doc_id", "ids", "decoded"] and back.where("doc_id is null").first().decoded == "a"
+
+
+def test_clashing_names_and_long_texts_in_exact_dedup(spark):
+    rows = [(1, "a b", 1, 2, 3), (2, "ab", 4, 5, 6), (3, "x" * 2_000_000, 7, 8, 9), (4, "x " * 2_000_000, 0, 0, 0), (4, "x " * 2_000_000, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, `row` int, __sha int, keep_id int")
+    kept = drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["row"]) for r in kept.collect() if r.doc_id < 4) == [(1, 1)]
+    assert [r.doc_id for r in kept.collect()].count(4) == 1

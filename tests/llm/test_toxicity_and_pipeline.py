@@ -58,6 +58,73 @@ def test_held_out_accuracy(spark, tables):
     assert kept.columns == docs.columns and kept.count() == sum(s < tox.THRESHOLD for s in scored.values())
 
 
+def slow_score(net, text):
+    """The network as plain loops, window by window, word by word."""
+    words = tox.words_of(text)
+    if not words:
+        return 0.0
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    best = -np.inf
+    starts = [0]
+    while starts[-1] + tox.WINDOW < len(words):
+        starts.append(starts[-1] + tox.STRIDE)
+    for at in starts:
+        vectors = []
+        for w in words[at : at + tox.WINDOW]:
+            raw = w.encode()
+            grams, _ = tox.grams_of([raw])
+            vectors.append(np.concatenate([p["words"][zlib.crc32(raw) % tox.WORD_ROWS], p["grams"][grams].max(axis=0)]))
+        states = {}
+        for d, order in (("f", range(len(vectors))), ("b", range(len(vectors) - 1, -1, -1))):
+            h, n = np.zeros(tox.HIDDEN), tox.HIDDEN
+            for k in order:
+                x, hu = vectors[k] @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+                r, z = sig(x[:n] + hu[:n]), sig(x[n : 2 * n] + hu[n : 2 * n])
+                c = np.tanh(x[2 * n :] + r * hu[2 * n :])
+                h = (1 - z) * c + z * h
+                states[d, k] = h
+        both = np.array([np.concatenate([states["f", k], states["b", k]]) for k in range(len(vectors))])
+        e = np.tanh(both @ p["Wa"]) @ p["va"]
+        alpha = np.exp(e - e.max())
+        best = max(best, float((alpha / alpha.sum()) @ both @ p["wo"] + p["bo"][0]))
+    a, b = net.scale
+    return 1 / (1 + np.exp(-(a * best + b)))
+
+
+def test_scores_equal_plain_loops_over_all_windows():
+    rows, labels = corpus(300, seed=4)
+    net = tox.fit([t for _, t, *_ in rows], np.array([y for _, _, y in labels]))
+    r = random.Random(2)
+    texts = [rows[k][1] for k in range(6)] + [None, "", "?!", "scumbag", " ".join(r.choices(CLEAN + TOXIC, k=333)), "lorem " * 100]
+    assert tox.Scorer(net).scores(texts) == pytest.approx([slow_score(net, t) for t in texts], abs=1e-4)
+
+
+def test_toxicity_edges(spark):
+    rows, labels = corpus(200)
+    kinds = "doc_id long, text string, score double, __score int, `row` int"
+    docs = spark.createDataFrame([(i, t, 1.0, 2, 3) for i, t, *_ in rows], kinds)
+    label_table = spark.createDataFrame([*labels, *labels[:20], (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    network = tox.fitted_on(docs, label_table)
+    long = "lorem " * 200_000 + "scumbag moronic vileword filthpot"
+    more = docs.unionByName(spark.createDataFrame([(7, long, 1.0, 2, 3), (7, long, 1.0, 2, 3), (None, rows[0][1], 1.0, 2, 3)], kinds))
+    kept = tox.drop_toxic(more, network)
+    assert kept.columns == more.columns and {x["__score"] for x in kept.collect()} == {2}
+    scored = tox.score_toxicity(more, network, score_col="score")
+    assert sorted(scored.columns) == sorted(more.columns) and scored.count() == 203
+    assert len({x.score for x in scored.where("doc_id = 7 and length(text) > 1000000").collect()}) == 1
+    empty = docs.limit(0)
+    unfitted = tox.fitted_on(empty, label_table.limit(0))
+    assert tox.drop_toxic(empty, unfitted).collect() == [] and tox.drop_toxic(docs, unfitted).count() == 200
+
+
+def test_stages_on_an_empty_table(spark, tables):
+    folder = tables[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).collect() == []
+
+
 def test_windows_cover_everything_and_missing_labels():
     for n in (1, 31, 32, 33, 48, 49, 500):
         w = tox.windows_of(np.arange(1, n + 1))
