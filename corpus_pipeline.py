@@ -2,8 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; every stage but the
 last returns the columns it was given. ``run`` writes each result as Parquet into the
-shared folder and reads it back as the next stage's input, so a lost executor or a
-failed stage never repeats what came before.
+shared folder and reads it back as the next stage's input, so a lost executor never
+repeats what came before. A run that failed starts anew, under new names.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import bpe_decode, bpe_encode
-from lodestone.llm.common import load, stored, text_or_empty
+from lodestone.llm.bpe import bpe_round_trip
+from lodestone.llm.common import load, stored
 from lodestone.llm.exact_dedup import drop_copies
 from lodestone.llm.jaccard_join import keep_one_of_each
 from lodestone.llm.mixing import sample_to_targets
@@ -33,7 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component of near-duplicates."""
+    """Keeps one document, that of the smallest id, of each component of near-duplicates."""
     return keep_one_of_each(docs)
 
 
@@ -43,16 +42,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, ids, n_tokens, round_trip`` of every document."""
-    encoded = bpe_encode(docs, vocabulary(), keep=("lang", "source", "text"))
-    return bpe_decode(encoded, vocabulary()).select(
-        "doc_id",
-        "lang",
-        "source",
-        "ids",
-        F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == text_or_empty("text")).alias("round_trip"),
-    )
+    """All columns but the text, with ``ids, n_tokens, round_trip`` of every document, in one pass."""
+    keep = tuple(c for c in docs.columns if c != "text")
+    return bpe_round_trip(docs, vocabulary(), keep=keep, decoded=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
