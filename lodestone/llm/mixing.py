@@ -26,7 +26,7 @@ A very long text counts with all its tokens.
 
 Only cells are shuffled, after partial sums; a name's sum is an aggregate that is joined
 back, so no task gathers the cells of a name. Documents meet the cell table by an equi-join
-(broadcast where Spark finds it small, else sort-merge with skew splitting). Each round is
+(broadcast where Spark finds it small, else sort-merge with skew splitting). Each step is
 written once, so its lineage stays short.
 """
 
@@ -42,7 +42,7 @@ from lodestone.llm.common import stored, text_or_empty, whole_row
 DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = {"source": 0.9, "lang": 0.9, "topic": 0.9}
 WORD = r"[^\x20\x09-\x0D]+"
-ROUNDS = 16
+ROUNDS = 8
 TOLERANCE = 1e-12
 #: The largest share of all tokens that is sampled.
 FRACTION = 0.8
@@ -101,22 +101,19 @@ def raked_cells(
     for d in DIMENSIONS:
         now = now.join(_targets(cells, d, (targets or {}).get(d), flatten[d]).hint("merge"), d)
     now = stored(now, "rake-0")
-    columns = now.columns
+    columns = [c for c in now.columns if c != "weight"]
     for n in range(rounds):
-        off = F.lit(0.0)
         for d in DIMENSIONS:
             have = now.groupBy(d).agg(F.sum("weight").alias("have"))
             factor = F.when(F.col("have") > 0, F.col(f"share_{d}") * total / F.col("have")).otherwise(0.0)
-            off = F.greatest(off, F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0))
-            now = now.join(have.hint("merge"), d).withColumn("factor", factor).withColumn("off", off)
-            now = now.withColumn("weight", F.col("weight") * F.col("factor")).select(*columns, "off")
-            off = F.col("off")
-        moved = stored(now, f"rake-{n + 1}")
-        now = moved.select(*columns)
-        if (moved.agg(F.max("off")).first()[0] or 0.0) < tolerance:
+            moved = F.when(F.col("weight") > 0, F.abs(factor - 1)).otherwise(0.0)
+            off = moved if d == DIMENSIONS[0] else F.greatest("off", moved)
+            step = now.join(have.hint("merge"), d).select(*columns, (F.col("weight") * factor).alias("weight"), off.alias("off"))
+            now = stored(step, f"rake-{n + 1}-{d}")  # a plan of all three would hold the first one's four times
+        if (now.agg(F.max("off")).first()[0] or 0.0) < tolerance:
             break
     multiplier = F.when(F.col("mass") > 0, F.col("weight") / F.col("mass")).otherwise(0.0)
-    rated = stored(now.withColumn("multiplier", multiplier).drop("weight"), "multipliers")
+    rated = stored(now.select(*columns, multiplier.alias("multiplier")), "multipliers")
     most = float(rated.agg(F.max("multiplier")).first()[0] or 0.0)
     reached = min(fraction, 1 / most) if most > 0 else fraction
     return rated.withColumn("prob", F.least(F.lit(1.0), F.col("multiplier") * reached))

@@ -333,6 +333,7 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
     per_epoch = -(-int((2 - labels[train]).sum()) // BATCH)
     for _ in range(min(MOST_EPOCHS, max(EPOCHS, -(-STEPS // per_epoch)))):
         now = all_logits()
+        released()
         examples, targets = [], []
         for k in train:
             examples.append(windows[k][now[k].argmax()])
