@@ -15,7 +15,8 @@ LEVELS = (2, 3, 4, 5)
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 #: Tokens kept free for the part number and for what token counters add.
 SAFETY = 30
-PART = "phần"
+#: Fixed labels of the context header.
+TOPIC, SECTION, SOURCE, PART = "Chủ đề", "Mục", "Nguồn", "phần"
 _HEADING = re.compile(r"#{1,6}(\s|$)")
 SECTION_TYPE = T.ArrayType(T.StructType().add("breadcrumb", T.StringType()).add("content", T.StringType()))
 
@@ -149,13 +150,28 @@ def whitespace_tokens(text: str) -> int:
     return len(text.split())
 
 
-def guard_column(header: Column, content: Column, cap: int, counter: Callable[[str], int] = whitespace_tokens) -> Column:
-    """Parts of the content of a section above the cap. ``header`` is its context header."""
+PARTS_TYPE = "array<struct<section:int,breadcrumb:string,content:string,part:int,parts:int>>"
 
-    @F.pandas_udf("array<string>")
-    def split(headers: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series(
-            [guarded(c, h, counter, cap) for h, c in zip(headers, contents, strict=True)]
-        )
 
-    return split(header, content)
+def article_parts(title: str, url: str, body: str, cap: int | None, count: Callable[[str], int]) -> list[tuple]:
+    """``(section, breadcrumb, content, part, parts)`` of all parts of an article; a whole section is part 0 of 0."""
+    out = []
+    for k, section in enumerate(split_sections(body)):
+        crumb, content = section["breadcrumb"], section["content"]
+        header = f"[{TOPIC}: {title}{f' | {SECTION}: {crumb}' if crumb else ''} | {SOURCE}: {url}]"
+        if cap is None or count(f"{header}\n\n{content}") <= cap:
+            out.append((k, crumb, content, 0, 0))
+        else:
+            pieces = guarded(content, header, count, cap)
+            out += [(k, crumb, piece, n + 1, len(pieces)) for n, piece in enumerate(pieces)]
+    return out
+
+
+def parts_column(title: Column, url: Column, body: Column, cap: int | None, counter: Callable[[str], int] = whitespace_tokens) -> Column:
+    """The parts of an article in order, so that their places in the array number them."""
+
+    @F.pandas_udf(PARTS_TYPE)
+    def split(titles: pd.Series, urls: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([article_parts(t, u, b, cap, counter) for t, u, b in zip(titles, urls, bodies, strict=True)])
+
+    return split(title, url, body)

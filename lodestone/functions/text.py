@@ -9,9 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.sections import SECTION, SOURCE, TOPIC
+
 #: Fixed values of the article format and of the prompts.
 BOILERPLATE = "Nội dung bài viết"
-TOPIC, SECTION, SOURCE, PART = "Chủ đề", "Mục", "Nguồn", "phần"
 #: Fixed name space of chunk ids.
 CHUNK_NAMESPACE = "f47b6a3e-3f0e-4b8a-9c2e-2f8e6a1d7c50"
 PASSAGE_CHARS, TITLE_CHARS, QUESTION_CHARS = 300, 40, 1000

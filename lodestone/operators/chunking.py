@@ -1,14 +1,14 @@
-"""From articles to chunks; the only shuffle numbers an article's chunks after splitting."""
+"""From articles to chunks, in one pass and without a shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.sections import guard_column, sections, whitespace_tokens
-from lodestone.functions.text import PART, chunk_id, context_header, parse_article, with_context, word_count
+from lodestone.functions.sections import PART, parts_column, sections, whitespace_tokens
+from lodestone.functions.text import chunk_id, parse_article, with_context, word_count
 
 MAX_TOKENS = 400
 
@@ -27,34 +27,26 @@ def section_rows(articles: DataFrame) -> DataFrame:
     )
 
 
-def chunk_articles(
+def article_chunks(
     articles: DataFrame,
     max_tokens: int | None = MAX_TOKENS,
     counter: Callable[[str], int] = whitespace_tokens,
     count_column: Callable[[Column], Column] = word_count,
 ) -> DataFrame:
-    """Chunks of every article.
+    """Chunks of every article with the number of their ``section``; some may be above the cap.
 
-    A section above ``max_tokens`` is split into parts numbered ``i/n``; a part that
-    still is above it fails the job. Ids follow the position after all splitting.
+    A section above ``max_tokens`` is split into parts numbered ``i/n``. Sections and parts
+    are one array per article, whose places number the chunks, so nothing is shuffled.
     ``counter`` and ``count_column`` are the same token count, per text and as a column.
     """
-    parsed = parsed_articles(articles).withColumn("sections", sections("body"))
-    header = context_header(F.col("title"), F.col("s.breadcrumb"), F.col("url"))
-    rows = parsed.select("article_type", "article_slug", "url", "title", F.posexplode("sections").alias("pos", "s"))
-    text = with_context(F.col("title"), F.col("s.breadcrumb"), F.col("url"), F.col("s.content"))
-    rows = rows.withColumn("tokens", count_column(text))
-    if max_tokens is None:
-        rows = rows.withColumn("parts", F.array("s.content")).withColumn("over", F.lit(False))
-    else:
-        over = rows.where(F.col("tokens") > max_tokens).withColumn("parts", guard_column(header, F.col("s.content"), max_tokens, counter)).withColumn("over", F.lit(True))
-        rows = rows.where(F.col("tokens") <= max_tokens).withColumn("parts", F.array("s.content")).withColumn("over", F.lit(False)).unionByName(over)
-    split = rows.select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "content"))
-    number = F.when(F.col("over"), F.concat((F.col("part") + 1).cast("string"), F.lit("/"), F.col("n").cast("string")))
-    suffix = F.when(F.col("over"), F.concat(F.lit(f" ({PART} "), number, F.lit(")"))).otherwise(F.lit(""))
+    parts = parts_column(F.col("title"), F.col("url"), F.col("body"), max_tokens, counter)
+    rows = parsed_articles(articles).select("article_type", "article_slug", "url", "title", F.posexplode(parts).alias("chunk_idx", "s"))
+    number = F.when(F.col("s.parts") > 0, F.concat_ws("/", F.col("s.part").cast("string"), F.col("s.parts").cast("string")))
+    suffix = F.when(number.isNotNull(), F.concat(F.lit(f" ({PART} "), number, F.lit(")"))).otherwise(F.lit(""))
     crumb = F.when(F.col("s.breadcrumb") != "", F.concat("s.breadcrumb", suffix)).otherwise(F.trim(suffix))
-    full = with_context(F.col("title"), crumb, F.col("url"), F.col("content"))
-    chunks = split.select(
+    full = with_context(F.col("title"), crumb, F.col("url"), F.col("s.content"))
+    return rows.select(
+        chunk_id(F.col("article_type"), F.col("article_slug"), F.col("chunk_idx")).alias("id"),
         F.col("article_type").alias("type"),
         "article_slug",
         F.col("title").alias("article_title"),
@@ -63,22 +55,33 @@ def chunk_articles(
         full.alias("text"),
         count_column(full).alias("token_count"),
         number.alias("split_part"),
-        "pos",
-        "part",
-    )
-    if max_tokens is not None:
-        message = F.concat(F.lit("chunk above the token cap in "), F.col("type"), F.lit("/"), F.col("article_slug"))
-        chunks = chunks.withColumn(
-            "token_count", F.when(F.col("token_count") > max_tokens, F.raise_error(message)).otherwise(F.col("token_count"))
-        )
-    return _numbered(chunks)
-
-
-def _numbered(chunks: DataFrame) -> DataFrame:
-    """``chunk_idx`` and ``id`` by position within the article."""
-    order = Window.partitionBy("type", "article_slug").orderBy("pos", "part")
-    placed = chunks.withColumn("chunk_idx", F.row_number().over(order) - 1)
-    return placed.select(
-        chunk_id(F.col("type"), F.col("article_slug"), F.col("chunk_idx")).alias("id"),
-        "type", "article_slug", "article_title", "article_url", "section_path", "text", "token_count", "split_part", "chunk_idx",
+        "chunk_idx",
+        F.col("s.section").alias("section"),
+        F.col("s.content").alias("content"),
     )
+
+
+def chunk_articles(articles: DataFrame, max_tokens: int | None = MAX_TOKENS, fail: bool = True, **counting) -> DataFrame:
+    """Chunks of every article; one that is above the cap after splitting fails the job.
+
+    With ``fail=False`` such chunks are given as they are; ``within_cap`` takes their
+    articles out.
+    """
+    chunks = article_chunks(articles, max_tokens, **counting).drop("section", "content")
+    if max_tokens is None or not fail:
+        return chunks
+    message = F.concat(F.lit("chunk above the token cap in "), F.col("type"), F.lit("/"), F.col("article_slug"))
+    checked = F.when(F.col("token_count") > max_tokens, F.raise_error(message)).otherwise(F.col("token_count"))
+    return chunks.withColumn("token_count", checked)
+
+
+def over_cap(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``type, article_slug, n_over, most_tokens`` of the articles with chunks above the cap."""
+    over = chunks.where(F.col("token_count") > max_tokens)
+    return over.groupBy("type", "article_slug").agg(F.count(F.lit(1)).alias("n_over"), F.max("token_count").alias("most_tokens"))
+
+
+def within_cap(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """The chunks of articles that hold the cap, and the other articles (``over_cap``)."""
+    failed = over_cap(chunks, max_tokens)
+    return chunks.join(failed.select("type", "article_slug"), ["type", "article_slug"], "left_anti").select(*chunks.columns), failed

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.chunking import chunk_articles, parsed_articles, section_rows
+from lodestone.operators.chunking import MAX_TOKENS, article_chunks, chunk_articles, parsed_articles, section_rows, within_cap
 from lodestone.plans.bindings import articles, messages, passages, sql, table
+from lodestone.sources.tables import materialised
 
 
 def parse_article(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +38,36 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir)
 
 
-def guarded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks under the cap of 400 tokens, with split sections."""
-    return chunk_articles(articles(spark, sf_dir))
+def guarded_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section after splitting at the cap of 400 tokens.
+
+    ``split``: whether it was above the cap; ``body``: a digest of its parts' text without
+    white space; ``numbered``: whether its parts are 1/n to n/n; ``fits``: whether all hold the cap.
+    """
+    parts = article_chunks(articles(spark, sf_dir))
+    dense = F.regexp_replace("content", r"[\x20\x09-\x0D]+", "")
+    grouped = parts.groupBy("type", "article_slug", "section").agg(
+        F.array_sort(F.collect_list(F.struct("chunk_idx", dense.alias("dense"), "split_part"))).alias("ps"),
+        F.max("token_count").alias("most"),
+    )
+    n = F.size("ps")
+    expected = F.transform("ps", lambda p, k: F.coalesce(p["split_part"] == F.concat_ws("/", (k + 1).cast("string"), n.cast("string")), F.lit(False)))
+    split = F.col("ps")[0]["split_part"].isNotNull()
+    return grouped.select(
+        "type", "article_slug", "section", split.alias("split"),
+        F.md5(F.array_join(F.transform("ps", lambda p: p["dense"]), "")).alias("body"),
+        (~split | F.forall(expected, lambda x: x)).alias("numbered"),
+        (F.col("most") <= MAX_TOKENS).alias("fits"),
+    )
+
+
+def capped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose chunks all hold the cap, with their number of whole sections, and the failed ones."""
+    good, failed = within_cap(materialised(chunk_articles(articles(spark, sf_dir), fail=False), "capped"))
+    whole = good.groupBy("type", "article_slug").agg(F.count_if(F.col("split_part").isNull()).alias("whole_sections"))
+    return whole.withColumn("ok", F.lit(True)).unionByName(
+        failed.select("type", "article_slug", F.lit(None).cast("long").alias("whole_sections"), F.lit(False).alias("ok"))
+    )
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +127,8 @@ QUERIES = {
     "chunk_id": chunk_ids,
     "token_count": token_counts,
     "chunk_articles": chunks,
-    "guard_rail_split": guarded_chunks,
+    "guard_rail_split": guarded_sections,
+    "within_cap": capped_chunks,
     "terms": terms,
     "term_index": term_indices,
     "normalize_text": normalize_text,
@@ -113,7 +142,32 @@ QUERIES = {
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
+#: A part has the header, two words of its number and one of its own at least.
+CAPPED_SQL = r"""CTE
+capped AS (SELECT *, token_count > 400 AS split, len(regexp_extract_all(substr(text, 1, instr(text, ']' || chr(10) || chr(10))), '\S+')) AS head FROM chunks),
+fitting AS (SELECT *, NOT split OR head + 3 <= 400 AS fits FROM capped)"""
+
+#: The table of CRC-32 by its rule, and each term's bytes folded through it.
+CRC_SQL = r"""WITH RECURSIVE
+steps(b, n, c) AS (SELECT b, 0, b FROM range(256) t(b) UNION ALL
+  SELECT b, n + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE n = 8),
+words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+')) AS term FROM documents),
+folded AS (SELECT term, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(term) + 1),
+  lambda i: ('0x' || substr(hex(term), 2 * i - 1, 2))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])) AS a FROM words, crc)"""
+
 SQL = {
+    "guard_rail_split": sql(
+        CAPPED_SQL
+        + r""" SELECT type, article_slug, chunk_idx AS section, split, md5(regexp_replace(content, '[\x20\x09-\x0D]+', '', 'g')) AS body,
+        true AS numbered, fits FROM fitting"""
+    ),
+    "within_cap": sql(
+        CAPPED_SQL
+        + """ SELECT type, article_slug, CASE WHEN bool_and(fits) THEN count(*) FILTER (NOT split) END AS whole_sections, bool_and(fits) AS ok
+        FROM fitting GROUP BY type, article_slug"""
+    ),
+    "term_index": CRC_SQL + " SELECT term, xor(a, 4294967295)::BIGINT AS term_index FROM folded",
     "parse_article": sql(
         r"SELECT article_type, article_slug, 'https://articles.example.org/' || article_type || '/' || article_slug || '/' AS url, "
         r"'Doc ' || article_slug AS title, regexp_replace(substr(text, instr(text, 'Nội dung bài viết') + 17), '^\s+|\s+$', '', 'g') AS body FROM articles"

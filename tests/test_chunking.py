@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.sections import guarded, recursive_split, split_sections, whitespace_tokens
-from lodestone.operators.chunking import chunk_articles, parsed_articles
+from lodestone.operators.chunking import article_chunks, chunk_articles, parsed_articles, within_cap
 
 ARTICLE = (
-    "# SOURCE_URL: https://example.org/drug/thuoc-a/\r\n\r\n# Thuốc A là gì?\r\n\r\nNội dung bài viết\r\n\r\n**Giới thiệu.**\r\n\r\n"
-    "## Công dụng\r\n\r\nGiảm đau.\r\n\r\n## Cách dùng\r\n\r\n### Liều dùng\r\n\r\nMột viên.\r\n\r\n### Lưu ý rỗng\r\n\r\n## Tác dụng phụ\r\n\r\nBuồn ngủ.\r\n"
+    "# SOURCE_URL: https://example.org/tools/hand-saw/\r\n\r\n# Keeping a hand saw\r\n\r\nNội dung bài viết\r\n\r\nA saw lasts.\r\n\r\n"
+    "### Storage\r\n\r\nHang it dry.\r\n\r\n## Teeth\r\n\r\n#### Rust\r\n\r\nOil the blade.\r\n\r\n## Blade\r\n\r\n### Empty\r\n\r\n"
+    "## Handle\r\n\r\nBeech wood.\r\n\r\n##### Screws\r\n\r\nTighten them.\r\n"
 )
+PATHS = ["", "Storage", "Teeth > Rust", "Handle", "Handle > Screws"]
 
 
 def article(spark, *texts):
@@ -19,19 +21,19 @@ def article(spark, *texts):
 
 def test_parse_article(spark):
     rows = parsed_articles(article(spark, ARTICLE, "", "no marks at all")).orderBy("article_slug").collect()
-    assert (rows[0].url, rows[0].title) == ("https://example.org/drug/thuoc-a/", "Thuốc A là gì?")
-    assert rows[0].body.startswith("**Giới thiệu.**")
+    assert (rows[0].url, rows[0].title) == ("https://example.org/tools/hand-saw/", "Keeping a hand saw")
+    assert rows[0].body.startswith("A saw lasts.")
     assert (rows[1].url, rows[1].title, rows[1].body) == ("", "", "")
     assert (rows[2].url, rows[2].title, rows[2].body) == ("", "", "no marks at all")
 
 
 def test_sections():
-    body = "intro\n\n## Công dụng\n\na\n\nb\n\n## Cách dùng\n\n### Liều dùng\n\nc\n\n### Rỗng\n\n## Phụ\n\nd"
-    assert [s["breadcrumb"] for s in split_sections(body)] == ["", "Công dụng", "Cách dùng > Liều dùng", "Phụ"]
-    assert split_sections(body)[1]["content"] == "## Công dụng  \na  \nb"
+    body = "start\n\n### One\n\na\n\nb\n\n## Two\n\n##### Deep\n\nc\n\n## Three\n\n#### Gone\n\n## Four\n\nd"
+    assert [s["breadcrumb"] for s in split_sections(body)] == ["", "One", "Two > Deep", "Four"]
+    assert split_sections(body)[1]["content"] == "### One  \na  \nb"
     assert split_sections("## x\n```\n## not a header\n```\ny")[0]["breadcrumb"] == "x"
     assert split_sections("") == [] == split_sections("## only\n\n### headers")
-    assert split_sections("## A\nMột hai ba.")[0]["content"] == "## A\nMột hai ba."
+    assert split_sections("## A\none two")[0]["content"] == "## A\none two"
 
 
 def test_guard_rail():
@@ -47,7 +49,7 @@ def test_chunks_and_ids(spark):
     long = "## B\n" + "\n".join(" ".join(f"w{k}" for k in range(30)) for _ in range(6))
     rows = chunk_articles(article(spark, ARTICLE, f"# SOURCE_URL: U\n# T\n{long}"), max_tokens=80).orderBy("article_slug", "chunk_idx").collect()
     first = [r for r in rows if r.article_slug == "s0"]
-    assert [r.section_path for r in first] == ["", "Công dụng", "Cách dùng > Liều dùng", "Tác dụng phụ"]
+    assert [r.section_path for r in first] == PATHS
     for r in rows:
         name = f"{r.type}:{r.article_slug}:{r.chunk_idx}"
         assert r.id == str(uuid.uuid5(uuid.UUID(T.CHUNK_NAMESPACE), name))
@@ -64,6 +66,20 @@ def test_a_part_that_cannot_shrink_fails(spark):
         chunk_articles(article(spark, "# SOURCE_URL: U\n# T\n## B\nx"), max_tokens=2).collect()
 
 
+def test_articles_above_the_cap_are_listed_and_the_others_stay(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    texts = [ARTICLE, f"# SOURCE_URL: U\n# T\n## {long}\nx y z", f"# SOURCE_URL: U\n# T\n## B\n{long}\n{long}"]
+    chunks = chunk_articles(article(spark, *texts), max_tokens=50, fail=False)
+    good, failed = within_cap(chunks, 50)
+    assert [(r.article_slug, r.n_over > 0, r.most_tokens > 50) for r in failed.collect()] == [("s1", True, True)]
+    assert {r.article_slug for r in good.collect()} == {"s0", "s2"} and good.agg({"token_count": "max"}).first()[0] <= 50
+    parts = article_chunks(article(spark, texts[2]), 50).orderBy("chunk_idx").collect()
+    assert "".join("".join(p.content.split()) for p in parts) == "##B" + "".join(long.split()) * 2
+    assert [p.section for p in parts] == [0] * len(parts) and len(parts) > 2
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         T.normalised(F.lit(" **a**\u00a0 b\n")).alias("norm"),
