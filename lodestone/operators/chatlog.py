@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import split_citations, title_of
+from lodestone.sources.tables import materialised
 
 
 def conversations_of(messages: DataFrame) -> DataFrame:
@@ -58,8 +59,23 @@ def group_by_day(conversations: DataFrame, now_ms: int | Column) -> DataFrame:
     now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
     midnight = F.unix_millis(F.date_trunc("day", F.timestamp_millis(now.cast("long"))))
     label = F.when(F.col("created_at") >= midnight, "today").otherwise("previous")
-    order = Window.partitionBy("day").orderBy(F.desc("created_at"), "conv_id")
-    return conversations.withColumn("day", label).withColumn("position", F.row_number().over(order))
+    return numbered(conversations.withColumn("day", label), "day", [F.desc("created_at"), F.asc("conv_id")], "position")
+
+
+def numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """``name``: from 1 in each group. A group may hold most of the rows: no task sorts it alone.
+
+    Rows are dealt by ranges of group and order; in each range they are numbered on their
+    own, and the counts of the ranges before (one row for each) are added.
+    """
+    ranged = rows.repartitionByRange(F.col(group), *order).withColumn("__range", F.spark_partition_id())
+    ranged = materialised(ranged, "ranges")
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order))
+    both = ranged.withColumn("__nth", within).join(offsets, [group, "__range"])
+    return both.withColumn(name, (F.col("__nth") + F.col("__before")).cast("int")).drop("__range", "__nth", "__before")
 
 
 def sources_for(messages: DataFrame, selected: DataFrame) -> DataFrame:

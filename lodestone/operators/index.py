@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 KEY = ["type", "article_slug"]
 BUCKETS = 64
@@ -22,20 +23,39 @@ def _bucket(buckets: int) -> Column:
 
 
 def write_index(index: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
-    """The whole index anew."""
+    """The whole index anew. Large buckets are written by several tasks, small ones by one."""
     bucketed = index.withColumn("bucket", _bucket(buckets))
-    bucketed.repartition("type", "bucket").write.mode(mode).partitionBy("type", "bucket").parquet(path)
+    bucketed.hint("rebalance", "type", "bucket").write.mode(mode).partitionBy("type", "bucket").parquet(path)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """All rows and markers; Parquet files from before a first delivery lack the version."""
-    schema = spark.read.parquet(path).schema
+    """All rows and markers; Parquet files from before a first delivery lack the version.
+
+    Folder names are strings, whatever they look like (a type may be called ``01``).
+    """
+    schema = StructType()
+    for field in spark.read.parquet(path).schema:
+        schema.add(field.name, "string" if field.name == "type" else field.dataType)
     for name, kind in VERSION.items():
         if name not in schema.names:
-            schema = schema.add(name, kind)
+            schema.add(name, kind)
     return spark.read.schema(schema).parquet(path)
 
 
+def _touched(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """The stored rows in touched buckets, by literals on the partition columns, so other folders are not listed or read.
+
+    Touched buckets are as many as the index has folders at most.
+    """
+    by_type: dict[str, list[int]] = {}
+    for kind, bucket in touched.collect():
+        by_type.setdefault(kind, []).append(bucket)
+    condition = F.lit(False)
+    for kind, numbers in by_type.items():
+        condition = condition | ((F.col("type") == kind) & F.col("bucket").isin(numbers))
+    return rows.where(condition)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The index's rows; markers of articles and of emptied buckets are left out."""
     return _stored(spark, path).where("id is not null").drop("bucket", *VERSION)
@@ -44,7 +64,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def not_outdated(spark: SparkSession, path: str, articles: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``articles`` (with key and version) without those of which the index has had a later version."""
     touched = articles.select("type", _bucket(buckets).alias("bucket")).distinct()
-    versions = _stored(spark, path).where("article_slug is not null").join(touched, ["type", "bucket"], "left_semi")
+    versions = _touched(_stored(spark, path), touched).where("article_slug is not null")
     last = versions.groupBy(*KEY).agg(F.max(F.struct(*VERSION)).alias("__stored"))
     both = articles.join(last, KEY, "left")
     return both.where(F.col("__stored").isNull() | (F.col("__stored") <= F.struct(*VERSION))).drop("__stored")
@@ -59,15 +79,14 @@ def replace_stored(spark: SparkSession, path: str, keys: DataFrame, new: DataFra
     it is kept in a marker for each of them.
     """
     touched = keys.select("type", _bucket(buckets).alias("bucket")).distinct()
-    old = _stored(spark, path).where("id is not null or article_slug is not null")
-    around = old.join(touched, ["type", "bucket"], "left_semi")
+    around = _touched(_stored(spark, path), touched).where("id is not null or article_slug is not null")
     rows = new.drop(*VERSION).withColumn("bucket", _bucket(buckets)).withColumns({c: F.lit(None).cast(t) for c, t in VERSION.items()})
     marked = replace_articles(around, keys, rows).unionByName(touched, allowMissingColumns=True)
     if set(VERSION) <= set(keys.columns):
         versions = keys.select(*KEY, *VERSION, _bucket(buckets).alias("bucket")).distinct()
         marked = marked.unionByName(versions, allowMissingColumns=True)
     marked.write.mode("overwrite").parquet(staging)
-    spark.read.schema(marked.schema).parquet(staging).repartition("type", "bucket").write.mode("overwrite").option(
+    spark.read.schema(marked.schema).parquet(staging).hint("rebalance", "type", "bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("type", "bucket").parquet(path)
 
@@ -93,6 +112,13 @@ def isolate_failed(chunks: DataFrame, dimension: int, vector: str = "dense") ->
     return good, status.where("not ok").select(*KEY, "n_chunks", "n_valid")
 
 
+def schema_differences(index: DataFrame, expected: StructType) -> list[str]:
+    """What an index lacks or has otherwise than ``expected``: names and types, by column."""
+    have = {f.name: f.dataType.simpleString() for f in index.schema}
+    want = {f.name: f.dataType.simpleString() for f in expected}
+    return [f"{n}: {have.get(n, 'missing')} instead of {t}" for n, t in want.items() if have.get(n) != t]
+
+
 def schema_report(index: DataFrame, dimension: int) -> DataFrame:
     """One row: smallest and largest vector, whether both columns are there and the size is right."""
     names = set(index.columns)

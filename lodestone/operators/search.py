@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.bm25 import ranked
+from lodestone.sources.tables import materialised
 
 K, CANDIDATES, RRF_K = 5, 20, 2
 #: Question vectors that are broadcast at once.
 QUESTION_BLOCK = 4096
+#: Index rows that are scored at once.
+INDEX_ROWS = 1024
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -32,6 +35,7 @@ def dense_topk(
     """
     id_type, q_type = (d.schema[c].dataType.simpleString() for d, c in ((index, id_col), (questions, "question_id")))
     schema = f"question_id {q_type}, chunk_id {id_type}, score double"
+    questions = materialised(questions.select("question_id", vector), "question-vectors")
     n = questions.count()
     blocks = max(1, -(-n // QUESTION_BLOCK))
     rows = index.select(F.col(id_col), F.col(vector))
@@ -47,18 +51,17 @@ def dense_topk(
         def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             names, matrix = asked.value
             best: pd.DataFrame | None = None
-            for batch in batches:
+            for batch in (whole.slice(at, INDEX_ROWS) for whole in batches for at in range(0, whole.num_rows, INDEX_ROWS)):
                 keep = batch.filter(pa.compute.is_valid(batch.column(1)))
                 if not keep.num_rows:
                     continue
                 flat = keep.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 scores = np.round(matrix @ _unit(flat.reshape(keep.num_rows, -1)).T, digits)
                 ids = np.array(keep.column(0).to_pylist(), dtype=object)
-                order = np.argsort(ids, kind="stable")
-                scores, ids = scores[:, order], ids[order]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                q = np.repeat(np.arange(len(names)), top.shape[1])
-                found = pd.DataFrame({"q": q, "chunk_id": ids[top.ravel()], "score": scores[q, top.ravel()]})
+                # All rows that reach the k-th best score, ties included; the sort below cuts them.
+                least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                q, row = np.nonzero(scores >= least[:, None])
+                found = pd.DataFrame({"q": q, "chunk_id": ids[row], "score": scores[q, row]})
                 best = found if best is None else pd.concat([best, found])
                 best = best.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
             if best is not None:

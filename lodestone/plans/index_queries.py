@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import index as ix
+from lodestone.operators.build import Built, build_index, keyed_postings
 from lodestone.operators.chunking import chunk_articles
 from lodestone.plans.bindings import articles, changed_articles, passages, sql, table
-from lodestone.sources.files import load_conversations, read_qa_cases, save_conversations
-from lodestone.sources.tables import scratch
+from lodestone.plans.search_queries import POSTINGS_SQL
+from lodestone.sources.files import load_conversations, read_articles, read_qa_cases, save_conversations, write_articles
+from lodestone.sources.tables import materialised, scratch
 from lodestone.streaming.ingest import incremental_ingest
 
 DIMENSION = 2
@@ -41,8 +43,11 @@ def _faulty_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(named.where(F.col("article_slug").try_cast("long") % 70 == 5))
 
 
-def read_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir)
+def articles_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles written as text files, one each, then read back."""
+    path = scratch(spark, "articles")
+    write_articles(articles(spark, sf_dir), path)
+    return read_articles(spark, path)
 
 
 def qa_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +131,54 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.read_index(spark, f"{base}/index").select("id", "type", "article_slug", "chunk_idx", "section_path")
 
 
+def _connect():
+    """A small deterministic embedder; for every thirtieth article's chunks its vectors are too short."""
+
+    def embed(texts, task):
+        slugs = [int(t.split("[Chủ đề: Doc ", 1)[1].split(" ", 1)[0]) for t in texts]
+        return [[0.0] if slug % 30 == 0 else [float(len(t) % 5), float(task == "document")] for slug, t in zip(slugs, texts)]
+
+    return embed
+
+
+def _built(spark: SparkSession, sf_dir: str) -> tuple[str, Built]:
+    base = scratch(spark, "built")
+    return f"{base}/index", build_index(articles(spark, sf_dir), f"{base}/index", _connect, DIMENSION, max_tokens=None, postings_path=f"{base}/postings")
+
+
+def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after the whole job: size of each dense vector, and number and total of its sparse weights."""
+    path, _ = _built(spark, sf_dir)
+    total = F.aggregate("sparse", F.lit(0.0), lambda a, x: a + x["weight"])
+    return ix.read_index(spark, path).select(
+        "id", "type", "article_slug", F.size("dense").alias("dim"), F.get("dense", F.lit(0)).cast("int").alias("first"),
+        F.size("sparse").cast("long").alias("n_terms"), F.round(total, 6).alias("total"),
+    )
+
+
+def built_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's report of one row, with the number of articles that it lists as failed."""
+    _, built = _built(spark, sf_dir)
+    return built.report.join(built.failures.agg(F.count(F.lit(1)).alias("listed")), F.lit(True))
+
+
+def kept_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw postings after a first build and a streamed delivery: terms and length of every chunk."""
+    base = scratch(spark, "kept-postings")
+    first = materialised(passages(spark, sf_dir), "chunks")
+    ix.write_index(first, f"{base}/index")
+    ix.write_index(keyed_postings(first), f"{base}/postings")
+    changed_articles(spark, sf_dir).withColumn("delivered_at", F.lit(2).cast("long")).write.parquet(f"{base}/incoming")
+    incremental_ingest(spark, f"{base}/incoming", f"{base}/index", f"{base}/run", max_tokens=None, postings_path=f"{base}/postings")
+    kept = ix.read_index(spark, f"{base}/postings")
+    return kept.groupBy("id").agg(F.sum("tf").alias("n_words"), F.max("dl").alias("dl"))
+
+
 QUERIES = {
-    "read_articles": read_articles,
+    "build_index": built_index,
+    "build_report": built_report,
+    "kept_postings": kept_postings,
+    "read_articles": articles_from_files,
     "read_qa_cases": qa_cases,
     "write_read_index": write_and_read_index,
     "check_index_schema": check_index_schema,
@@ -144,7 +195,7 @@ QUERIES = {
 
 STATUS_SQL = """CTE
 status AS (SELECT type, article_slug, count(*) AS n_chunks,
-  count(*) FILTER (NOT (article_slug::BIGINT % 30 = 0 AND chunk_idx = 0)) AS n_valid FROM new_chunks GROUP BY ALL)"""
+  count(*) FILTER (NOT (article_slug::BIGINT % 30 = 0 AND chunk_idx = 0)) AS n_valid FROM chunks GROUP BY ALL)"""
 
 FAULTY_SQL = """CTE
 f AS (SELECT CASE WHEN s % 90 = 3 THEN 'x' || id ELSE id END AS id, type, CASE WHEN s % 80 = 4 THEN 'moved' ELSE article_slug END AS article_slug,
@@ -155,7 +206,24 @@ faulty AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE try_cast(article_slug
 REPLACED_SQL = """SELECT id, type, article_slug, chunk_idx, section_path FROM chunks WHERE article_slug::BIGINT % 10 <> 0
   UNION ALL SELECT id, type, article_slug, chunk_idx, section_path FROM new_chunks"""
 
+BUILT_SQL = POSTINGS_SQL + """,
+terms_of AS (SELECT chunk_id AS id, count(*) AS n_terms, round(sum(weight), 6) AS total FROM weighted GROUP BY chunk_id)"""
+
 SQL = {
+    "build_index": sql(
+        BUILT_SQL
+        + """ SELECT id, type, article_slug, 2 AS dim, (length(text) % 5)::INT AS first, n_terms, total
+        FROM chunks LEFT JOIN terms_of USING (id) WHERE article_slug::BIGINT % 30 <> 0"""
+    ),
+    "build_report": sql(
+        """SELECT count(DISTINCT article_slug) FILTER (s % 30 <> 0) AS articles_ok, count(DISTINCT article_slug) FILTER (s % 30 = 0) AS articles_failed,
+        count(*) FILTER (s % 30 <> 0) AS points_upserted, count(*) AS expected_chunks, count(*) FILTER (s % 30 <> 0) AS index_points,
+        count(DISTINCT article_slug) FILTER (s % 30 = 0) AS listed FROM (SELECT *, article_slug::BIGINT AS s FROM chunks)"""
+    ),
+    "kept_postings": sql(
+        r"""SELECT id, len(ws) AS n_words, len(ws) AS dl FROM (SELECT id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+') AS ws
+        FROM (SELECT id, text FROM chunks WHERE article_slug::BIGINT % 10 <> 0 UNION ALL SELECT id, text FROM new_chunks))"""
+    ),
     "read_articles": sql("SELECT article_type, article_slug, text FROM articles"),
     "read_qa_cases": "SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS article_type, 'q' || item_id AS question, text AS context FROM benchmark",
     "write_read_index": sql("SELECT id, type, article_slug, token_count FROM chunks"),
@@ -164,7 +232,7 @@ SQL = {
       CASE WHEN conv_id % 5 IN (1, 2) THEN 0 ELSE count(*) FILTER (turn % 4 <> 3) END::INT AS n_messages FROM conversations GROUP BY conv_id""",
     "replace_articles": sql(REPLACED_SQL),
     "isolate_failed_articles": sql(STATUS_SQL + " SELECT *, n_chunks = n_valid AS ok FROM status"),
-    "good_chunks": sql(STATUS_SQL + " SELECT id, type, article_slug FROM new_chunks JOIN status USING (type, article_slug) WHERE n_chunks = n_valid"),
+    "good_chunks": sql(STATUS_SQL + " SELECT id, type, article_slug FROM chunks JOIN status USING (type, article_slug) WHERE n_chunks = n_valid"),
     "check_index_invariants": sql(
         FAULTY_SQL
         + """, b AS (SELECT coalesce(c.id, f.id) AS id, c.id AS want, f.id AS have, dim, has_sparse, c.type AS wt, f.type AS ht, c.article_slug AS ws, f.article_slug AS hs

@@ -98,7 +98,7 @@ hit AS (SELECT case_id, c.type, bool_or(coalesce(contains({_NORM.format('p.text'
 RECORDS_SQL = HYBRID_SQL + rf""",
 ranked AS (SELECT 'dense' AS mode, question_id, chunk_id, rank FROM dense WHERE rank <= 5 UNION ALL
   SELECT 'sparse', question_id, chunk_id, rank FROM sparse WHERE rank <= 5 UNION ALL SELECT 'hybrid', question_id, chunk_id, rank FROM fused WHERE rank <= 5),
-qcases AS (SELECT question_id, lang AS type, question AS context FROM questions JOIN documents ON doc_id = question_id),
+qcases AS (SELECT item_id AS question_id, lang AS type, b.text AS context FROM benchmark b LEFT JOIN documents ON doc_id = item_id),
 records AS (SELECT q.type, m.mode, q.question_id AS case_id,
     min(r.rank) FILTER (c.type = q.type AND c.article_slug = q.question_id::VARCHAR)::INT AS article_rank,
     min(r.rank) FILTER (contains({_NORM.format('c.text')}, {_NORM.format('q.context')}))::INT AS chunk_rank

@@ -62,7 +62,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Chunks and questions, each with the vector whose id is its number modulo the table's size."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("dense"))
-    n = vectors.count()
+    n = max(1, vectors.count())
     numbered = passages(spark, sf_dir).withColumn("v", F.col("article_slug").cast("long") % n)
     chunks = materialised(numbered.join(vectors, "v"), "chunks")
     asked = questions(spark, sf_dir).withColumn("v", F.col("question_id") % n).join(vectors, "v")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,25 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_articles(articles: DataFrame, path: str) -> None:
+    """``<path>/<type>/<slug>.txt`` for every article; the folder must be one that all executors share.
+
+    Files are written under their own names, so a task that runs twice leaves the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, slug, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, folder = pafs.FileSystem.from_uri(f"{path if ':' in path else f'file://{path}'}/{kind}")
+                fs.create_dir(folder, recursive=True)
+                with fs.open_output_stream(f"{folder}/{slug}.txt", compression=None) as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    written = articles.select("article_type", "article_slug", "text").mapInArrow(run, "n long")
+    written.agg(F.sum("n")).collect()
+
+
 def read_qa_cases(spark: SparkSession, path: str, schema: str = CASE_SCHEMA) -> DataFrame:
     """Cases of ``<path>/<type>.csv`` (a file or a folder of parts); files with a header only give none."""
     rows = spark.read.schema(schema).csv(

@@ -162,3 +162,55 @@ def test_files(spark, tmp_path):
     (cases / "empty.csv").write_text("question,answer,context,article_url\n", encoding="utf-8")
     rows = read_qa_cases(spark, str(cases)).collect()
     assert [(r.article_type, r.answer) for r in rows] == [("drug", 'a "b"\nc')]
+
+
+def test_numbering_equals_one_window(spark):
+    from lodestone.operators.chatlog import numbered
+
+    rows = spark.createDataFrame([("a" if k % 5 else "b", k % 7, k) for k in range(300)], "day string, at long, id long")
+    got = numbered(rows, "day", [F.desc("at"), F.asc("id")], "n").collect()
+    for day in "ab":
+        want = sorted(((-r.at, r.id) for r in got if r.day == day))
+        assert [(-r.at, r.id) for r in sorted((r for r in got if r.day == day), key=lambda r: r.n)] == want
+        assert sorted(r.n for r in got if r.day == day) == list(range(1, len(want) + 1))
+
+
+def test_embedding_counts_failures_and_builds_an_index(spark, tmp_path):
+    from lodestone.operators import index as ix
+    from lodestone.operators.build import build_index
+    from lodestone.operators.embed import embedded
+
+    def connect():
+        def embed(texts, task):
+            assert len(texts) <= 4
+            if any("raise" in t for t in texts):
+                raise OSError("no answer")
+            return [[1.0, 2.0] for t in texts if "drop" not in t] if task == "document" else [[0.0, float("nan")]] * len(texts)
+
+        return embed
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "raise", None, "drop", "b", "c"])], "k int, embed_input string").coalesce(1)
+    one = {r.k: r.dense for r in embedded(rows, connect, 2, batch=1).collect()}
+    assert one == {0: [1.0, 2.0], 1: None, 2: None, 3: None, 4: [1.0, 2.0], 5: [1.0, 2.0]}
+    together = {r.k: r.dense for r in embedded(rows, connect, 2, batch=4).collect()}
+    assert together == {0: None, 1: None, 2: None, 3: None, 4: None, 5: [1.0, 2.0]}
+    assert all(r.dense is None for r in embedded(rows, connect, 2, task="query", batch=1).collect())
+
+    def connect_one():
+        return lambda texts, task: [[float(len(t)), 1.0] if "broken" not in t else [0.0] for t in texts]
+
+    def delivery(*texts):
+        return spark.createDataFrame([("01", f"s{k}", f"# SOURCE_URL: u\n# T\n{t}") for k, t in texts], "article_type string, article_slug string, text string")
+
+    path = f"file://{tmp_path}"
+    long = "w " * 60
+    built = build_index(delivery((0, "eins zwei\n## A\ndrei"), (1, "broken"), (2, f"## {long}\nx")), f"{path}/index", connect_one, 2, max_tokens=40, postings_path=f"{path}/postings")
+    assert sorted((r.article_slug, r.reason) for r in built.failures.collect()) == [("s1", "embedding"), ("s2", "token cap")]
+    report = built.report.first()
+    assert (report.articles_ok, report.articles_failed, report.points_upserted, report.index_points) == (1, 2, 2, 2)
+    index = ix.read_index(spark, f"{path}/index")
+    assert {(r.type, r.article_slug, len(r.dense), len(r.sparse) > 0) for r in index.collect()} == {("01", "s0", 2, True)}
+    assert ix.schema_differences(index, index.schema) == [] and ix.schema_differences(index.drop("dense"), index.schema)
+    again = build_index(delivery((0, "vier"), (1, "fixed")), f"{path}/index", connect_one, 2, max_tokens=40, postings_path=f"{path}/postings", recreate=False)
+    assert again.report.first().index_points == 2
+    assert {r.article_slug for r in ix.read_index(spark, f"{path}/postings").collect()} == {"s0", "s1"}
