@@ -130,9 +130,14 @@ class Network:
         top = np.maximum.reduceat(values, starts, axis=0)
         return np.concatenate([self.p["words"][rows], top], axis=1), (rows, grams, owner, values, top)
 
-    def vectors_of(self, words: list[bytes]) -> np.ndarray:
-        """The vectors of many words, a block at a time."""
-        return np.concatenate([self.word_vectors(words[a : a + CHUNK_WORDS])[0] for a in range(0, len(words), CHUNK_WORDS)])
+    def projections_of(self, words: list[bytes]) -> dict[str, np.ndarray]:
+        """The projections of many words, a block at a time into one table."""
+        out = self.projections(np.zeros((0, WORD_DIM + CHAR_DIM), dtype=np.float32))
+        out = {d: np.concatenate([pad, np.empty((len(words), 3 * HIDDEN), dtype=np.float32)]) for d, pad in out.items()}
+        for a in range(0, len(words), CHUNK_WORDS):
+            for d, own in self.projections(self.word_vectors(words[a : a + CHUNK_WORDS])[0]).items():
+                out[d][1 + a : a + len(own)] = own[1:]
+        return out
 
     def projections(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Each word's share of the gates, by direction; row 0 is the pad, which keeps the state."""
@@ -228,10 +233,9 @@ class Scorer:
 
     def learn(self, words: list[str]) -> None:
         encoded = [w.encode("utf-8", "surrogatepass") for w in words]
-        x = self.network.vectors_of(encoded)
         base = len(self.index) + 1
         self.index.update(zip(words, range(base, base + len(words))))
-        new = self.network.projections(x)
+        new = self.network.projections_of(encoded)
         self.table = {d: np.concatenate([self.table[d], new[d][1:]]) for d in "fb"}
 
     def window_logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -296,23 +300,23 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
     r = np.random.Generator(np.random.PCG64(seed))
     encoded = [w.encode("utf-8", "surrogatepass") for w in index]
     rows = word_rows(encoded)
-    parts, bounds = [], [np.zeros(1, dtype=np.int64)]
+    del index
+    grams, bounds = [], []  # by blocks of words
     for at in range(0, len(encoded), CHUNK_WORDS):
         own, owner = grams_of(encoded[at : at + CHUNK_WORDS])
-        parts.append(own)
-        bounds.append(bounds[-1][-1] + np.cumsum(np.bincount(owner)))
-    grams, bounds = np.concatenate(parts), np.concatenate(bounds)
-    del parts, index
+        grams.append(own)
+        bounds.append(np.concatenate([[0], np.cumsum(np.bincount(owner))]))
     aside = r.random(n_texts) < 0.2  # for the calibration
     train = np.flatnonzero(~aside)
 
     def grams_in(words: np.ndarray) -> np.ndarray:
-        some = np.unique(words)
-        return np.unique(np.concatenate([grams[bounds[w] : bounds[w + 1]] for w in some]))
+        places = [divmod(w, CHUNK_WORDS) for w in np.unique(words).tolist()]
+        return np.unique(np.concatenate([grams[c][bounds[c][k] : bounds[c][k + 1]] for c, k in places]))
 
     # A first guess of each part's weight, from the texts that hold it, finds the windows.
     net.p["grams"][:, 0] += _log_odds((grams_in(texts_rows[k]) for k in train), labels[train], GRAM_ROWS) * 0.75
     net.p["words"][:, 0] += _log_odds((np.unique(rows[texts_rows[k]]) for k in train), labels[train], WORD_ROWS) * 0.75
+    del grams, bounds
     windows = [windows_of(t + 1) for t in texts_rows]
     moments = {k: np.zeros_like(v) for k, v in net.p.items()}
     squares = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -321,11 +325,14 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None,
     weight = np.float32(min(4.0, 2 * (len(train) - labels[train].sum()) / max(1, labels[train].sum())))
 
     def all_logits() -> list[np.ndarray]:
-        x = net.vectors_of(encoded)
         if steps == 0:
-            guess = np.concatenate([[0], x[:, 0] + x[:, WORD_DIM]])
+            guess = [np.zeros(1)]
+            for at in range(0, len(encoded), CHUNK_WORDS):
+                x = net.word_vectors(encoded[at : at + CHUNK_WORDS])[0]
+                guess.append(x[:, 0] + x[:, WORD_DIM])
+            guess = np.concatenate(guess)
             return [guess[w].max(axis=1) for w in windows]
-        table = net.projections(x)
+        table = net.projections_of(encoded)
         every = np.concatenate(windows)
         flat = np.concatenate([net.forward(table, every[a : a + 2048])[0] for a in range(0, len(every), 2048)])
         return np.split(flat, np.cumsum([len(w) for w in windows])[:-1])
