@@ -76,6 +76,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
+#: Matches a character that composition may change or join with the one before it; other
+#: texts (Latin, Vietnamese, Cyrillic, dashes and quotes, CJK, whole Hangul syllables) are composed.
+_OPEN = "[^\x00-\u02FF\u0400-\u0482\u1E00-\u1EFF\u2010-\u2027\u4E00-\u9FFF\uAC00-\uD7A3]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
@@ -85,10 +90,11 @@ def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def terms(text: Column, normalise: bool = True) -> Column:
     """Lower-case runs of letters, digits and ``_`` after canonical composition.
 
-    Composition is the one step without a built-in; ``normalise=False`` leaves it out for
-    texts that are known to be composed, and the plan then has no Python at all.
+    Composition is the one step without a built-in; only texts that it may change are sent
+    to Python (null for the others). ``normalise=False`` leaves it out for texts that are
+    known to be composed, and the plan then has no Python at all.
     """
-    composed = _nfc(text) if normalise else text
+    composed = F.coalesce(_nfc(F.when(F.rlike(text, F.lit(_OPEN)), text)), text) if normalise else text
     return F.regexp_extract_all(F.lower(composed), F.lit(_TERM), F.lit(0))
 
 

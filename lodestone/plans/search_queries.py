@@ -13,7 +13,8 @@ from lodestone.sources.tables import materialised
 
 def sparse_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored postings and statistics of chunks."""
-    return materialised(bm25.term_frequencies(chunks), "postings"), materialised(bm25.corpus_stats(chunks), "stats")
+    postings = materialised(bm25.term_frequencies(chunks), "postings")
+    return postings, materialised(bm25.stats_of_postings(chunks, postings), "stats")
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,7 +1,11 @@
+import re
+import unicodedata
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.functions.text import terms
 from lodestone.operators import bm25, search
 
 
@@ -28,6 +32,24 @@ def test_empty_chunks_count_and_empty_corpus_fails(spark):
         bm25.corpus_stats(chunks(spark, "", "?")).collect()
 
 
+def test_statistics_from_stored_postings(spark):
+    docs = chunks(spark, "a b a", "", "!", "c")
+    kept = bm25.stats_of_postings(docs, bm25.term_frequencies(docs)).first()
+    assert kept == bm25.corpus_stats(docs).first() and kept.n_chunks == 4
+    for empty in (chunks(spark, "", "?"), chunks(spark, "").where("false")):
+        with pytest.raises(Exception, match="corpus with terms"):
+            bm25.stats_of_postings(empty, bm25.term_frequencies(empty)).collect()
+
+
+def test_terms_are_composed_only_where_needed(spark):
+    texts = ["e\u0301 \u00e9", "plain", "tiếng Việt", "\u1112\u1161\u11ab 한", "\u212b \u03a9", None, "", "中文 đ"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    found = rows.select("k", terms(F.col("text")).alias("w")).orderBy("k").collect()
+    for text, row in zip(texts, found, strict=True):
+        composed = None if text is None else re.findall(r"\w+", unicodedata.normalize("NFC", text).lower())
+        assert row.w == composed
+
+
 def test_rare_term_ranks_first(spark):
     docs = chunks(spark, "phổ_biến a", "phổ_biến hiếm", "phổ_biến b", "phổ_biến c")
     questions = spark.createDataFrame([(1, "hiếm phổ_biến"), (2, "!!")], "question_id long, question string")
