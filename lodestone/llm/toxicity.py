@@ -7,7 +7,7 @@ attention layer pools their states into one logit. Windows overlap by half and c
 whole text; a document's logit is that of its highest window, calibrated on documents
 that the fit left out.
 
-The network is fitted on the driver on a bounded sample: at most ``MAX_TOXIC`` and
+The network is fitted in one task on a bounded sample: at most ``MAX_TOXIC`` and
 ``MAX_CLEAN`` labelled documents of at most ``MAX_SAMPLE_BYTES`` each, taken in the order of a
 hash of their id, of those whose crc32(id as text) mod 3 is not 1 (of an id that is repeated,
 the first text). Of a toxic document the window that scores highest is
@@ -23,12 +23,12 @@ score's name is replaced by it; ``drop_toxic`` keeps all columns, whatever their
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, compress
 from operator import ne
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, fields, fresh, released, sliced, text_or_empty
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 WINDOW, STRIDE = 32, 16
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
-#: Longer texts are scored but not fitted on, so the driver's sample is bounded in bytes too.
+#: Longer texts are scored but not fitted on, so the sample is bounded in bytes too.
 MAX_SAMPLE_BYTES = 1 << 15
 THRESHOLD = 0.7
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 12, 8
@@ -278,7 +275,7 @@ def _log_odds(features: Iterable[np.ndarray], labels: np.ndarray, rows: int) ->
     return np.where(seen[1] >= max(4, of[1] // 50), np.clip(ratio, 0, 6), 0).astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = 7) -> Network:
+def fit(texts: Iterable[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = 7) -> Network:
     """The network fitted on labelled texts; unfitted if a label is missing.
 
     ``toxic_share`` is the share of toxic texts among those to be scored, if the sample's
@@ -412,8 +409,8 @@ def _labelled(labels: DataFrame, id_col: str) -> DataFrame:
     return usable.select(F.col(id_col).alias("__id"), "toxic").distinct()
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """The bounded sample of labelled texts (``text, toxic``), on the driver."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The bounded sample of labelled texts: ``__id, toxic, text``."""
     usable = _labelled(labels, id_col)
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = [usable.where(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
@@ -422,8 +419,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     short = docs.where(F.octet_length(text) <= MAX_SAMPLE_BYTES).select(F.col(id_col).alias("__own"), text.alias("text"))
     # At most MAX_TOXIC + MAX_CLEAN ids are broadcast.
     found = short.join(F.broadcast(sample), F.col("__own") == F.col("__id"))
-    one_each = found.groupBy("__id", "toxic").agg(F.min("text").alias("text"))
-    return one_each.toPandas().sort_values(["__id", "toxic"], kind="stable")
+    return found.groupBy("__id", "toxic").agg(F.min("text").alias("text"))
 
 
 def score_toxicity(
@@ -446,13 +442,24 @@ def score_toxicity(
 
 
 def fitted_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """The network fitted on the bounded sample of ``docs`` that have labels."""
+    """The network fitted on the bounded sample of ``docs`` that have labels.
+
+    One task fits it, so the texts never reach the driver; a lost executor repeats that task.
+    """
     sample = training_sample(docs, labels, id_col, text_col)
     share = _labelled(labels, id_col).agg(F.avg("toxic")).first()[0]
-    network = fit(sample["text"].tolist(), sample["toxic"].to_numpy(), share if share and share < 1 else None)
-    del sample
-    released()  # the driver goes on with the rest of its jobs
-    return network
+    toxic_share = share if share and share < 1 else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        texts = (text.as_py() for batch in held for text in batch.column(0))
+        toxic = [y for batch in held for y in batch.column(1).to_pylist()]
+        network = fit(texts, np.array(toxic, dtype=np.int64), toxic_share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["network"])
+
+    in_order = sample.repartition(1).sortWithinPartitions("__id", "toxic").select("text", "toxic")
+    made = arrow_map(in_order, run, "network binary").first()
+    return pickle.loads(made["network"]) if made else Network()
 
 
 def drop_toxic(docs: DataFrame, network: Network, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
