@@ -74,7 +74,7 @@ def replace_stored(spark: SparkSession, path: str, keys: DataFrame, new: DataFra
     """Replaces the articles in ``keys`` by ``new`` in a stored index.
 
     Only touched buckets are read and rewritten. They are staged first, as a table
-    cannot be read while it is overwritten. Each bucket keeps a marker row (null id),
+    cannot be read while it is overwritten; the staged table is emptied at the end. Each bucket keeps a marker row (null id),
     so one that loses all its rows is overwritten as well. Where ``keys`` have a version,
     it is kept in a marker for each of them.
     """
@@ -89,6 +89,12 @@ def replace_stored(spark: SparkSession, path: str, keys: DataFrame, new: DataFra
     spark.read.schema(marked.schema).parquet(staging).hint("rebalance", "type", "bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("type", "bucket").parquet(path)
+    emptied(spark, staging, marked.schema)
+
+
+def emptied(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Frees what a staged table takes once it has been used; the next delivery may stage there again."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def replace_articles(index: DataFrame, keys: DataFrame, new: DataFrame) -> DataFrame:
