@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import bpe_round_trip
 from lodestone.llm.common import load
 from lodestone.llm.exact_dedup import exact_groups
+from lodestone.llm.fim import fill_in_middle
 from lodestone.llm.fingerprints import neighbour_fingerprints
 from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
@@ -220,6 +221,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form, lengths of its pieces, and digests of the output and of the restored text."""
+    cut = fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+k AS (SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+    WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1 : least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS mid,
+  array_to_string(u[greatest(a, b) + 1 : n], '') AS suf FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -232,6 +261,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_fim": op11_fim,
     }
 
 
@@ -241,4 +271,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": OP5_SQL,
         "op6_jaccard_join": OP6_SQL,
         "op10_exact_dedup": OP10_SQL,
+        "op11_fim": OP11_SQL,
     }
