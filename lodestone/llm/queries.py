@@ -13,6 +13,7 @@ from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.fim import fill_in_middle
 from lodestone.llm.fingerprints import neighbour_fingerprints
 from lodestone.llm.jaccard_join import jaccard_components
+from lodestone.llm.merkle import merkle_manifest
 from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
 from lodestone.llm.pii import KINDS, find_personal_data
 from lodestone.llm.secrets import find_secrets
@@ -249,6 +250,69 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
 """
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, and the root that folding a tampered text gives."""
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(changed, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle_manifest(load(spark, sf_dir, "documents"), {"text": tampered}).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+def op12_sql(levels: int = 12) -> str:
+    """The same tree by grouping level by level, unrolled; up to 3^``levels`` documents a source."""
+
+    def sized(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+    head = "sha256(" + " || ".join(sized(f) for f in ("doc_id", "source", "lang", "n_chars")) + " || "
+    parts = [
+        f"""d AS (
+  SELECT doc_id, source, {head}{sized("text")}) AS leaf, CASE WHEN crc & 1 = 0 THEN {head}{sized("replace(text, chr(10), '')")}) ELSE leaf END AS changed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+  FROM (SELECT *, xor(4294967295, list_reduce(list_transform(range(0, 8 * length(doc_id::VARCHAR)),
+    lambda i: ((ord((doc_id::VARCHAR)[(i // 8) + 1]) >> (i % 8)) & 1)::BIGINT),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT)) AS crc FROM documents)
+)"""
+    ]
+
+    def climb(name: str, base: str) -> None:
+        """``<name>_nodes``: the node of each level that has a parent, ``<name>_top``; ``base``: ``g, pos, digest``."""
+        parts.append(f"{name}0 AS (SELECT g, pos, digest, count(*) OVER (PARTITION BY g) AS n FROM ({base}))")
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT g, pos, digest, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, pos // 3 AS pos, "
+                f"CASE WHEN any_value(n) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}{k} GROUP BY g, pos // 3))"
+            )
+
+    def fold(name: str, rows: str) -> str:
+        """The name of rows with ``proof`` and ``f`` carried up all levels of ``name``; ``rows`` has ``g, pos``."""
+        for k in range(levels):
+            parts.append(
+                f"{name}_runs{k} AS (SELECT g, pos // 3 AS p, list(digest ORDER BY pos) AS ds FROM {name}{k} WHERE n > 1 GROUP BY ALL)"
+            )
+            parts.append(
+                f"{name}_up{k} AS (SELECT r.* EXCLUDE (pos, proof, f), r.pos // 3 AS pos, "
+                f"proof || CASE WHEN ds IS NULL THEN '' ELSE array_to_string(list_filter(ds, lambda x, i: i <> r.pos % 3 + 1), '') END AS proof, "
+                f"CASE WHEN ds IS NULL THEN f ELSE sha256(array_to_string(list_transform(ds, lambda x, i: CASE WHEN i = r.pos % 3 + 1 THEN f ELSE x END), '')) END AS f "
+                f"FROM {rows} r LEFT JOIN {name}_runs{k} u ON u.g IS NOT DISTINCT FROM r.g AND u.p = r.pos // 3)"
+            )
+            rows = f"{name}_up{k}"
+        return rows
+
+    climb("t", "SELECT source AS g, pos, leaf AS digest FROM d")
+    parts.append(f"sub AS (SELECT g AS source, digest AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS spos FROM t{levels})")
+    climb("s", "SELECT 0 AS g, spos AS pos, subroot AS digest FROM sub")
+    parts.append("r0 AS (SELECT doc_id, leaf, source AS g, pos, '' AS proof, changed AS f FROM d)")
+    low = fold("t", "r0")
+    parts.append(f"r1 AS (SELECT doc_id, leaf, subroot, 0 AS g, spos AS pos, proof, f FROM {low} r JOIN sub ON sub.source IS NOT DISTINCT FROM r.g)")
+    high = fold("s", "r1")
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = digest AS verified FROM {high}, (SELECT digest FROM s{levels})"""
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -262,6 +326,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_fim": op11_fim,
+        "op12_merkle": op12_merkle,
     }
 
 
@@ -272,4 +337,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": OP6_SQL,
         "op10_exact_dedup": OP10_SQL,
         "op11_fim": OP11_SQL,
+        "op12_merkle": op12_sql(),
     }
