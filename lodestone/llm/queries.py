@@ -13,6 +13,7 @@ from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.fim import fill_in_middle
 from lodestone.llm.fingerprints import neighbour_fingerprints
 from lodestone.llm.jaccard_join import jaccard_components
+from lodestone.llm.lm import language_model_scores
 from lodestone.llm.merkle import merkle_manifest
 from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
 from lodestone.llm.pii import KINDS, find_personal_data
@@ -313,6 +314,11 @@ SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, f A
     )
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10-probability by the network and by smoothed counts of all training documents."""
+    return language_model_scores(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -327,6 +333,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_fim": op11_fim,
         "op12_merkle": op12_merkle,
+        "op13_lm": op13_lm,
     }
 
 
