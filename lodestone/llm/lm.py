@@ -40,7 +40,7 @@ from lodestone.llm.common import arrow_map, sliced, stored, text_or_empty
 
 #: Added to every count, and the part of documents that is held out (one of so many).
 SMOOTH, HELD_OUT = 0.1, 10
-CLASSES, CONTEXT, DIM = 1024, 4, 16
+CLASSES, CONTEXT, DIM = 1024, 3, 16
 END, OTHER = 0, 1
 #: Stands before a text's first token; only ever context.
 BEGIN = CLASSES
@@ -51,7 +51,7 @@ ROUNDS, BATCH, NOISE, DRAWS, RATE = 4, 512, 16, 64, 0.1
 LEAST_EXAMPLES, MOST_PASSES = 1 << 22, 4
 #: Tokens that a training task sees in a round at least, if there are so many; and that it holds at once.
 TASK_TOKENS, HELD_TOKENS = 1 << 21, 1 << 18
-SCORE_ROWS = 512
+SCORE_ROWS, EXAMPLE_ROWS = 512, 1 << 14
 LN10 = float(np.log(10))
 
 
@@ -267,23 +267,36 @@ class LogBilinear:
 
     def log_probs(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural log-probabilities, normalised over all classes."""
-        found = np.empty(len(token))
+        key = before[:, 0]
+        for k in range(1, CONTEXT):
+            key = key * (CLASSES + 1) + before[:, k]
+        # Many tokens stand after the same ones: each such context is normalised once.
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        tables = [self.p["before"] @ m for m in self.p["place"]]
+        q = sum(t[before[first, k]] for k, t in enumerate(tables))
+        total = self._log_totals(q)
+        own = np.empty(len(token))
+        for at in range(0, len(token), EXAMPLE_ROWS):
+            some = slice(at, at + EXAMPLE_ROWS)
+            own[some] = np.einsum("ij,ij->i", q[which[some]], self.p["target"][token[some]])
+        return own + self.p["bias"][token] - total[which]
+
+    def _log_totals(self, q: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum of all classes' exponentials after each predicted vector."""
         across, ones = np.ascontiguousarray(self.p["target"].T), np.ones(CLASSES, dtype=np.float32)
         length, highest = float(np.linalg.norm(self.p["target"], axis=1).max()), float(np.abs(self.p["bias"]).max())
-        tables = [self.p["before"] @ m for m in self.p["place"]]
-        for at in range(0, len(token), SCORE_ROWS):
-            some = before[at : at + SCORE_ROWS]
-            q = sum(t[some[:, k]] for k, t in enumerate(tables))
-            logits = q @ across
+        found = np.empty(len(q))
+        for at in range(0, len(q), SCORE_ROWS):
+            some = q[at : at + SCORE_ROWS]
+            logits = some @ across
             logits += self.p["bias"]
-            most = np.float32(0)
-            if float(np.linalg.norm(q, axis=1).max(initial=0)) * length + highest > 60:
+            most = np.zeros(len(some), dtype=np.float32)
+            if float(np.linalg.norm(some, axis=1).max(initial=0)) * length + highest > 60:
                 # Only then could an exponential leave single precision.
                 most = logits.max(axis=1)
                 logits -= most[:, None]
-            own = logits[np.arange(len(logits)), token[at : at + SCORE_ROWS]].astype(np.float64)
             np.exp(logits, out=logits)
-            found[at : at + SCORE_ROWS] = own - np.log((logits @ ones).astype(np.float64))
+            found[at : at + SCORE_ROWS] = most + np.log((logits @ ones).astype(np.float64))
         return found
 
 

@@ -72,7 +72,7 @@ def test_probabilities_sum_to_one(scale):
     net = lm.LogBilinear(np.full(lm.CLASSES, 1 / lm.CLASSES))
     net.p["target"] *= scale
     net.p["before"] *= scale
-    before = np.array([[3, lm.BEGIN, lm.BEGIN, lm.BEGIN]])
+    before = np.array([[3, lm.BEGIN, lm.BEGIN]])
     found = net.log_probs(np.arange(lm.CLASSES), np.repeat(before, lm.CLASSES, axis=0))
     assert np.exp(found).sum() == pytest.approx(1, abs=1e-4)
 
