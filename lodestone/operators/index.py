@@ -1,100 +1,42 @@
-"""The chunk index: storing, replacing by article, checks and counts.
+"""The chunk index: writing and reading it, replacing by article, checks and counts.
 
-An index row is a chunk with ``dense`` and ``sparse``. On disk it is a Parquet table
-partitioned by type and by a bucket of the slug, so a replacement rewrites only the
-buckets that it touches. Every article of a dated delivery has a marker row (null id)
-with its ``delivered_at`` and ``delivered_hash``, also one that was removed.
+An index row is a chunk with ``dense`` and ``sparse``. On disk it is the table ``chunks`` of a
+store (see ``store``), beside what else a build keeps: postings, the articles' versions,
+quarantined articles and counts of terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-KEY = ["type", "article_slug"]
-BUCKETS = 64
-#: What a stored article was delivered as; the later one is the larger, null the least.
-VERSION = {"delivered_at": "long", "delivered_hash": "string"}
-
-
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.crc32(F.encode(F.col("article_slug"), "UTF-8")), F.lit(buckets)).cast("int")
-
-
-def write_index(index: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
-    """The whole index anew. Large buckets are written by several tasks, small ones by one."""
-    bucketed = index.withColumn("bucket", _bucket(buckets))
-    bucketed.hint("rebalance", "type", "bucket").write.mode(mode).partitionBy("type", "bucket").parquet(path)
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """All rows and markers; Parquet files from before a first delivery lack the version.
-
-    Folder names are strings, whatever they look like (a type may be called ``01``).
-    """
-    schema = StructType()
-    for field in spark.read.parquet(path).schema:
-        schema.add(field.name, "string" if field.name == "type" else field.dataType)
-    for name, kind in VERSION.items():
-        if name not in schema.names:
-            schema.add(name, kind)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _touched(rows: DataFrame, touched: DataFrame) -> DataFrame:
-    """The stored rows in touched buckets, by literals on the partition columns, so other folders are not listed or read.
+from lodestone.operators import store
+from lodestone.operators.store import KEY, SPLIT_ROWS, IndexMismatch
+from lodestone.sources.tables import materialised, temporary
 
-    Touched buckets are as many as the index has folders at most.
-    """
-    by_type: dict[str, list[int]] = {}
-    for kind, bucket in touched.collect():
-        by_type.setdefault(kind, []).append(bucket)
-    condition = F.lit(False)
-    for kind, numbers in by_type.items():
-        condition = condition | ((F.col("type") == kind) & F.col("bucket").isin(numbers))
-    return rows.where(condition)
+CHUNKS = "chunks"
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index's rows; markers of articles and of emptied buckets are left out."""
-    return _stored(spark, path).where("id is not null").drop("bucket", *VERSION)
+def write_index(index: DataFrame, path: str, split_rows: int = SPLIT_ROWS) -> store.Snapshot:
+    """The whole index anew, as a store of one table. Rows are made once, then counted and dealt out."""
+    with temporary(index.sparkSession):
+        return store.create(index.sparkSession, path, {CHUNKS: materialised(index, "index-rows")}, split_rows=split_rows)
 
 
-def not_outdated(spark: SparkSession, path: str, articles: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``articles`` (with key and version) without those of which the index has had a later version."""
-    touched = articles.select("type", _bucket(buckets).alias("bucket")).distinct()
-    versions = _touched(_stored(spark, path), touched).where("article_slug is not null")
-    last = versions.groupBy(*KEY).agg(F.max(F.struct(*VERSION)).alias("__stored"))
-    both = articles.join(last, KEY, "left")
-    return both.where(F.col("__stored").isNull() | (F.col("__stored") <= F.struct(*VERSION))).drop("__stored")
+def opened(spark: SparkSession, path: str) -> store.Snapshot:
+    """The index as it is now; what is written later is not seen through it."""
+    found = store.snapshot(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no index at {path}")
+    return found
 
 
-def replace_stored(spark: SparkSession, path: str, keys: DataFrame, new: DataFrame, staging: str, buckets: int = BUCKETS) -> None:
-    """Replaces the articles in ``keys`` by ``new`` in a stored index.
-
-    Only touched buckets are read and rewritten. They are staged first, as a table
-    cannot be read while it is overwritten; the staged table is emptied at the end. Each bucket keeps a marker row (null id),
-    so one that loses all its rows is overwritten as well. Where ``keys`` have a version,
-    it is kept in a marker for each of them.
-    """
-    touched = keys.select("type", _bucket(buckets).alias("bucket")).distinct()
-    around = _touched(_stored(spark, path), touched).where("id is not null or article_slug is not null")
-    rows = new.drop(*VERSION).withColumn("bucket", _bucket(buckets)).withColumns({c: F.lit(None).cast(t) for c, t in VERSION.items()})
-    marked = replace_articles(around, keys, rows).unionByName(touched, allowMissingColumns=True)
-    if set(VERSION) <= set(keys.columns):
-        versions = keys.select(*KEY, *VERSION, _bucket(buckets).alias("bucket")).distinct()
-        marked = marked.unionByName(versions, allowMissingColumns=True)
-    marked.write.mode("overwrite").parquet(staging)
-    spark.read.schema(marked.schema).parquet(staging).hint("rebalance", "type", "bucket").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("type", "bucket").parquet(path)
-    emptied(spark, staging, marked.schema)
-
-
-def emptied(spark: SparkSession, path: str, schema: StructType) -> None:
-    """Frees what a staged table takes once it has been used; the next delivery may stage there again."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+def read_index(spark: SparkSession, path: str, types: Iterable[str] | None = None, name: str = CHUNKS) -> DataFrame:
+    """The index's rows (or those of another table of its store); with ``types`` only their folders are read."""
+    return opened(spark, path).table(name, types)
 
 
 def replace_articles(index: DataFrame, keys: DataFrame, new: DataFrame) -> DataFrame:
@@ -118,6 +60,18 @@ def isolate_failed(chunks: DataFrame, dimension: int, vector: str = "dense") ->
     return good, status.where("not ok").select(*KEY, "n_chunks", "n_valid")
 
 
+def checked(index: DataFrame, expected: StructType, dimension: int | None = None) -> DataFrame:
+    """``index``, if it has the columns and types of ``expected`` and only vectors of ``dimension``; else an error says what is wrong."""
+    wrong = store.differences(index.schema, expected)
+    if not wrong and dimension is not None:
+        sizes = schema_report(index, dimension).first()
+        if not sizes["ok"] and sizes["min_dim"] is not None:
+            wrong = [f"vectors of {sizes['min_dim']} to {sizes['max_dim']} numbers instead of {dimension}"]
+    if wrong:
+        raise IndexMismatch("; ".join(wrong))
+    return index
+
+
 def schema_differences(index: DataFrame, expected: StructType) -> list[str]:
     """What an index lacks or has otherwise than ``expected``: names and types, by column."""
     have = {f.name: f.dataType.simpleString() for f in index.schema}

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import index as ix
-from lodestone.operators.build import Built, build_index, keyed_postings
+from lodestone.operators.build import Built, Recipe, build_index, index_frequencies, index_stats
 from lodestone.operators.chunking import chunk_articles
 from lodestone.plans.bindings import articles, changed_articles, passages, sql, table
 from lodestone.plans.search_queries import POSTINGS_SQL
-from lodestone.sources.files import load_conversations, read_articles, read_qa_cases, save_conversations, write_articles
-from lodestone.sources.tables import materialised, scratch
-from lodestone.streaming.ingest import incremental_ingest
+from lodestone.sources.files import article_names, load_conversations, read_articles, read_qa_cases, save_conversations, write_articles
+from lodestone.sources.tables import scratch
+from lodestone.streaming.ingest import incremental_ingest, ingest_files, remove_missing
 
 DIMENSION = 2
 
@@ -122,7 +122,7 @@ def index_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after a first build and a streamed delivery of changed articles, taken in twice."""
     base = scratch(spark, "incremental")
-    ix.write_index(passages(spark, sf_dir), f"{base}/index", buckets=ix.BUCKETS)
+    ix.write_index(passages(spark, sf_dir), f"{base}/index")
     delivery = changed_articles(spark, sf_dir).withColumn("delivered_at", F.lit(2).cast("long"))
     stale = articles(spark, sf_dir).where(_slug() % 20 == 0).withColumn("delivered_at", F.lit(1).cast("long"))
     delivery.unionByName(stale).write.parquet(f"{base}/incoming")
@@ -162,22 +162,62 @@ def built_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.report.join(built.failures.agg(F.count(F.lit(1)).alias("listed")), F.lit(True))
 
 
-def kept_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw postings after a first build and a streamed delivery: terms and length of every chunk."""
-    base = scratch(spark, "kept-postings")
-    first = materialised(passages(spark, sf_dir), "chunks")
-    ix.write_index(first, f"{base}/index")
-    ix.write_index(keyed_postings(first), f"{base}/postings")
+def _connect_whole():
+    """As ``_connect``, but nothing fails."""
+    return lambda texts, task: [[float(len(t) % 5), float(task == "document")] for t in texts]
+
+
+def _changed_index(spark: SparkSession, sf_dir: str, connect=_connect_whole) -> str:
+    """A built index after a streamed delivery of changed articles; the path of its store."""
+    base = scratch(spark, "changed")
+    build_index(articles(spark, sf_dir), f"{base}/index", _connect_whole, DIMENSION, max_tokens=None)
     changed_articles(spark, sf_dir).withColumn("delivered_at", F.lit(2).cast("long")).write.parquet(f"{base}/incoming")
-    incremental_ingest(spark, f"{base}/incoming", f"{base}/index", f"{base}/run", max_tokens=None, postings_path=f"{base}/postings")
-    kept = ix.read_index(spark, f"{base}/postings")
+    incremental_ingest(spark, f"{base}/incoming", f"{base}/index", f"{base}/run", recipe=Recipe(connect, DIMENSION, max_tokens=None))
+    return f"{base}/index"
+
+
+def kept_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw postings after a build and a streamed delivery: terms and length of every chunk."""
+    kept = ix.read_index(spark, _changed_index(spark, sf_dir), name="postings")
     return kept.groupBy("id").agg(F.sum("tf").alias("n_words"), F.max("dl").alias("dl"))
 
 
+def kept_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many terms are in n chunks, with the number of chunks and their average length: kept by differences through a delivery."""
+    s = ix.opened(spark, _changed_index(spark, sf_dir))
+    of_terms = index_frequencies(s).groupBy("n").agg(F.count(F.lit(1)).alias("n_terms"))
+    return of_terms.join(index_stats(s), F.lit(True)).select("n", "n_terms", "n_chunks", F.round("avgdl", 6).alias("avgdl"))
+
+
+def quarantined_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of a delivery that could not be embedded, and how many chunks they still have from before."""
+    s = ix.opened(spark, _changed_index(spark, sf_dir, _connect))
+    kept = s.table(ix.CHUNKS).groupBy("type", "article_slug").agg(F.count(F.lit(1)).alias("n_kept"))
+    return s.table("quarantine").join(kept, ["type", "article_slug"], "left").select("type", "article_slug", "reason", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+
+
+def stream_article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A built index after changed articles came as files and others' files went: chunks with the sizes of both vectors."""
+    base = scratch(spark, "article-files")
+    recipe = Recipe(_connect_whole, DIMENSION, max_tokens=None)
+    build_index(articles(spark, sf_dir), f"{base}/index", _connect_whole, DIMENSION, max_tokens=None)
+    write_articles(changed_articles(spark, sf_dir), f"{base}/deliveries/one")
+    ingest_files(spark, f"{base}/deliveries/*", f"{base}/index", f"{base}/run", recipe)
+    others = articles(spark, sf_dir).where(_slug() % 50 != 1).select("article_type", "article_slug")
+    present = others.unionByName(article_names(spark, f"{base}/deliveries/*")).distinct()
+    remove_missing(spark, present, f"{base}/index", recipe, now_ms=1 << 52)
+    return ix.read_index(spark, f"{base}/index").select(
+        "id", "type", "article_slug", "chunk_idx", F.size("dense").alias("dim"), F.size("sparse").cast("long").alias("n_terms")
+    )
+
+
 QUERIES = {
     "build_index": built_index,
     "build_report": built_report,
     "kept_postings": kept_postings,
+    "kept_statistics": kept_statistics,
+    "quarantined_articles": quarantined_articles,
+    "stream_article_files": stream_article_files,
     "read_articles": articles_from_files,
     "read_qa_cases": qa_cases,
     "write_read_index": write_and_read_index,
@@ -209,6 +249,12 @@ REPLACED_SQL = """SELECT id, type, article_slug, chunk_idx, section_path FROM ch
 BUILT_SQL = POSTINGS_SQL + """,
 terms_of AS (SELECT chunk_id AS id, count(*) AS n_terms, round(sum(weight), 6) AS total FROM weighted GROUP BY chunk_id)"""
 
+#: CTEs ``now`` (chunks after the delivery) and ``now_words`` (their terms).
+CHANGED_SQL = r"""CTE
+now AS (SELECT id, type, article_slug, chunk_idx, text FROM chunks WHERE article_slug::BIGINT % 10 <> 0
+  UNION ALL SELECT id, type, article_slug, chunk_idx, text FROM new_chunks),
+now_words AS (SELECT *, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+') AS ws FROM now)"""
+
 SQL = {
     "build_index": sql(
         BUILT_SQL
@@ -224,6 +270,20 @@ SQL = {
         r"""SELECT id, len(ws) AS n_words, len(ws) AS dl FROM (SELECT id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+') AS ws
         FROM (SELECT id, text FROM chunks WHERE article_slug::BIGINT % 10 <> 0 UNION ALL SELECT id, text FROM new_chunks))"""
     ),
+    "kept_statistics": sql(
+        CHANGED_SQL
+        + """, terms_of AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT id, unnest(ws) AS term FROM now_words) GROUP BY term)
+        SELECT n, count(*) AS n_terms, (SELECT count(*) FROM now) AS n_chunks, (SELECT round(sum(len(ws)) / count(*), 6) FROM now_words) AS avgdl
+        FROM terms_of GROUP BY n"""
+    ),
+    "quarantined_articles": sql(
+        """SELECT type, article_slug, 'embedding' AS reason, count(*) AS n_kept FROM chunks
+        WHERE article_slug::BIGINT % 30 = 0 AND article_slug IN (SELECT article_slug FROM new_chunks) GROUP BY ALL"""
+    ),
+    "stream_article_files": sql(
+        CHANGED_SQL
+        + """ SELECT id, type, article_slug, chunk_idx, 2 AS dim, len(list_distinct(ws)) AS n_terms FROM now_words WHERE article_slug::BIGINT % 50 <> 1"""
+    ),
     "read_articles": sql("SELECT article_type, article_slug, text FROM articles"),
     "read_qa_cases": "SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS article_type, 'q' || item_id AS question, text AS context FROM benchmark",
     "write_read_index": sql("SELECT id, type, article_slug, token_count FROM chunks"),

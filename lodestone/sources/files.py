@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -17,17 +18,33 @@ HISTORY = (
 CASE_SCHEMA = "question string, answer string, context string, article_url string"
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """``article_type, article_slug, text`` of ``<path>/<type>/<slug>.txt``, one row per file."""
-    files = spark.read.text(f"{path}/*/*.txt", wholetext=True)
-    name = F.col("_metadata.file_path")
+def file_name() -> Column:
+    """The path of a row's file. Spark gives it percent-encoded; ``+`` is an ordinary character there."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def named_articles(files: DataFrame, *more: Column) -> DataFrame:
+    """``article_type, article_slug, text`` (and more) of whole text files ``<type>/<slug>.txt``."""
+    name = file_name()
     return files.select(
-        F.regexp_extract(name, r"([^/]+)/[^/]+\.txt$", 1).alias("article_type"),
-        F.regexp_extract(name, r"([^/]+)\.txt$", 1).alias("article_slug"),
+        F.regexp_extract(name, r"(?s)([^/]+)/[^/]+\.txt$", 1).alias("article_type"),
+        F.regexp_extract(name, r"(?s)([^/]+)\.txt$", 1).alias("article_slug"),
         F.col("value").alias("text"),
+        *more,
     )
 
 
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """``article_type, article_slug, text`` of ``<path>/<type>/<slug>.txt``, one row per file."""
+    return named_articles(spark.read.text(f"{path}/*/*.txt", wholetext=True))
+
+
+def article_names(spark: SparkSession, path: str) -> DataFrame:
+    """``article_type, article_slug`` of the files that there are; none of them is opened."""
+    files = spark.read.format("binaryFile").load(f"{path}/*/*.txt")
+    return named_articles(files.withColumn("value", F.lit(None).cast("string"))).drop("text")
+
+
 def write_articles(articles: DataFrame, path: str) -> None:
     """``<path>/<type>/<slug>.txt`` for every article; the folder must be one that all executors share.
 
@@ -37,7 +54,7 @@ def write_articles(articles: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, slug, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs, folder = pafs.FileSystem.from_uri(f"{path if ':' in path else f'file://{path}'}/{kind}")
+                fs, folder = pafs.FileSystem.from_uri(f"{path if ':' in path else f'file://{path}'}/{quote(kind)}")
                 fs.create_dir(folder, recursive=True)
                 with fs.open_output_stream(f"{folder}/{slug}.txt", compression=None) as out:
                     out.write((text or "").encode())
@@ -52,7 +69,7 @@ def read_qa_cases(spark: SparkSession, path: str, schema: str = CASE_SCHEMA) ->
     rows = spark.read.schema(schema).csv(
         path, header=True, multiLine=True, escape='"', recursiveFileLookup=True, pathGlobFilter="*.csv"
     )
-    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv(?:/[^/]*)?$", 1).alias("article_type"))
+    return rows.select("*", F.regexp_extract(file_name(), r"([^/]+)\.csv(?:/[^/]*)?$", 1).alias("article_type"))
 
 
 def load_conversations(raw: Column) -> Column:
