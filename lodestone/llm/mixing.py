@@ -9,8 +9,11 @@ tokens, 1 on average; a document's probability is ``fraction * multiplier``.
 Sampling can thin names out but not repeat documents, so the targets hold in the sample
 only while no probability exceeds 1. ``fraction`` is therefore the share of all tokens that
 is asked for or the largest at which every probability is at most 1, whichever is less:
-every source, language and topic then has its target share of the expected tokens. What
-was reached is told by ``shares``. A document is sampled if a hash of its id and the seed,
+every source, language and topic then has its target share of the expected tokens. Where that
+would leave less than ``least`` of all tokens, ``least`` is sampled and raking goes on with
+bounds: a cell that is too small for its weight is taken whole, and the other cells of its
+names make up for it. Targets that no sample of that size can have are then missed, as
+far as the supply of a name falls short. What was reached is told by ``shares``. A document is sampled if a hash of its id and the seed,
 as a number in [0, 1), is below its probability, so a rerun samples the same documents.
 
 Targets are weights by name, taken over the names that have tokens (a name that the given
@@ -40,12 +43,14 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import stored, text_or_empty, whole_row
 
 DIMENSIONS = ("source", "lang", "topic")
-FLATTEN = {"source": 0.9, "lang": 0.9, "topic": 0.9}
+FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 8
 TOLERANCE = 1e-12
 #: The largest share of all tokens that is sampled.
 FRACTION = 0.8
+#: Where the targets would leave less, this share is sampled, and small cells are taken whole.
+LEAST = 0.1
 
 
 def form_topic(text: Column) -> Column:
@@ -92,6 +97,7 @@ def raked_cells(
     rounds: int = ROUNDS,
     fraction: float = FRACTION,
     tolerance: float = TOLERANCE,
+    least: float = LEAST,
 ) -> DataFrame:
     """One row per cell: ``source, lang, topic, mass, multiplier, prob`` and the target shares of its names."""
     counted = keyed(docs, text_col, text_col, topic).groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("mass"))
@@ -101,22 +107,37 @@ def raked_cells(
     for d in DIMENSIONS:
         now = now.join(_targets(cells, d, (targets or {}).get(d), flatten[d]).hint("merge"), d)
     now = stored(now, "rake-0")
+    rated = _multipliers(_raked(now, total, rounds, tolerance))
+    most = float(rated.agg(F.max("multiplier")).first()[0] or 0.0)
+    reached = min(fraction, 1 / most) if most > 0 else fraction
+    if reached < min(least, fraction):
+        reached = min(least, fraction)
+        rated = _multipliers(_raked(now, total, rounds, tolerance, reached))
+    return rated.withColumn("prob", F.least(F.lit(1.0), F.col("multiplier") * reached))
+
+
+def _multipliers(cells: DataFrame) -> DataFrame:
+    multiplier = F.when(F.col("mass") > 0, F.col("weight") / F.col("mass")).otherwise(0.0)
+    return stored(cells.select(*[c for c in cells.columns if c not in ("weight", "off")], multiplier.alias("multiplier")), "multipliers")
+
+
+def _raked(now: DataFrame, total: float, rounds: int, tolerance: float, bounded_at: float | None = None) -> DataFrame:
+    """Weights scaled to the shares of each dimension in turn; at ``bounded_at`` of all tokens none needs more than its cell has."""
     columns = [c for c in now.columns if c != "weight"]
     for n in range(rounds):
         for d in DIMENSIONS:
             have = now.groupBy(d).agg(F.sum("weight").alias("have"))
             factor = F.when(F.col("have") > 0, F.col(f"share_{d}") * total / F.col("have")).otherwise(0.0)
-            moved = F.when(F.col("weight") > 0, F.abs(factor - 1)).otherwise(0.0)
+            scaled = F.col("weight") * factor
+            if bounded_at is not None:
+                scaled = F.least(scaled, F.col("mass") / bounded_at)
+            moved = F.when(F.col("weight") > 0, F.abs(scaled / F.col("weight") - 1)).otherwise(0.0)
             off = moved if d == DIMENSIONS[0] else F.greatest("off", moved)
-            step = now.join(have.hint("merge"), d).select(*columns, (F.col("weight") * factor).alias("weight"), off.alias("off"))
+            step = now.join(have.hint("merge"), d).select(*columns, scaled.alias("weight"), off.alias("off"))
             now = stored(step, f"rake-{n + 1}-{d}")  # a plan of all three would hold the first one's four times
         if (now.agg(F.max("off")).first()[0] or 0.0) < tolerance:
             break
-    multiplier = F.when(F.col("mass") > 0, F.col("weight") / F.col("mass")).otherwise(0.0)
-    rated = stored(now.select(*columns, multiplier.alias("multiplier")), "multipliers")
-    most = float(rated.agg(F.max("multiplier")).first()[0] or 0.0)
-    reached = min(fraction, 1 / most) if most > 0 else fraction
-    return rated.withColumn("prob", F.least(F.lit(1.0), F.col("multiplier") * reached))
+    return now
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -135,12 +156,15 @@ def with_probabilities(
 
 
 def shares(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, topic: Column | None = None, **raking) -> DataFrame:
-    """``dimension, name, target, expected, sampled``: shares of the tokens, asked for and reached."""
+    """``dimension, name, target, expected, sampled, residual, fraction``: shares of the tokens, asked for and reached.
+
+    ``residual`` is the expected share less the target, ``fraction`` the expected share of all tokens.
+    """
     cells = stored(raked_cells(docs, text_col, topic, **raking), "raked")
     drawn = keyed(docs, text_col, id_col, topic).join(cells.select(*DIMENSIONS, "prob"), list(DIMENSIONS))
     drawn = drawn.where(uniform(F.col("id"), seed) < F.col("prob")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("drawn"))
     both = stored(cells.join(drawn, list(DIMENSIONS), "left").withColumn("expected", F.col("mass") * F.col("prob")), "drawn")
-    expected, sampled = (float(x or 0.0) or 1.0 for x in both.agg(F.sum("expected"), F.sum("drawn")).first())
+    expected, sampled, total = (float(x or 0.0) or 1.0 for x in both.agg(F.sum("expected"), F.sum("drawn"), F.sum("mass")).first())
     out = None
     for d in DIMENSIONS:
         own = both.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("name")).agg(
@@ -149,7 +173,7 @@ def shares(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed
             (F.coalesce(F.sum("drawn"), F.lit(0)) / sampled).alias("sampled"),
         )
         out = own if out is None else out.unionByName(own)
-    return out
+    return out.withColumns({"residual": F.col("expected") - F.col("target"), "fraction": F.lit(expected / total)})
 
 
 def sample_to_targets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

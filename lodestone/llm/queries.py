@@ -15,7 +15,7 @@ from lodestone.llm.fingerprints import neighbour_fingerprints
 from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.lm import language_model_scores
 from lodestone.llm.merkle import merkle_manifest
-from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, ROUNDS, with_probabilities
+from lodestone.llm.mixing import DIMENSIONS, FLATTEN, FRACTION, LEAST, ROUNDS, shares, with_probabilities
 from lodestone.llm.pii import KINDS, find_personal_data
 from lodestone.llm.secrets import find_secrets
 from lodestone.llm.substring_dedup import duplicate_spans
@@ -82,49 +82,72 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op4_sql() -> str:
-    """The same raking, all its rounds unrolled."""
+def op4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name's target and expected share, and the share of all tokens that is expected."""
+    rounded = [F.round(c, 6).alias(c) for c in ("target", "expected", "residual", "fraction")]
+    return shares(load(spark, sf_dir, "documents")).select("dimension", "name", *rounded)
+
+
+def _op4_ctes() -> str:
+    """The same raking, all its rounds unrolled: first without bounds, then, for where it is needed, with them."""
     parts = [
         r"""
 k AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
     CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, ' = ') THEN 'config' WHEN contains(t, '@') THEN 'contact'
       WHEN contains(t, 'icense') THEN 'licensed' WHEN length(t) < 400 THEN 'short' ELSE 'prose' END AS topic,
-    len(regexp_extract_all(t, '[^ 	-
-]+'))::BIGINT AS tokens
+    len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)
 ),
 c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS mass FROM k GROUP BY ALL),
-total AS (SELECT sum(mass) AS total FROM c),
-w0 AS (SELECT *, mass AS weight FROM c)"""
+total AS (SELECT sum(mass) AS total FROM c)"""
     ]
     for d in DIMENSIONS:
         parts.append(
             f"s_{d} AS (SELECT {d}, r / sum(r) OVER () AS share FROM "
             f"(SELECT {d}, CASE WHEN sum(mass) > 0 THEN pow(sum(mass), {FLATTEN[d]}) ELSE 0 END AS r FROM c GROUP BY {d}))"
         )
-    n = 0
-    for _ in range(ROUNDS):
-        for d in DIMENSIONS:
-            parts.append(
-                f"w{n + 1} AS (SELECT w{n}.source, w{n}.lang, w{n}.topic, mass, CASE WHEN m.s > 0 THEN "
-                f"weight * (share * (SELECT total FROM total) / m.s) ELSE 0 END AS weight FROM w{n} "
-                f"JOIN (SELECT {d}, sum(weight) AS s FROM w{n} GROUP BY {d}) m USING ({d}) JOIN s_{d} USING ({d}))"
-            )
-            n += 1
+    for w, bound in (("w", ""), ("b", f", mass / {LEAST}")):
+        parts.append(f"{w}0 AS MATERIALIZED (SELECT *, mass AS weight FROM c)")
+        n = 0
+        for _ in range(ROUNDS):
+            for d in DIMENSIONS:
+                parts.append(
+                    f"{w}{n + 1} AS MATERIALIZED (SELECT {w}{n}.source, {w}{n}.lang, {w}{n}.topic, mass, CASE WHEN m.s > 0 THEN "
+                    f"least(weight * (share * (SELECT total FROM total) / m.s){bound}) ELSE 0 END AS weight FROM {w}{n} "
+                    f"JOIN (SELECT {d}, sum(weight) AS s FROM {w}{n} GROUP BY {d}) m USING ({d}) JOIN s_{d} USING ({d}))"
+                )
+                n += 1
     parts.append(
-        f"""f AS (SELECT *, CASE WHEN mass > 0 THEN weight / mass ELSE 0 END AS m FROM w{n}),
-scale AS (SELECT least({FRACTION}, 1 / max(m)) AS x FROM f)"""
+        f"""free AS (SELECT least({FRACTION}, 1 / max(weight / mass)) AS x FROM w{n} WHERE mass > 0),
+f AS (SELECT w.source, w.lang, w.topic, mass, CASE WHEN mass > 0 THEN (CASE WHEN (SELECT x FROM free) < {LEAST} THEN b.weight ELSE w.weight END) / mass ELSE 0 END AS m
+  FROM w{n} w JOIN (SELECT source, lang, topic, weight FROM b{n}) b USING (source, lang, topic)),
+scale AS (SELECT greatest(x, {LEAST}) AS x FROM free),
+p AS (SELECT *, least(1.0, m * (SELECT x FROM scale)) AS prob FROM f)"""
     )
+    return "WITH " + ",\n".join(part.strip() for part in parts)
+
+
+def op4_sql() -> str:
     return (
-        "WITH "
-        + ",\n".join(p.strip() for p in parts)
+        _op4_ctes()
         + """
-SELECT k.doc_id, k.source, k.lang, k.topic, k.tokens, round(m, 6) AS multiplier,
-  round(least(1.0, m * (SELECT x FROM scale)), 6) AS prob,
-  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0
-    < least(1.0, m * (SELECT x FROM scale)) AS sampled
-FROM k JOIN f USING (source, lang, topic)"""
+SELECT k.doc_id, k.source, k.lang, k.topic, k.tokens, round(m, 6) AS multiplier, round(prob, 6) AS prob,
+  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < prob AS sampled
+FROM k JOIN p USING (source, lang, topic)"""
+    )
+
+
+def op4_shares_sql() -> str:
+    names = " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, {d} AS name, any_value(share) AS target, sum(mass * prob) / (SELECT sum(mass * prob) FROM p) AS expected FROM p JOIN s_{d} USING ({d}) GROUP BY {d}"
+        for d in DIMENSIONS
+    )
+    return (
+        _op4_ctes()
+        + f"""
+SELECT dimension, name, round(target, 6) AS target, round(expected, 6) AS expected, round(expected - target, 6) AS residual,
+  (SELECT round(sum(mass * prob) / sum(mass), 6) FROM p) AS fraction FROM ({names})"""
     )
 
 
@@ -325,6 +348,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
+        "op4_shares": op4_shares,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_toxicity": op7_toxicity,
@@ -340,6 +364,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": op4_sql(),
+        "op4_shares": op4_shares_sql(),
         "op5_warc": OP5_SQL,
         "op6_jaccard_join": OP6_SQL,
         "op10_exact_dedup": OP10_SQL,

@@ -141,3 +141,18 @@ def test_mixing_edges(spark):
     assert {m.tokens for m in mixed if m.id == 3} == {100_000}
     kept = sample_to_targets(docs)
     assert kept.columns == docs.columns and all(r.weight == "w" and r["__prob"] == 4 for r in kept.collect())
+
+
+def test_small_cells_are_taken_whole_and_others_make_up_for_them(spark):
+    rows = [(k, "w w w w", "rare" if k % 50 == 0 else "a", ["x", "y"][k // 50 % 2], 0) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
+    # 80 rare documents: half of the sample shall be rare, so 4 % at most could be sampled exactly.
+    targets = {"source": {"rare": 1, "a": 1}}
+    exact = {r.name: r for r in shares(docs, targets=targets, least=0.03).collect()}
+    assert exact["rare"].expected == pytest.approx(0.5) and exact["rare"].fraction == pytest.approx(0.04)
+    found = {r.name: r for r in shares(docs, targets=targets, least=0.1).collect()}
+    mixed = with_probabilities(docs, targets=targets, least=0.1)
+    assert mixed.where("source = 'rare'").agg(F.min("prob")).first()[0] == pytest.approx(1)
+    assert 0.09 < found["rare"].fraction <= 0.1
+    assert found["rare"].residual == pytest.approx(80 / (4000 * found["rare"].fraction) - 0.5)
+    assert found["x"].residual == pytest.approx(0, abs=1e-3), "the other dimension still holds"
