@@ -11,6 +11,8 @@ from lodestone.functions.sections import PART, parts_column, sections, whitespac
 from lodestone.functions.text import chunk_id, parse_article, with_context, word_count
 
 MAX_TOKENS = 400
+#: Bytes of texts that go to a Python worker at once, at most.
+BATCH_BYTES = 4 << 20
 
 
 def parsed_articles(articles: DataFrame) -> DataFrame:
@@ -39,6 +41,9 @@ def article_chunks(
     are one array per article, whose places number the chunks, so nothing is shuffled.
     ``counter`` and ``count_column`` are the same token count, per text and as a column.
     """
+    batch_bytes = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(articles.sparkSession.conf.get(batch_bytes).rstrip("b")) > BATCH_BYTES:
+        articles.sparkSession.conf.set(batch_bytes, str(BATCH_BYTES))
     parts = parts_column(F.col("title"), F.col("url"), F.col("body"), max_tokens, counter)
     rows = parsed_articles(articles).select("article_type", "article_slug", "url", "title", F.posexplode(parts).alias("chunk_idx", "s"))
     number = F.when(F.col("s.parts") > 0, F.concat_ws("/", F.col("s.part").cast("string"), F.col("s.parts").cast("string")))
