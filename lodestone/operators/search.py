@@ -68,7 +68,12 @@ def dense_topk(
                 out = pd.DataFrame({"question_id": [names[q] for q in best["q"]], "chunk_id": best["chunk_id"], "score": best["score"]})
                 yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-        parts.append(rows.mapInArrow(run, schema))
+        found = rows.mapInArrow(run, schema)
+        if blocks > 1:
+            # Of many blocks one at a time is broadcast, and what it has found is stored.
+            found = materialised(found, "block-candidates")
+            asked.destroy()
+        parts.append(found)
     if not parts:
         return ranked(spark.createDataFrame([], schema), k)
     every = parts[0]

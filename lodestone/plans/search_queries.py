@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_vector, terms
 from lodestone.operators import bm25, search
+from lodestone.operators import vectors as vectors_by_list
 from lodestone.plans.bindings import passages, questions, sql, table
-from lodestone.sources.tables import materialised
+from lodestone.sources.tables import materialised, scratch
 
 
 def sparse_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,6 +61,23 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dense_topk(asked, vectors).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _vector_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, vectors_by_list.VectorLists]:
+    """Every twentieth vector as a question, and all vectors in inverted lists."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
+    return vectors.where("id % 20 = 0").withColumnRenamed("id", "question_id"), vectors_by_list.build_lists(vectors, scratch(spark, "vector-lists"))
+
+
+def dense_topk_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``dense_topk``, exactly, from inverted lists: bounds tell which lists and rows are scanned."""
+    found = vectors_by_list.search_lists(*_vector_lists(spark, sf_dir), exact=True)
+    return found.select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def dense_topk_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors in the lists nearest to each question, at a recall that the fit has measured on its sample."""
+    return vectors_by_list.search_lists(*_vector_lists(spark, sf_dir)).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Chunks and questions, each with the vector whose id is its number modulo the table's size."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("dense"))
@@ -106,6 +124,8 @@ QUERIES = {
     "document_frequency_idf": document_frequency_idf,
     "bm25_topk": bm25_topk,
     "dense_topk": dense_topk,
+    "dense_topk_by_lists": dense_topk_by_lists,
+    "dense_topk_probed": dense_topk_probed,
     "hybrid_search": hybrid_search,
     "fuse_candidates": fuse_candidates,
     "rerank": rerank,
@@ -151,3 +171,5 @@ SQL = {
   FROM fused f JOIN chunks ON id = chunk_id WHERE f.rank <= 20)) WHERE n <= 5"""
     ),
 }
+
+SQL["dense_topk_by_lists"] = SQL["dense_topk"]
