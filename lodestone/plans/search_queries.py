@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_vector, terms
-from lodestone.operators import bm25, search
+from lodestone.operators import blockmax, bm25, search
 from lodestone.operators import vectors as vectors_by_list
 from lodestone.plans.bindings import passages, questions, sql, table
 from lodestone.sources.tables import materialised, scratch
@@ -54,6 +54,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.sparse_topk(questions(spark, sf_dir), postings, stats).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def bm25_topk_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``bm25_topk``, from stored postings with block maxima: most postings of common terms are not scored."""
+    _, postings, stats = _postings(spark, sf_dir)
+    index = blockmax.build_blocks(postings, stats, scratch(spark, "block-postings"))
+    return blockmax.blockmax_topk(questions(spark, sf_dir), index).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every twentieth vector, against all."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
@@ -123,6 +130,7 @@ QUERIES = {
     "encode_queries": encode_queries,
     "document_frequency_idf": document_frequency_idf,
     "bm25_topk": bm25_topk,
+    "bm25_topk_blockmax": bm25_topk_blockmax,
     "dense_topk": dense_topk,
     "dense_topk_by_lists": dense_topk_by_lists,
     "dense_topk_probed": dense_topk_probed,
@@ -172,4 +180,5 @@ SQL = {
     ),
 }
 
+SQL["bm25_topk_blockmax"] = SQL["bm25_topk"]
 SQL["dense_topk_by_lists"] = SQL["dense_topk"]
