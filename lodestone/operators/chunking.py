@@ -11,10 +11,24 @@ from lodestone.functions.sections import PART, parts_column, sections, whitespac
 from lodestone.functions.text import chunk_id, parse_article, with_context, word_count
 
 MAX_TOKENS = 400
+#: Inputs below so many bytes a core are dealt out anew before they are parsed.
+SPREAD_BYTES = 32 << 20
 #: Bytes of texts that go to a Python worker at once, at most.
 BATCH_BYTES = 4 << 20
 
 
+def dealt(articles: DataFrame) -> DataFrame:
+    """``articles`` over all cores, where the input is so small that its files would keep only some of them busy.
+
+    A large input has splits enough and is left where it is, so nothing of it is shuffled.
+    """
+    if articles.isStreaming:
+        return articles
+    cores = articles.sparkSession.sparkContext.defaultParallelism
+    size = int(str(articles._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return articles.repartition(2 * cores, "article_type", "article_slug") if size < cores * SPREAD_BYTES else articles
+
+
 def parsed_articles(articles: DataFrame) -> DataFrame:
     """``article_type, article_slug`` with ``url, title, body``."""
     return articles.select("article_type", "article_slug", *[c.alias(n) for n, c in parse_article(F.col("text")).items()])
@@ -45,7 +59,7 @@ def article_chunks(
     if int(articles.sparkSession.conf.get(batch_bytes).rstrip("b")) > BATCH_BYTES:
         articles.sparkSession.conf.set(batch_bytes, str(BATCH_BYTES))
     parts = parts_column(F.col("title"), F.col("url"), F.col("body"), max_tokens, counter)
-    rows = parsed_articles(articles).select("article_type", "article_slug", "url", "title", F.posexplode(parts).alias("chunk_idx", "s"))
+    rows = parsed_articles(dealt(articles)).select("article_type", "article_slug", "url", "title", F.posexplode(parts).alias("chunk_idx", "s"))
     number = F.when(F.col("s.parts") > 0, F.concat_ws("/", F.col("s.part").cast("string"), F.col("s.parts").cast("string")))
     suffix = F.when(number.isNotNull(), F.concat(F.lit(f" ({PART} "), number, F.lit(")"))).otherwise(F.lit(""))
     crumb = F.when(F.col("s.breadcrumb") != "", F.concat("s.breadcrumb", suffix)).otherwise(F.trim(suffix))
