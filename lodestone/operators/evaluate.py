@@ -47,6 +47,42 @@ def corpus_profile(sections: DataFrame, texts_over_cap: DataFrame) -> DataFrame:
     return lengths.join(texts_over_cap.groupBy("type").agg(F.avg(F.col("over").cast("int")).alias("split_rate")), "type")
 
 
+#: Size parameter of the length sketches: ranks of their quantiles are off by 1.65 % or less, with 99 % confidence.
+SKETCH_K = 200
+
+
+def profile_sketches(sections: DataFrame, buckets: int = 64, k: int = SKETCH_K) -> DataFrame:
+    """Per type and bucket of articles: files, sections, and a sketch of section lengths, some kilobytes each.
+
+    An article lies in one bucket, so a delivery asks only for its buckets to be made anew (see
+    ``refreshed_sketches``), and sketches of any buckets can be merged.
+    """
+    bucket = F.pmod(F.xxhash64("type", "article_slug"), F.lit(buckets)).cast("int").alias("bucket")
+    lengths = sections.select("type", bucket, "article_slug", F.length("content").cast("long").alias("size"))
+    return lengths.groupBy("type", "bucket").agg(
+        F.count_distinct("article_slug").alias("files"), F.count(F.lit(1)).alias("sections"), F.kll_sketch_agg_bigint("size", k).alias("lengths")
+    )
+
+
+def refreshed_sketches(sketches: DataFrame, touched: DataFrame, sections: DataFrame, buckets: int = 64, k: int = SKETCH_K) -> DataFrame:
+    """``sketches`` with the buckets of the articles ``touched`` made anew from ``sections`` (all that these buckets now hold)."""
+    bucket = F.pmod(F.xxhash64("type", "article_slug"), F.lit(buckets)).cast("int").alias("bucket")
+    hit = touched.select("type", bucket).distinct()
+    # As many rows as there are types and buckets, at most.
+    own = sections.join(F.broadcast(hit), (sections["type"].eqNullSafe(hit["type"])) & (F.pmod(F.xxhash64(sections["type"], sections["article_slug"]), F.lit(buckets)) == hit["bucket"]), "left_semi")
+    kept = sketches.alias("s").join(F.broadcast(hit.alias("h")), F.expr("s.type <=> h.type AND s.bucket = h.bucket"), "left_anti")
+    return kept.unionByName(profile_sketches(own, buckets, k))
+
+
+def sketched_profile(sketches: DataFrame) -> DataFrame:
+    """Per type: files, sections per file, and the median and 90th percentile of section lengths by merged sketches."""
+    merged = sketches.groupBy("type").agg(F.sum("files").alias("files"), F.sum("sections").alias("sections"), F.kll_merge_agg_bigint("lengths").alias("lengths"))
+    quantile = lambda q: F.kll_sketch_get_quantile_bigint("lengths", F.lit(q))
+    return merged.select(
+        "type", "files", (F.col("sections") / F.col("files")).alias("sections_per_file"), quantile(0.5).alias("median_chars"), quantile(0.9).alias("p90_chars")
+    )
+
+
 def chunk_invariants(chunks: DataFrame, cap: int) -> DataFrame:
     """One row: chunks over the cap, with an empty body, and repeated ids."""
     return chunks.agg(

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import BOILERPLATE
 from lodestone.operators import bm25, evaluate, search
 from lodestone.operators.chunking import MAX_TOKENS, section_rows
-from lodestone.plans.bindings import articles, passages, qa_contexts, sql
+from lodestone.plans.bindings import articles, changed_articles, passages, qa_contexts, sql
 from lodestone.plans.search_queries import HYBRID_SQL, sparse_index, with_vectors
+from lodestone.sources.tables import materialised
 
 BASELINES = {"en": 0.6, "de": 0.99}
 
@@ -40,6 +41,22 @@ def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.select("type", "files", *[F.round(c, 6).alias(c) for c in ("sections_per_file", "median_chars", "p90_chars", "split_rate")])
 
 
+def corpus_profile_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile after a delivery, from sketches of which only touched buckets were made anew; are its ranks right to 2 %?"""
+    def rows(source: DataFrame) -> DataFrame:
+        return section_rows(source).select(F.col("article_type").alias("type"), "article_slug", "content")
+
+    before, new = articles(spark, sf_dir), changed_articles(spark, sf_dir)
+    touched = new.select(F.col("article_type").alias("type"), "article_slug")
+    now = materialised(rows(before.join(touched, "article_slug", "left_anti").unionByName(new)), "sections")
+    sketches = evaluate.refreshed_sketches(materialised(evaluate.profile_sketches(rows(before)), "sketches"), touched, now)
+    profile = materialised(evaluate.sketched_profile(sketches), "profile")
+    sizes = now.select("type", F.length("content").alias("size")).join(F.broadcast(profile.select("type", "median_chars", "p90_chars")), "type")
+    near = lambda c, q: (F.avg((F.col("size") < F.col(c)).cast("int")) <= q + 0.02) & (F.avg((F.col("size") <= F.col(c)).cast("int")) >= q - 0.02)
+    right = sizes.groupBy("type").agg(near("median_chars", 0.5).alias("median_right"), near("p90_chars", 0.9).alias("p90_right"))
+    return profile.join(right, "type").select("type", "files", F.round("sections_per_file", 6).alias("sections_per_file"), "median_right", "p90_right")
+
+
 def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.chunk_invariants(passages(spark, sf_dir), MAX_TOKENS)
 
@@ -79,6 +96,7 @@ QUERIES = {
     "context_containment": context_containment,
     "containment_rate_gate": containment_rate_gate,
     "corpus_profile": corpus_profile,
+    "corpus_profile_sketched": corpus_profile_sketched,
     "chunk_invariants": chunk_invariants,
     "max_segmented_tokens": max_segmented_tokens,
     "sample_cases_per_type": sample_cases_per_type,
@@ -117,6 +135,11 @@ SQL = {
         round(quantile_cont(length(content), 0.5), 6) AS median_chars, round(quantile_cont(length(content), 0.9), 6) AS p90_chars,
         round(avg((token_count > 400)::INT), 6) AS split_rate FROM chunks GROUP BY type"""
     ),
+    "corpus_profile_sketched": sql(
+        """SELECT type, count(DISTINCT article_slug) AS files, round(count(*) / count(DISTINCT article_slug), 6) AS sections_per_file,
+        true AS median_right, true AS p90_right FROM (SELECT type, article_slug FROM chunks WHERE article_slug::BIGINT % 10 <> 0
+        UNION ALL SELECT type, article_slug FROM new_chunks) GROUP BY type"""
+    ),
     "chunk_invariants": sql(
         r"""SELECT count(*) FILTER (token_count > 400) AS over_cap, count(*) FILTER (regexp_replace(content, '\s+', '', 'g') = '') AS empty_body,
         count(*) - count(DISTINCT id) AS duplicate_ids FROM chunks"""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import query_vector, terms
-from lodestone.operators import blockmax, bm25, search
+from lodestone.functions.text import query_vector, terms, word_count
+from lodestone.operators import blockmax, bm25, lexicon, search
 from lodestone.operators import vectors as vectors_by_list
+from lodestone.operators.embed import with_embed_input
 from lodestone.plans.bindings import passages, questions, sql, table
 from lodestone.sources.tables import materialised, scratch
 
@@ -61,6 +62,34 @@ def bm25_topk_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockmax.blockmax_topk(questions(spark, sf_dir), index).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of words that belong together in all chunks, with their weight."""
+    pairs = lexicon.collocations(passages(spark, sf_dir))
+    return pairs.select("first", "second", "n", F.round("weight", 6).alias("weight"))
+
+
+def _segmented(spark: SparkSession, sf_dir: str):
+    """All chunks with their segmented text, and the segmenter that the chunks' own collocations make."""
+    chunks = materialised(passages(spark, sf_dir), "chunks")
+    segment = lexicon.segmenter(materialised(lexicon.cut_lexicon(lexicon.collocations(chunks)), "lexicon"))
+    return materialised(with_embed_input(chunks, segment), "segmented"), segment
+
+
+def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's tokens before and after segmentation."""
+    chunks, _ = _segmented(spark, sf_dir)
+    return chunks.select("id", "token_count", word_count(F.col("embed_input")).alias("segmented_tokens"))
+
+
+def segmented_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best chunks for every question by BM25, both segmented alike."""
+    chunks, segment = _segmented(spark, sf_dir)
+    postings = materialised(bm25.term_frequencies(chunks, "embed_input"), "postings")
+    stats = materialised(bm25.stats_of_postings(chunks, postings), "stats")
+    asked = questions(spark, sf_dir).select("question_id", segment(F.col("question")).alias("question"))
+    return bm25.sparse_topk(asked, postings, stats).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every twentieth vector, against all."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
@@ -131,6 +160,9 @@ QUERIES = {
     "document_frequency_idf": document_frequency_idf,
     "bm25_topk": bm25_topk,
     "bm25_topk_blockmax": bm25_topk_blockmax,
+    "collocations": collocations,
+    "segmented_terms": segmented_terms,
+    "segmented_bm25_topk": segmented_bm25_topk,
     "dense_topk": dense_topk,
     "dense_topk_by_lists": dense_topk_by_lists,
     "dense_topk_probed": dense_topk_probed,
@@ -180,5 +212,14 @@ SQL = {
     ),
 }
 
+SQL["collocations"] = sql(
+    r"""CTE
+runs AS (SELECT string_split(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?: [\p{L}\p{N}]+)*')), ' ') AS w FROM chunks),
+single AS (SELECT unnest(w) AS word, count(*) AS n FROM runs GROUP BY 1),
+pairs AS (SELECT w[i] AS first, w[i + 1] AS second, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM runs) GROUP BY ALL HAVING count(*) >= 5),
+rated AS (SELECT first, second, p.n, round(ln(p.n::DOUBLE * total / (a.n::DOUBLE * b.n)) / -ln(p.n::DOUBLE / total), 9) AS weight FROM pairs p
+  JOIN single a ON a.word = first JOIN single b ON b.word = second, (SELECT sum(n)::DOUBLE AS total FROM single))
+SELECT first, second, n, round(weight, 6) AS weight FROM rated WHERE weight >= 0.5"""
+)
 SQL["bm25_topk_blockmax"] = SQL["bm25_topk"]
 SQL["dense_topk_by_lists"] = SQL["dense_topk"]
