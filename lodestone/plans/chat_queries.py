@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, chatlog, prompts
+from lodestone.operators import bm25, chat, chatlog, prompts
+from lodestone.operators.embed import CallPolicy
 from lodestone.plans.bindings import messages, passages, questions, sql
 from lodestone.plans.search_queries import POSTINGS_SQL, sparse_index
-from lodestone.sources.tables import materialised
+from lodestone.sources.tables import materialised, scratch
 
 #: Ten days after the first conversation of the log.
 NOW_MS = 1_700_000_000_000 + 864_000_000
@@ -45,6 +46,27 @@ def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.answer_rows(asked, hits).select("question_id", "question", F.size("sources").alias("n_sources"), "answer")
 
 
+def _chat():
+    """A small deterministic model: it says how many sources it was given, and fails where there are four."""
+
+    def chat(sent):
+        prompt = sent[1]["content"]
+        n = prompt.count("[Chủ đề: ")
+        if n == 4:
+            raise TimeoutError("four")
+        return f"{n} sources [1]"
+
+    return chat
+
+
+def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's answer by an injected model, the fixed one where nothing was found, and whether the call failed."""
+    asked, hits = _hits(spark, sf_dir)
+    rows = materialised(prompts.answer_rows(asked, hits), "answer-rows")
+    answered = chat.chat_answers(rows, _chat, scratch(spark, "ledger"), policy=CallPolicy(attempts=2, pause=0.01))
+    return answered.select("question_id", "answer", F.col("error").isNotNull().alias("failed"))
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).where("role = 'assistant'")
 
@@ -90,6 +112,7 @@ QUERIES = {
     "sources_array": sources_array,
     "build_messages": build_messages,
     "answer_rows": answer_rows,
+    "chat_answers": chat_answers,
     "assemble_turns": assemble_turns,
     "conversations": conversations,
     "apply_answer_patches": apply_answer_patches,
@@ -115,6 +138,11 @@ SQL = {
         + f""" SELECT q.question_id, question, count(n)::INT AS n_sources, CASE WHEN count(n) = 0 THEN '{prompts.NO_RESULT}' END AS answer
         FROM questions q LEFT JOIN hits USING (question_id) GROUP BY ALL"""
     ),
+    "chat_answers": sql(
+        HITS_SQL
+        + f""" SELECT q.question_id, CASE count(n) WHEN 0 THEN '{prompts.NO_RESULT}' WHEN 4 THEN NULL ELSE count(n) || ' sources [1]' END AS answer,
+        count(n) = 4 AS failed FROM questions q LEFT JOIN hits USING (question_id) GROUP BY ALL"""
+    ),
     "assemble_turns": sql(
         """CTE asked AS (SELECT CASE WHEN conv_id % 2 = 0 THEN conv_id ELSE -conv_id - 1 END AS conv_id, created_at + 9 AS created_at FROM messages WHERE turn = 0 AND conv_id % 3 = 0),
         placed AS (SELECT a.conv_id, a.created_at, coalesce(last, -1) + 1 AS turn FROM asked a LEFT JOIN (SELECT conv_id, max(turn) AS last FROM messages GROUP BY conv_id) USING (conv_id))
