@@ -149,14 +149,18 @@ def _split_into(home: str, rows: int, split_rows: int) -> int:
 
 
 def _write(
-    spark: SparkSession, path: str, name: str, attempt: str, homes: set[tuple[str, str]], rows: DataFrame, sized: DataFrame, split_rows: int
+    spark: SparkSession, path: str, name: str, attempt: str, homes: set[tuple[str, str]], rows: DataFrame, sized: DataFrame, split_rows: int,
+    most: dict[tuple[str, str], int] | None = None,
 ) -> list[Leaf]:
-    """``rows``, all that the leaves ``homes`` hold from now on, in new folders; ``sized`` has as many rows by article."""
+    """``rows``, all that the leaves ``homes`` hold from now on, in new folders; ``sized`` has as many rows by article.
+
+    ``most``: how many rows a leaf can have; if that asks for no split, nothing is counted.
+    """
     if not homes:
         return []
     depths = {len(prefix) for _, prefix in homes}
     there = spark.createDataFrame(sorted(homes), "__kind string, __home string")
-    counts = {(r["__kind"], r["__home"]): r["n"] for r in _at_home(sized.select(*KEY), there, depths).groupBy("__kind", "__home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = most if most is not None and max(most.values(), default=0) <= split_rows else _counts(sized, there, depths)
     numbers = {kind: i for i, kind in enumerate(sorted({kind for kind, _ in homes}))}
     extra = {home: _split_into(home[1], counts.get(home, 0), split_rows) for home in homes}
     parts = {
@@ -165,7 +169,7 @@ def _write(
         for tail in ([format(i, f"0{more}b") for i in range(1 << more)] if more else [""])
     }
     folder, had = f"{name}/{attempt}", {}
-    if counts:
+    if any(counts.values()):
         plan = spark.createDataFrame([(k, p, len(p) + extra[k, p], numbers[k]) for k, p in sorted(homes)], "__kind string, __home string, __to int, __number int")
         bucket = F.expr("concat('t', __number, 'b', substring(__bits, 1, __to))")
         dealt = _at_home(rows, plan, depths).withColumn("bucket", bucket).drop("__kind", "__home", "__bits", "__to", "__number")
@@ -177,6 +181,12 @@ def _write(
     return [Leaf(name, kind, prefix, f"{folder}/bucket={b}" if b in had else None, had.get(b, 0)) for b, (kind, prefix) in sorted(parts.items())]
 
 
+def _counts(rows: DataFrame, leaves: DataFrame, depths: Iterable[int]) -> dict[tuple[str, str], int]:
+    """How many of ``rows`` each leaf has."""
+    found = _at_home(rows.select(*KEY), leaves, depths).groupBy("__kind", "__home").agg(F.count(F.lit(1)).alias("n"))
+    return {(r["__kind"], r["__home"]): r["n"] for r in found.collect()}
+
+
 def _kinds(rows: DataFrame) -> set[str]:
     return {r[0] for r in rows.select(F.coalesce(F.col("type"), F.lit(""))).distinct().collect()}
 
@@ -249,7 +259,12 @@ def replace(s: Snapshot, changes: dict[str, Change], meta: dict | None = None, d
         old = touched(s, name, change.keys)
         kept = without(s.read(old, name), change.keys)
         rows = kept.unionByName(change.rows.select(*kept.columns))
-        written = _write(s.spark, s.path, name, attempt, {(leaf.kind, leaf.prefix) for leaf in old}, rows, rows, s.meta["split_rows"])
+        homes = {(leaf.kind, leaf.prefix): leaf.rows for leaf in old}
+        if homes:
+            there = s.spark.createDataFrame(sorted(homes), "__kind string, __home string")
+            for home, n in _counts(change.rows, there, {len(prefix) for _, prefix in homes}).items():
+                homes[home] += n
+        written = _write(s.spark, s.path, name, attempt, set(homes), rows, rows, s.meta["split_rows"], homes)
         gone = set(old)
         new.leaves = [leaf for leaf in new.leaves if leaf not in gone] + written
     for name, rows in (deltas or {}).items():
