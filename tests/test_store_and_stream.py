@@ -162,7 +162,7 @@ def test_counts_by_differences_stay_right_through_compaction(spark, tmp_path, mo
     base = f"file://{tmp_path}"
     build_index(articles(spark, *[("d", f"s{k}", body(f"s{k}", "x")) for k in range(4)]), f"{base}/index", connect, 2, policy=QUICK)
     s = ix.opened(spark, f"{base}/index")
-    for n in range(3):
+    for n in range(2):
         with temporary(spark):
             _, s = update_index(s, articles(spark, ("d", f"s{n % 3}", body(f"s{n % 3}", *"abc"[: n % 4])), ("d", f"n{n}", body(f"n{n}", "q"))), recipe())
         postings = keyed_postings(s.table("chunks"))
@@ -187,7 +187,7 @@ def test_article_files_out_of_order_restart_and_removal(spark, tmp_path):
     build_index(articles(spark, ("d", "a", body("a", "x", "y")), ("d", "b", body("b", "z"))), f"{base}/index", connect, 2, policy=QUICK)
 
     def run():
-        ingest.ingest_files(spark, f"{base}/in/*", f"{base}/index", f"{base}/run", recipe(), files_per_batch=1)
+        ingest.ingest_files(spark, f"{base}/in/*", f"{base}/index", f"{base}/run", recipe(), files_per_batch=2)
 
     put(root / "1", "d", "a", body("a", "new"), now + 50)
     put(root / "1", "d", "thuốc 100%+", body("c", "m"), now)
