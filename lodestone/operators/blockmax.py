@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.bm25 import MAX_ASKED, question_terms, ranked, weighted_postings
+from lodestone.operators.bm25 import MAX_ASKED, K1, B, frequencies as counted, packed, question_terms, ranked
 from lodestone.sources.tables import materialised
 
 BLOCK, SHARD_CHUNKS = 32, 1 << 14
@@ -39,38 +39,64 @@ class BlockPostings:
     idf: DataFrame
 
 
+STORED = "kind string, shard int, term_index long, block int, most double, places array<int>, weights array<double>, chunk_ids array<string>"
+
+
+def _stored_rows(number: int, table: pa.Table, avgdl: float) -> list[pa.RecordBatch]:
+    """One shard, its chunks by length: a row per term and block, and a row with the ids of all chunks in their places."""
+    entries = table["entries"].combine_chunks()
+    place = np.repeat(np.arange(len(entries)), entries.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int32)
+    term, tf = (c.to_numpy(zero_copy_only=False) for c in entries.flatten().flatten())
+    dl = table["dl"].to_numpy()[place]
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    order = np.argsort(term, kind="stable")  # places ascend within a term
+    term, place, weight = term[order], place[order], weight[order]
+    first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(place // BLOCK, prepend=-1) != 0))
+    bounds = pa.array(np.append(first, len(term)).astype(np.int32))
+    n = len(first)
+    most = np.maximum.reduceat(weight, first) if n else np.empty(0)
+    ids = pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table["chunk_id"].combine_chunks())
+    names = [c.split()[0] for c in STORED.split(", ")]
+    blocks = [
+        pa.array(["blocks"] * n, pa.string()), pa.array([number] * n, pa.int32()), pa.array(term[first], pa.int64()), pa.array(place[first] // BLOCK, pa.int32()),
+        pa.array(most), pa.ListArray.from_arrays(bounds, pa.array(place)), pa.ListArray.from_arrays(bounds, pa.array(weight)), pa.nulls(n, pa.list_(pa.string())),
+    ]
+    types = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+    chunks = [pa.array(["chunks"]), pa.array([number], pa.int32()), *[pa.nulls(1, t) for t in types], ids.cast(pa.list_(pa.string()))]
+    return [pa.RecordBatch.from_arrays(cells, names=names) for cells in (blocks, chunks)]
+
+
 def build_blocks(postings: DataFrame, stats: DataFrame, path: str, frequencies: DataFrame | None = None) -> BlockPostings:
-    """Stores raw postings (``chunk_id, term_index, tf, dl``) by shard at ``path``.
+    """Stores postings (packed, or ``chunk_id, term_index, tf, dl``) by shard at ``path``.
 
-    ``stats``: one row ``n_chunks, avgdl``; ``frequencies``: ``term_index, n``, if they are kept.
+    ``stats``: one row ``n_chunks, avgdl``; ``frequencies``: ``term_index, n``, if they are kept. Packed postings
+    are shuffled once, by shard, and a task makes the blocks of one shard at a time.
     """
     spark = postings.sparkSession
-    n_chunks = stats.first()["n_chunks"]
+    n_chunks, avgdl = stats.select("n_chunks", "avgdl").first()
     shards = max(1, -(-n_chunks // SHARD_CHUNKS))
+    own = packed(postings).where(F.size("entries") > 0)
     shard = F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard")
-    own = Window.partitionBy("shard").orderBy("dl", "chunk_id")  # SHARD_CHUNKS rows or so
-    places = postings.select("chunk_id", "dl").distinct().select(shard, "dl", "chunk_id").withColumn("place", F.row_number().over(own) - 1)
-    places.drop("dl").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/chunks")
-    chunks = spark.read.schema("chunk_id string, place int, shard int").parquet(f"{path}/chunks")
-    weighted = weighted_postings(postings, stats).select("chunk_id", "term_index", "weight")
-    placed = weighted.join(chunks, "chunk_id").withColumn("block", F.expr(f"place div {BLOCK}").cast("int"))
-    entries = F.array_sort(F.collect_list(F.struct("place", "weight")))
-    rows = placed.groupBy("shard", "term_index", "block").agg(F.max("weight").alias("most"), entries.alias("e")).select(
-        "shard", "term_index", "block", "most", F.col("e.place").alias("places"), F.col("e.weight").alias("weights")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_shard(batches):
+            for stored in _stored_rows(table["shard"][0].as_py(), table, avgdl):
+                yield from (stored.slice(at, 4096) for at in range(0, stored.num_rows, 4096))
+
+    dealt = own.select(shard, "chunk_id", "dl", "entries").repartition("shard").sortWithinPartitions("shard", "dl", "chunk_id")
     # By term within a shard, so that a search reads the row groups of the terms it asks for.
-    rows.repartition("shard").sortWithinPartitions("shard", "term_index", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
-    df = frequencies if frequencies is not None else postings.groupBy("term_index").agg(F.count(F.lit(1)).alias("n"))
+    dealt.mapInArrow(run, STORED).write.mode("overwrite").partitionBy("kind", "shard").parquet(f"{path}/shards")
+    df = frequencies if frequencies is not None else counted(postings)
     idf = F.log1p((F.lit(n_chunks) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     df.select("term_index", idf.alias("idf")).write.mode("overwrite").parquet(f"{path}/idf")
     return open_blocks(spark, path)
 
 
 def open_blocks(spark: SparkSession, path: str) -> BlockPostings:
-    rows = "term_index long, block int, most double, places array<int>, weights array<double>, shard int"
+    rows = spark.read.schema(STORED).parquet(f"{path}/shards")
     return BlockPostings(
-        spark.read.schema(rows).parquet(f"{path}/blocks"),
-        spark.read.schema("chunk_id string, place int, shard int").parquet(f"{path}/chunks"),
+        rows.where("kind = 'blocks'").select("term_index", "block", "most", "places", "weights", "shard"),
+        rows.where("kind = 'chunks'").select(F.posexplode("chunk_ids").alias("place", "chunk_id"), "shard").select("chunk_id", "place", "shard"),
         spark.read.schema("term_index long, idf double").parquet(f"{path}/idf"),
     )
 
@@ -128,29 +154,30 @@ class Shard:
         return kept_places, kept_scores
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard, int]]:
-    """Rows sorted by shard as one ``Shard`` after the other, with its number and how many postings it has."""
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by shard as one table per shard."""
     held: list[pa.Table] = []
-
-    def made() -> tuple[int, Shard, int]:
-        table = pa.concat_tables(held).combine_chunks()
-        column = lambda name: table[name].combine_chunks()
-        sizes = column("places").value_lengths().to_numpy(zero_copy_only=False)
-        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        flat = [column(n).flatten().to_numpy(zero_copy_only=False) for n in ("places", "weights")]
-        return table["shard"][0].as_py(), Shard(*(table[n].to_numpy() for n in ("term_index", "block", "most")), *flat, bounds), int(bounds[-1])
-
     for batch in batches:
         own = batch["shard"].to_numpy()
         for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(own)) + 1):
             if not len(part):
                 continue
             if held and held[0]["shard"][0].as_py() != own[part[0]]:
-                yield made()
+                yield pa.concat_tables(held).combine_chunks()
                 held.clear()
             held.append(pa.Table.from_batches([batch.slice(int(part[0]), len(part))]))
     if held:
-        yield made()
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard, int]]:
+    """Rows sorted by shard as one ``Shard`` after the other, with its number and how many postings it has."""
+    for table in _by_shard(batches):
+        column = lambda name: table[name].combine_chunks()  # noqa: E731, B023
+        sizes = column("places").value_lengths().to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        flat = [column(n).flatten().to_numpy(zero_copy_only=False) for n in ("places", "weights")]
+        yield table["shard"][0].as_py(), Shard(*(table[n].to_numpy() for n in ("term_index", "block", "most")), *flat, bounds), int(bounds[-1])
 
 
 def _run(questions: DataFrame, index: BlockPostings, k: int, digits: int, schema: str, report: bool) -> DataFrame:

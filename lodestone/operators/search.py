@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.best import Best
 from lodestone.operators.bm25 import ranked
 from lodestone.sources.tables import materialised
 
@@ -50,23 +51,15 @@ def dense_topk(
 
         def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             names, matrix = asked.value
-            best: pd.DataFrame | None = None
+            best = Best(len(names), k)
             for batch in (whole.slice(at, INDEX_ROWS) for whole in batches for at in range(0, whole.num_rows, INDEX_ROWS)):
                 keep = batch.filter(pa.compute.is_valid(batch.column(1)))
                 if not keep.num_rows:
                     continue
                 flat = keep.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                scores = np.round(matrix @ _unit(flat.reshape(keep.num_rows, -1)).T, digits)
-                ids = np.array(keep.column(0).to_pylist(), dtype=object)
-                # All rows that reach the k-th best score, ties included; the sort below cuts them.
-                least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
-                q, row = np.nonzero(scores >= least[:, None])
-                found = pd.DataFrame({"q": q, "chunk_id": ids[row], "score": scores[q, row]})
-                best = found if best is None else pd.concat([best, found])
-                best = best.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
-            if best is not None:
-                out = pd.DataFrame({"question_id": [names[q] for q in best["q"]], "chunk_id": best["chunk_id"], "score": best["score"]})
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                best.add(keep.column(0), np.round(_unit(flat.reshape(keep.num_rows, -1)) @ matrix.T, digits))
+            if (out := best.batch(names)) is not None:
+                yield out
 
         found = rows.mapInArrow(run, schema)
         if blocks > 1:

@@ -73,15 +73,18 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the right article and the right context for every question in three modes."""
     chunks, asked = with_vectors(spark, sf_dir)
     postings, stats = sparse_index(chunks)
-    sparse = bm25.sparse_topk(asked, postings, stats, k=search.CANDIDATES)
-    dense = search.dense_topk(asked, chunks, k=search.CANDIDATES)
+    # Read several times below, so stored: a search scans the whole index.
+    sparse = materialised(bm25.sparse_topk(asked, postings, stats, k=search.CANDIDATES), "sparse-candidates")
+    dense = materialised(search.dense_topk(asked, chunks, k=search.CANDIDATES), "dense-candidates")
     parts = {"dense": dense.where("rank <= 5"), "sparse": sparse.where("rank <= 5"), "hybrid": search.hybrid_search(dense, sparse)}
     ranked = None
     for mode, part in parts.items():
         rows = part.select(F.col("question_id").alias("case_id"), "chunk_id", "rank", F.lit(mode).alias("mode"))
         ranked = rows if ranked is None else ranked.unionByName(rows)
     payload = chunks.select(F.col("id").alias("chunk_id"), F.col("type").alias("hit_type"), F.col("article_slug").alias("hit_slug"), "text")
-    return evaluate.first_hits(qa_contexts(spark, sf_dir), ranked.join(payload, "chunk_id"))
+    # Both are read more than once in what follows.
+    hits = materialised(ranked.join(payload, "chunk_id"), "hits")
+    return materialised(evaluate.first_hits(qa_contexts(spark, sf_dir), hits), "records")
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,14 +14,13 @@ from lodestone.sources.tables import materialised, scratch
 
 
 def sparse_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored postings and statistics of chunks."""
-    postings = materialised(bm25.term_frequencies(chunks), "postings")
+    """Stored postings (packed) and statistics of chunks."""
+    postings = materialised(bm25.packed_postings(chunks), "postings")
     return postings, materialised(bm25.stats_of_postings(chunks, postings), "stats")
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = materialised(passages(spark, sf_dir), "chunks")
-    return chunks, *sparse_index(chunks)
+def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return sparse_index(passages(spark, sf_dir))
 
 
 def bm25_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +30,11 @@ def bm25_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and weight of every chunk's sparse vector."""
-    _, postings, stats = _postings(spark, sf_dir)
-    return bm25.weighted_postings(postings, stats).groupBy("chunk_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 9).alias("top")
+    postings, stats = _postings(spark, sf_dir)
+    # Weights are an array per chunk: nothing is shuffled. A chunk without terms has no vector.
+    weights = postings.where(F.size("entries") > 0).join(F.broadcast(stats.select("avgdl")), F.lit(True)).select("chunk_id", bm25.entry_weights(F.col("avgdl")).alias("w"))
+    return weights.select(
+        "chunk_id", F.size("w").cast("long").alias("n_terms"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("w"), 9).alias("top")
     )
 
 
@@ -43,21 +44,20 @@ def encode_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = passages(spark, sf_dir)
-    postings, stats = bm25.term_frequencies(chunks, hashed=False), bm25.corpus_stats(chunks)
-    idf = bm25.inverse_frequencies(postings, stats)
+    postings = materialised(bm25.packed_postings(passages(spark, sf_dir), hashed=False), "postings")
+    idf = bm25.inverse_frequencies(postings, bm25.stats_of_postings(postings, postings))
     return idf.groupBy("n").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("idf"), 9).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the five best chunks for every question by BM25."""
-    _, postings, stats = _postings(spark, sf_dir)
+    postings, stats = _postings(spark, sf_dir)
     return bm25.sparse_topk(questions(spark, sf_dir), postings, stats).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def bm25_topk_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as ``bm25_topk``, from stored postings with block maxima: most postings of common terms are not scored."""
-    _, postings, stats = _postings(spark, sf_dir)
+    postings, stats = _postings(spark, sf_dir)
     index = blockmax.build_blocks(postings, stats, scratch(spark, "block-postings"))
     return blockmax.blockmax_topk(questions(spark, sf_dir), index).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -84,7 +84,7 @@ def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segmented_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best chunks for every question by BM25, both segmented alike."""
     chunks, segment = _segmented(spark, sf_dir)
-    postings = materialised(bm25.term_frequencies(chunks, "embed_input"), "postings")
+    postings = materialised(bm25.packed_postings(chunks, "embed_input"), "postings")
     stats = materialised(bm25.stats_of_postings(chunks, postings), "stats")
     asked = questions(spark, sf_dir).select("question_id", segment(F.col("question")).alias("question"))
     return bm25.sparse_topk(asked, postings, stats).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
@@ -127,8 +127,8 @@ def with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     chunks, asked = with_vectors(spark, sf_dir)
     postings, stats = sparse_index(chunks)
-    sparse = bm25.sparse_topk(asked, postings, stats, k=search.CANDIDATES)
-    return chunks, asked, search.dense_topk(asked, chunks, k=search.CANDIDATES), sparse
+    sparse = materialised(bm25.sparse_topk(asked, postings, stats, k=search.CANDIDATES), "sparse-candidates")
+    return chunks, asked, materialised(search.dense_topk(asked, chunks, k=search.CANDIDATES), "dense-candidates"), sparse
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
