@@ -1,4 +1,5 @@
 import re
+import time
 import unicodedata
 import zlib
 
@@ -50,6 +51,25 @@ def test_terms_are_composed_only_where_needed(spark):
         assert row.w == composed
 
 
+def test_the_test_for_composition_costs_little_beside_the_terms(spark):
+    # Few and long words, so that a cost per character shows.
+    rows = spark.range(4).repartition(4).select(F.repeat(F.concat(F.lit("đường" * 50 + " "), "id"), 8000).alias("text")).cache()
+    assert rows.count() == 4
+
+    def seconds(normalise):
+        began = time.perf_counter()
+        assert rows.agg(F.max(F.size(terms(F.col("text"), normalise)))).first()[0] == 8001
+        return time.perf_counter() - began
+
+    seconds(True), seconds(False)
+    assert min(seconds(True) for _ in range(3)) < 2.5 * min(seconds(False) for _ in range(3))
+
+
+def test_long_texts_of_two_scripts_are_checked_without_recursion(spark):
+    rows = spark.range(1).select(F.repeat(F.lit("слово и дело "), 100_000).alias("text"))
+    assert rows.select(F.size(terms(F.col("text"))).alias("n")).first().n == 300_000
+
+
 def test_rare_term_ranks_first(spark):
     docs = chunks(spark, "phổ_biến a", "phổ_biến hiếm", "phổ_biến b", "phổ_biến c")
     questions = spark.createDataFrame([(1, "hiếm phổ_biến"), (2, "!!")], "question_id long, question string")
