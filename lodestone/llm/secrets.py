@@ -9,11 +9,13 @@ network in numpy; of a long run all overlapping windows, and the highest counts.
 The network is trained on labelled findings. Positive are base findings and made-up keys of
 several formats (``FORMATS``); negative are the corpus' other candidates and made-up
 look-alikes (numbers, dates, paths, names). Made-up values stand in surroundings taken from
-the corpus' candidates of either label. At most ``MAX_EXAMPLES`` of each label are taken from
-the corpus, in the order of a hash, and ``MADE_UP`` of each are made up. Of half the examples
+the corpus' candidates of either label. Every distinct window of the corpus is learnt from: tasks
+of some ``EXAMPLES`` windows learn side by side, each with some ``MADE_UP`` made-up ones of either label (in
+proportion to its windows), and their parameters are averaged after each of ``ROUNDS`` rounds (few windows are one task). Of half the examples
 the surroundings are blanked, so that the value itself must tell. Logits are calibrated on
-examples left out, and the threshold is the highest that keeps ``RECALL`` of the positives
-among them. A candidate at or above it that meets no base finding becomes a ``learned`` span.
+all examples left out, a quarter, and the threshold is the highest that keeps ``RECALL`` of the positives
+among them (from counts by logit, in steps of 1/``STEPS``, where there is more than one task). A candidate at
+or above it that meets no base finding becomes a ``learned`` span.
 
 Null and empty texts have no findings. Without corpus examples of both labels the network
 has made-up ones only. Repeated rows are scanned each, null ids pass through, an empty
@@ -21,14 +23,15 @@ table gives an empty result; very long texts and runs are read whole; columns ot
 and text are ignored.
 
 Every text is read once; the scan's table (spans and candidates with their
-surroundings) is stored, and sampling and scoring use that table only.
+surroundings) is stored, and learning and scoring use that table only. Only parameters and counts by
+logit reach the driver.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import arrow_map, sliced, stored, text_or_empty
 from lodestone.llm.toxicity import _calibrated, sigmoid
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -50,8 +50,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(
     r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/_.=-]{20}|[A-Za-z+/_.=-]{0,19}[0-9])[A-Za-z0-9+/_.=-]{8,}"
 )
-MAX_EXAMPLES = 3000
+#: Windows that a task learns from, and how often tasks that learn side by side are averaged.
+EXAMPLES, ROUNDS, EPOCHS = 6000, 4, 8
 MADE_UP = 1500
+#: Calibration counts: steps per unit of a logit, and the largest logit.
+STEPS, MOST = 64, 40
 RECALL = 0.98
 BEFORE, VALUE, AFTER = 20, 40, 8
 SCAN_SCHEMA = "base array<struct<kind:string,start:int,end:int>>, candidates array<struct<start:int,end:int,shown:array<string>,known:boolean>>"
@@ -221,39 +224,117 @@ class CharNetwork:
         return sigmoid(a * np.concatenate(out).astype(np.float64) + b) if out else np.zeros(0)
 
 
+class Lesson:
+    """What one fit or task learns from: its windows and made-up ones, a quarter of them left ``aside``."""
+
+    def __init__(self, windows: list[str], labels: np.ndarray, formats: dict[str, Callable[[Draw], str]], seed: int, n_made: int = MADE_UP) -> None:
+        self.random, self.windows = np.random.Generator(np.random.PCG64(seed)), len(windows)
+        made = [made_up(kind, n_made, windows, self.random) for kind in (formats, LOOKALIKES)]
+        self.y = np.concatenate([np.asarray(labels, dtype=np.float32), np.ones(n_made, np.float32), np.zeros(n_made, np.float32)])
+        self.codes = encoded([*windows, *made[0], *made[1]])
+        self.aside = self.random.random(len(self.y)) < 0.25
+
+    def learn(self, net: CharNetwork, epochs: int) -> None:
+        r, train = self.random, np.flatnonzero(~self.aside)
+        m = {k: np.zeros_like(v) for k, v in net.p.items()}
+        s = {k: np.zeros_like(v) for k, v in net.p.items()}
+        step = 0
+        for _ in range(epochs):
+            order = r.permutation(train)
+            for at in range(0, len(order), 64):
+                some = order[at : at + 64]
+                batch = self.codes[some].copy()
+                blank = r.random(len(some)) < 0.5
+                batch[blank, :BEFORE] = 0
+                batch[blank, BEFORE + VALUE :] = 0
+                step += 1
+                for k, g in net.gradients(batch, self.y[some]).items():
+                    m[k] = 0.9 * m[k] + 0.1 * g
+                    s[k] = 0.99 * s[k] + 0.01 * g * g
+                    net.p[k] -= 0.01 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * m[k] / (np.sqrt(s[k]) + 1e-6)
+
+    def left_out(self, net: CharNetwork) -> tuple[np.ndarray, np.ndarray]:
+        """Logits and labels of the examples left aside."""
+        codes = self.codes[self.aside]
+        return np.concatenate([net.forward(codes[k : k + 2048])[0] for k in range(0, len(codes), 2048)]).astype(np.float64), self.y[self.aside]
+
+
+def _settled(net: CharNetwork, logits: np.ndarray, y: np.ndarray, n: np.ndarray) -> CharNetwork:
+    """``net`` with its scale and threshold, from examples left out, each ``n`` times."""
+    net.scale = _calibrated(logits, y, n)
+    positive = np.flatnonzero(y == 1)
+    order = positive[np.argsort(logits[positive], kind="stable")]
+    reached = np.cumsum(n[order])
+    at = order[int(np.searchsorted(reached, np.floor((1 - RECALL) * reached[-1]), side="right"))]
+    net.threshold = float(sigmoid(net.scale[0] * logits[at : at + 1] + net.scale[1])[0])
+    return net
+
+
 def fit(
-    windows: list[str], labels: np.ndarray, formats: dict[str, Callable[[Draw], str]] = FORMATS, epochs: int = 8, seed: int = 5
+    windows: list[str], labels: np.ndarray, formats: dict[str, Callable[[Draw], str]] = FORMATS, epochs: int = EPOCHS, seed: int = 5
 ) -> CharNetwork:
-    """The network fitted on labelled windows and made-up ones."""
+    """The network fitted on labelled windows and made-up ones, here and now."""
+    net, lesson = CharNetwork(seed), Lesson(windows, labels, formats, seed)
+    lesson.learn(net, epochs)
+    logits, y = lesson.left_out(net)
+    return _settled(net, logits, y, np.ones(len(y)))
+
+
+def _lessons(examples: DataFrame, run: Callable[[Lesson], pa.RecordBatch], tasks: int, schema: str, turn: int = 0) -> DataFrame:
+    """What ``run`` gives per task; a task has the same windows, made-up ones and examples aside in every round."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            windows, known = ([x for b in held for x in b.column(k).to_pylist()] for k in (0, 1))
+            # The first window names the task: made-up examples differ between tasks, and not between attempts.
+            n_made = max(2 * len(FORMATS), MADE_UP * len(windows) // EXAMPLES)
+            lesson = Lesson(windows, np.array(known), FORMATS, zlib.crc32(windows[0].encode("utf-8", "surrogatepass")), n_made)
+            lesson.random = np.random.Generator(np.random.PCG64([turn, len(windows)]))
+            yield run(lesson)
+
+    dealt = examples.select("shown", "known").repartition(tasks, F.xxhash64("shown")).sortWithinPartitions("shown", "known")
+    return arrow_map(dealt, learn, schema)
+
+
+def trained(examples: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> CharNetwork:
+    """The network fitted on all ``examples`` (``shown, known``: distinct windows): by one task, or by many whose parameters are averaged."""
+    n = examples.count()
+    tasks = -(-n // EXAMPLES)
+    if tasks <= 1:
+        rows = examples.select("shown", "known").toPandas().sort_values(["shown", "known"], kind="stable")
+        return fit(rows["shown"].tolist(), rows["known"].to_numpy(), seed=seed)
     net = CharNetwork(seed)
-    r = np.random.Generator(np.random.PCG64(seed))
-    made = [made_up(kind, MADE_UP, windows, r) for kind in (formats, LOOKALIKES)]
-    y = np.concatenate([np.asarray(labels, dtype=np.float32), np.ones(MADE_UP, np.float32), np.zeros(MADE_UP, np.float32)])
-    windows = [*windows, *made[0], *made[1]]
-    codes = encoded(windows)
-    aside = r.random(len(y)) < 0.25
-    train = np.flatnonzero(~aside)
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    s = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
-    for _ in range(epochs):
-        order = r.permutation(train)
-        for at in range(0, len(order), 64):
-            some = order[at : at + 64]
-            batch = codes[some].copy()
-            blank = r.random(len(some)) < 0.5
-            batch[blank, :BEFORE] = 0
-            batch[blank, BEFORE + VALUE :] = 0
-            step += 1
-            for k, g in net.gradients(batch, y[some]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.99 * s[k] + 0.01 * g * g
-                net.p[k] -= 0.01 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * m[k] / (np.sqrt(s[k]) + 1e-6)
-    kept = y[aside]
-    net.scale = _calibrated(net.forward(codes[aside])[0].astype(np.float64), kept)
-    p = np.sort(net.probabilities([w for w, k in zip(windows, aside, strict=True) if k])[kept == 1])
-    net.threshold = float(p[int(np.floor((1 - RECALL) * len(p)))])
-    return net
+    context = examples.sparkSession.sparkContext
+    for turn in range(rounds):
+        start = context.broadcast(net.p)
+
+        def learnt(lesson: Lesson, start=start) -> pa.RecordBatch:
+            own = CharNetwork(seed)
+            own.p = {k: v.copy() for k, v in start.value.items()}
+            lesson.learn(own, max(1, EPOCHS // rounds))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(own.p)), pa.array([v.ravel().tolist() for v in own.p.values()], pa.list_(pa.float32())), pa.array([len(lesson.y)] * len(own.p), pa.int64())],
+                names=["name", "values", "n"],
+            )
+
+        found = _lessons(examples, learnt, tasks, "name string, values array<float>, n long", turn)
+        # Summed in Spark: a few thousand numbers reach the driver, however many tasks there are.
+        places = found.select("name", "n", F.posexplode("values").alias("place", "value")).groupBy("name", "place")
+        mean = places.agg((F.sum(F.col("value").cast("double") * F.col("n")) / F.sum("n")).alias("value")).toPandas().sort_values(["name", "place"])
+        net.p = {k: mean.loc[mean["name"] == k, "value"].to_numpy(np.float32).reshape(v.shape) for k, v in net.p.items()}
+        start.destroy()
+    done = context.broadcast(net)
+
+    def counted(lesson: Lesson) -> pa.RecordBatch:
+        logits, y = lesson.left_out(done.value)
+        cell = np.floor(np.clip(logits, -MOST, MOST) * STEPS).astype(np.int64) * 2 + (y == 1)
+        cells, times = np.unique(cell, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times.astype(np.int64))], names=["cell", "n"])
+
+    counts = _lessons(examples, counted, tasks, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+    cell = counts["cell"].to_numpy(np.int64)
+    return _settled(net, (cell // 2) / STEPS, (cell % 2).astype(np.float64), counts["n"].to_numpy(np.float64))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,19 +357,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return stored(arrow_map(texts, run, f"`{id_col}` {kind}, {SCAN_SCHEMA}"), "secret-scan")
 
 
-def labelled_sample(scanned: DataFrame) -> pd.DataFrame:
-    """At most ``MAX_EXAMPLES`` base and as many other candidates (``shown, known``)."""
+def labelled(scanned: DataFrame) -> DataFrame:
+    """``shown, known``: every distinct window of the scan, base or other, stored."""
     every = scanned.select(F.explode("candidates").alias("c")).select(F.explode("c.shown").alias("shown"), "c.known").distinct()
-    order = [F.xxhash64("shown"), F.col("shown")]
-    parts = [every.where(c).orderBy(*order).limit(MAX_EXAMPLES) for c in ("known", "not known")]
-    return parts[0].unionByName(parts[1]).toPandas().sort_values(["shown", "known"], kind="stable")
+    return stored(every, "secret-examples")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, spans ARRAY<STRUCT<kind, start, end, score>>``: base findings (score 1) and learned ones."""
     scanned = scan(docs, id_col, text_col)
-    sample = labelled_sample(scanned)
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample["shown"].tolist(), sample["known"].to_numpy()))
+    model = docs.sparkSession.sparkContext.broadcast(trained(labelled(scanned)))
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 

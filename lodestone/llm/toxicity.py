@@ -385,14 +385,15 @@ def fit(texts: Iterable[str], labels: np.ndarray, toxic_share: float | None = No
     return net
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic calibration a * x + b by Newton steps, with the usual smoothed targets."""
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+def _calibrated(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Logistic calibration a * x + b by Newton steps, with the usual smoothed targets; each example counts ``n`` times."""
+    n = np.ones(len(x)) if n is None else n
+    target = np.where(y == 1, ((n * y).sum() + 1) / ((n * y).sum() + 2), 1 / ((n * (1 - y)).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        grad = np.array([((p - target) * x).sum() + 1e-3 * (a - 1), (p - target).sum()])
+        w = n * np.maximum(p * (1 - p), 1e-6)
+        grad = np.array([(n * (p - target) * x).sum() + 1e-3 * (a - 1), (n * (p - target)).sum()])
         hess = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]]) + 1e-6 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         norm = float(np.abs(step).max())

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import secrets
@@ -259,3 +260,22 @@ def test_luhn(spark):
     got = spark.createDataFrame([(n,) for n in numbers], "n string").select(luhn(digits_of(F.col("n"))).alias("ok")).collect()
     assert [x.ok for x in got] == [passes_luhn(n) for n in numbers]
     assert KINDS == tuple(PII)
+
+
+def test_secrets_are_learnt_from_every_window(spark, monkeypatch):
+    r = np.random.Generator(np.random.PCG64(8))
+    draw = secrets._drawer(r)
+    keys, plain = ([m(draw) for m in list(kind.values()) * 40] for kind in (secrets.FORMATS, secrets.LOOKALIKES))
+    lines = [f"token = {k} end" for k in keys] + [f"we saw {p} there" for p in plain] + [f"hash {draw('0123456789abcdef', 32, 40)}" for _ in range(3100)]
+    docs = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "doc_id long, text string").repartition(4)
+    windows = secrets.labelled(secrets.scan(docs))
+    # More base windows than any sample of 3000 would hold.
+    assert windows.where("known").count() >= 3100 + len(keys)
+    monkeypatch.setattr(secrets, "EXAMPLES", 1500)
+    seen = secrets._lessons(windows, lambda lesson: pa.RecordBatch.from_arrays([pa.array([lesson.windows])], names=["n"]), 3, "n long")
+    sizes = [row.n for row in seen.collect()]
+    assert len(sizes) == 3 and sum(sizes) == windows.count()
+    net = secrets.trained(windows)
+    score = lambda value: net.probabilities(secrets.shown(f"we use {value} here", 7, 7 + len(value))).max() >= net.threshold
+    assert np.mean([score(secrets.FORMATS["mixed"](draw)) for _ in range(60)]) >= 0.9
+    assert np.mean([score(secrets.LOOKALIKES["path"](draw)) for _ in range(60)]) <= 0.1
