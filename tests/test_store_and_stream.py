@@ -78,6 +78,21 @@ def test_leaves_split_and_one_article_rewrites_one_small_leaf(spark, tmp_path):
     assert {r["v"] for r in after.table("chunks").where("article_slug = '77'").collect()} == {-1} and after.rows("chunks") == 1000
 
 
+def test_rows_that_lie_by_their_hash_are_not_shuffled(spark, tmp_path, monkeypatch):
+    path, parts = f"file://{tmp_path}/s", 7
+    lying = lambda rows: rows.repartitionById(parts, store.place(parts, *store.KEY))
+    ranges = rows_of(spark, 400).select(store.place(parts, *store.KEY).alias("p"), F.expr("lpad(bin(xxhash64(type, article_slug)), 64, '0')").alias("b")).orderBy("b").collect()
+    assert [r["p"] for r in ranges] == sorted(r["p"] for r in ranges) and {r["p"] for r in ranges} == set(range(parts))
+    frame = type(rows_of(spark, 1))
+    monkeypatch.setattr(frame, "hint", lambda self, name, *by: pytest.fail(f"{name} of rows that lie where they belong"))
+    s = store.create(spark, path, {"chunks": lying(rows_of(spark, 400))}, split_rows=40, placed=("chunks",))
+    assert slugs(s) == list(range(400)) and len(s.leaves) == 16
+    new = lying(rows_of(spark, 100, 350))
+    s = store.replace(s, {"chunks": store.Change(new, new.withColumn("v", -F.col("v")))}, placed=("chunks",))
+    assert {int(r["article_slug"]): r["v"] for r in s.table("chunks").collect()} == {k: -k if k >= 350 else k for k in range(450)}
+    assert all(s.read([leaf], "chunks").count() == leaf.rows for leaf in s.leaves)
+
+
 def test_readers_see_one_generation(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     first = store.create(spark, path, {"chunks": rows_of(spark, 20)})
