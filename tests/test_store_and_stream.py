@@ -10,7 +10,7 @@ from lodestone.operators import store
 from lodestone.operators.build import Recipe, build_index, index_frequencies, index_stats, keyed_postings, update_index
 from lodestone.operators.chunking import chunk_articles
 from lodestone.operators.embed import CallPolicy, embedded
-from lodestone.sources.files import article_names, read_articles, read_qa_cases, write_articles
+from lodestone.sources.files import article_names, read_articles, read_qa_cases, type_folders, write_articles
 from lodestone.sources.tables import scratch, temporary
 from lodestone.streaming import ingest
 
@@ -278,6 +278,20 @@ def test_names_of_files_are_decoded(spark, tmp_path):
     assert read_qa_cases(spark, f"{tmp_path}/cases").first()["article_type"] == "thuốc 1+%"
 
 
+def test_article_files_are_listed_by_folder(spark, tmp_path):
+    for folder in ("drug", "a[b]{c}"):
+        os.mkdir(f"{tmp_path}/{folder}")
+        for name in ("one.txt", "two.txt", "other.md"):
+            with open(f"{tmp_path}/{folder}/{name}", "w") as f:
+                f.write(f"{folder} {name}")
+    with open(f"{tmp_path}/stray.txt", "w") as f:
+        f.write("not below a type")
+    assert len(type_folders(spark, f"file://{tmp_path}")) == 2  # and not a path for each file
+    want = sorted((k, s, f"{k} {s}.txt") for k in ("drug", "a[b]{c}") for s in ("one", "two"))
+    assert sorted(tuple(r) for r in read_articles(spark, f"file://{tmp_path}").collect()) == want
+    assert sorted(tuple(r) for r in article_names(spark, f"file://{tmp_path}").collect()) == [w[:2] for w in want]
+
+
 def test_calls_are_tried_again_and_halved(spark, tmp_path):
     calls = tmp_path / "calls"
 
