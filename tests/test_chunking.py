@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.sections import guarded, recursive_split, split_sections, whitespace_tokens
+from lodestone.operators import chunking
 from lodestone.operators.chunking import article_chunks, chunk_articles, parsed_articles, within_cap
 
 ARTICLE = (
@@ -110,3 +111,19 @@ def test_citations(spark):
     assert [(p.kind, p.n) for p in found[0].p if p.kind == "cite"] == [("cite", 1), ("cite", 2)]
     assert "".join(p.value for p in found[0].p) == "a [1][2] b [9] [0]"
     assert found[1].p == [] and [p.kind for p in found[2].p] == ["text"]
+
+
+def test_a_large_input_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/articles"
+    article(spark, *["# T\n\n" + " ".join(str(1000 * k + j) for j in range(500)) for k in range(300)]).coalesce(1).write.parquet(path, compression="none")
+    monkeypatch.setattr(chunking, "PART_BYTES", 10_000)
+    dealt = chunking.dealt(spark.read.parquet(path))
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert dealt.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert sum(sizes) == 300 and max(sizes) < 30
+
+
+def test_stripped_takes_any_white_space_and_leaves_the_rest(spark):
+    texts = ["", " ", "a", " a b ", " a ", "\na\r\n\n", None, "a\x85"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.stripped(F.col("t")).alias("s")).orderBy("k")
+    assert [r["s"] for r in got.collect()] == ["", "", "a", "a b", "a", "a", None, "a"]
