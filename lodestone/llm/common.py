@@ -116,6 +116,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of few and narrow columns that one task takes, and tasks that take a table at least.
+TASK_ROWS, LEAST_TASKS = 250_000, 16
+
+
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of narrow rows and about ``rows`` of them, in no more tasks than these ask for.
+
+    What a join or a grouping leaves in all shuffle partitions is computed and written by few
+    tasks while it is small; the number of tasks grows with the rows.
+    """
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
 def text_or_empty(column: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

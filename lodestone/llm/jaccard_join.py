@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_map, sliced, stored, text_or_empty, whole_row
+from lodestone.llm.common import arrow_map, in_tasks, sliced, stored, text_or_empty, whole_row
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import Shingled, WordHashes, mixed
 
@@ -371,29 +371,31 @@ def _connected(members: DataFrame, limit: int, weight: str, edges_of: Callable[[
 
     ``edges_of`` takes parts (``part, a, size``) and gives spanning edges of each.
     """
-    cut = stored(_cut(members, limit, weight), "blocks")
-    bounds = stored(_bounds(cut), "block-bounds")
+    n = members.count()
+    cut = stored(in_tasks(_cut(members, limit, weight), n), "blocks")
+    bounds = stored(in_tasks(_bounds(cut), n), "block-bounds")
     # The middle block of each group meets all others.
     pivots = bounds.groupBy("grp").agg(F.percentile_approx("block", 0.5).alias("block"), F.count(F.lit(1)).alias("blocks"))
-    pivots = stored(pivots, "pivots")
+    pivots = stored(in_tasks(pivots, n), "pivots")
     first = _pairs(bounds, bounds.join(pivots.select("grp", "block"), ["grp", "block"]))
     edges = stored(edges_of(_parts(cut, _once(first, "block2"))), "block-edges")
     large = pivots.where("blocks > 1")
     if large.isEmpty():
         return edges
-    labels = connected_components(edges).withColumnRenamed("node", "a")
+    labels = stored(in_tasks(connected_components(edges).withColumnRenamed("node", "a"), n), "block-components")
+    stars = labels.where("a <> label").select("a", F.col("label").alias("b"))
     named = cut.join(large.select("grp", F.col("block").alias("pivot")), "grp").join(labels.hint("merge"), "a", "left")
-    named = stored(named.select("grp", "a", "size", "block", "pivot", "label"), "block-labels")
+    named = stored(in_tasks(named.select("grp", "a", "size", "block", "pivot", "label"), n), "block-labels")
     counted = named.where("label is not null").groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     placed = named.join(main, "grp", "left").where("block <> pivot")  # the pivots have met all
     inside = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
     rest = _cut(placed.where(~inside).select("grp", "a", "size"), limit, weight).withColumn("block", -1 - F.col("block"))
-    again = stored(rest.unionByName(placed.where(inside).select("grp", "a", "size", "block")), "blocks")
-    bounds = stored(_bounds(again), "block-bounds")
+    again = stored(in_tasks(rest.unionByName(placed.where(inside).select("grp", "a", "size", "block")), n), "blocks")
+    bounds = stored(in_tasks(_bounds(again), n), "block-bounds")
     apart = bounds.where("block < 0")
     pairs = _pairs(apart, bounds).where("block2 >= 0 or block >= block2")
-    return edges.unionByName(edges_of(_parts(again, _once(pairs, "block"))))
+    return stars.unionByName(edges_of(_parts(again, _once(pairs, "block"))))
 
 
 def _bits(bitmaps: list[bytes]) -> np.ndarray:
@@ -420,7 +422,7 @@ def bitmaps_pass(left: list[bytes], right: list[bytes], size_a: np.ndarray, size
 
 
 def spanning(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what a symmetric boolean matrix connects."""
+    """Edges that connect what a symmetric boolean matrix connects: one from each member to the first of its component."""
     n, edges = len(links), []
     waiting = np.ones(n, dtype=bool)
     for root in range(n):
@@ -432,7 +434,7 @@ def spanning(links: np.ndarray) -> list[tuple[int, int]]:
             k = queue.pop()
             found = np.flatnonzero(links[k] & waiting)
             waiting[found] = False
-            edges += [(k, int(f)) for f in found]
+            edges += [(root, int(f)) for f in found]
             queue += found.tolist()
     return edges
 
@@ -546,7 +548,7 @@ def candidate_edges(docs: DataFrame, described: DataFrame, sets: DataFrame, text
 
     # Both sides of these joins grow with the documents: sort-merge at every size.
     marked = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "size_a", "size_b", "map_a", "map_b")
-    short = arrow_map(marked, keep, "a long, b long")
+    short = arrow_map(in_tasks(marked, scanned.where("b is not null").count()), keep, "a long, b long")
     members = scanned.where("b is null").select(F.col("key").alias("grp"), "a", "size")
     maps = marks.select(F.col("sid").alias("a"), "bitmap").hint("merge")
     long = _connected(
@@ -569,16 +571,18 @@ def _rows_by_component(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     )
     clusters = connected_components(candidate_edges(docs, described, sets, text_col))
     # Two sets may have one sid; the exact check tells them apart by their digests.
-    members = stored(
-        sets.join(clusters, sets["sid"] == clusters["node"]).select(
-            F.col("label").alias("grp"), F.col("digest").alias("a"), "size", F.col("first.i").alias("__id"), F.col("first.text_key").alias("__text")
-        ),
-        "members",
+    members = sets.join(clusters.hint("merge"), sets["sid"] == clusters["node"]).select(
+        F.col("label").alias("grp"), F.col("digest").alias("a"), "size", F.col("first.i").alias("__id"), F.col("first.text_key").alias("__text")
     )
+    members = stored(in_tasks(members, sets.count()), "members")
     text = text_or_empty(text_col)
     wanted = members.select(F.col("a"), "__id", "__text")
     texts = docs.select(F.col(id_col).alias("__own"), text.alias("text")).withColumn("__key", F.xxhash64("text"))
-    found = texts.join(wanted.hint("merge"), (F.col("__key") == F.col("__text")) & F.col("__own").eqNullSafe(F.col("__id"))).select("a", "text")
+    # Stored: blocks are compared in two steps, and the texts of all documents are to be shuffled for one of them only.
+    found = stored(
+        texts.join(wanted.hint("merge"), (F.col("__key") == F.col("__text")) & F.col("__own").eqNullSafe(F.col("__id"))).select("a", "text"),
+        "member-texts",
+    )
     weight = f"greatest(size, {SET_BLOCK // MEMBER_BLOCK})"
     edges = _connected(
         members.select("grp", "a", "size"),
@@ -587,12 +591,10 @@ def _rows_by_component(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
         lambda parts: _exact_edges(parts.join(found.hint("merge"), "a").select("part", F.col("a").alias("digest"), "text")),
     )
     labels = connected_components(stored(edges, "links"))
-    return stored(
-        rows.join(labels, rows["digest"] == labels["node"], "left").select(
-            "id", "text_key", "size", F.coalesce("label", "digest").alias("component")
-        ),
-        "keyed",
+    keyed = rows.join(labels.hint("merge"), rows["digest"] == labels["node"], "left").select(
+        "id", "text_key", "size", F.coalesce("label", "digest").alias("component")
     )
+    return stored(in_tasks(keyed, rows.count()), "keyed")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from lodestone.llm import jaccard_join
+from lodestone.llm import components, jaccard_join
+from lodestone.llm.components import connected_components
 from lodestone.llm.jaccard_join import choose_boundary, jaccard_components, keep_one_of_each, prefix_length
 
 
@@ -116,3 +118,48 @@ def test_prefixes_and_boundary():
     assert [prefix_length(s) for s in (1, 3, 4, 8, 100)] == [1, 1, 2, 3, 26]
     assert choose_boundary({600: 10}, 5.0) == 2
     assert choose_boundary({4: 1000}, 100.0) >= 4
+
+
+def test_texts_of_all_documents_are_shuffled_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard_join, "SET_BLOCK", 600)
+    monkeypatch.setattr(jaccard_join, "MEMBER_BLOCK", 16)
+    own = [f"c{j}" for j in range(40)]
+    rows = [(k, " ".join([*own[: k % 40], f"v{k}", *own[k % 40 + 1 :]])) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    read, exact = [], jaccard_join._exact_edges
+    monkeypatch.setattr(jaccard_join, "_exact_edges", lambda parts: read.append(parts.inputFiles()) or exact(parts))
+    found = jaccard_components(spark.read.parquet(f"{tmp_path}/documents"))
+    assert sorted(tuple(x) for x in found.collect()) == brute(rows)
+    assert len(read) == 2  # the blocks of the large group are compared in two steps
+    assert not [f for files in read for f in files if str(tmp_path) in f]
+
+
+def test_a_step_of_the_components_has_few_shuffles(spark, monkeypatch):
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(50, 90)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(150)]
+    edges += [(500, 501), (501, 500), (7, 7), (None, 3)]
+    label = {k: k for e in edges for k in e if k is not None and e[0] is not None and e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    plans, kept = [], components.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(components, "stored", watched)
+    given = spark.createDataFrame(edges, "a long, b long")
+    assert dict(tuple(x) for x in connected_components(given).collect()) == label
+    assert len(plans) > 1
+    for plan in plans[1:]:
+        # Dealt by the node twice, for a minimum and for its edges, then made distinct (Spark reads equal branches once).
+        assert plan.count("Exchange") <= 7
+
+
+def test_spanning_edges_start_at_the_first_member():
+    links = np.zeros((6, 6), dtype=bool)
+    for i, j in ((1, 2), (2, 4), (4, 5)):
+        links[i, j] = links[j, i] = True
+    assert sorted(jaccard_join.spanning(links)) == [(1, 2), (1, 4), (1, 5)]
