@@ -226,6 +226,22 @@ def test_article_files_out_of_order_restart_and_removal(spark, tmp_path):
     assert contents(ix.opened(spark, f"{base}/index")) == contents(ix.opened(spark, f"{base}/again"))
 
 
+def test_batches_of_files_grow_with_the_index(spark, tmp_path, monkeypatch):
+    base, now = f"file://{tmp_path}", 1_700_000_000
+    monkeypatch.setattr(ingest, "FILES_PER_BATCH", 2)
+    for name, n, generations in (("large", 40, 1), ("small", 6, 3)):
+        build_index(articles(spark, *[("d", f"s{k}", body(f"s{k}", "x")) for k in range(n)]), f"{base}/{name}", connect, 2, policy=QUICK)
+        for k in range(6):
+            put(tmp_path / f"in-{name}" / "1", "d", f"s{k}", body(f"s{k}", "y"), now + k)
+        if name == "large":  # neither lies as an article does
+            put(tmp_path / f"in-{name}", "1", "stray", body("stray", "y"), now)
+            put(tmp_path / f"in-{name}" / "1" / "d", "deep", "er", body("er", "y"), now)
+        ingest.ingest_files(spark, f"{base}/in-{name}/*", f"{base}/{name}", f"{base}/run-{name}", recipe())
+        s = ix.opened(spark, f"{base}/{name}")
+        assert s.generation == 1 + generations
+        assert s.rows("articles") == n and s.table("chunks").where("text like '%body y%'").count() == 6
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     base = f"file://{tmp_path}"
     build_index(articles(spark, ("d", "a", body("a", "x"))), f"{base}/index", connect, 2, policy=QUICK)
