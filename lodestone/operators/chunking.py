@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.sections import PART, parts_column, sections, whitespace_tokens
-from lodestone.functions.text import after_url, chunk_id, parse_lines, unix_lines, with_context, word_count
+from lodestone.functions.text import after_url, chunk_id, context_header, parse_lines, unix_lines, with_context, word_count
 from lodestone.operators.store import place
 
 MAX_TOKENS = 400
@@ -60,32 +60,42 @@ def article_chunks(
 ) -> DataFrame:
     """Chunks of every article with the number of their ``section``; some may be above the cap.
 
-    A section above ``max_tokens`` is split into parts numbered ``i/n``. Sections and parts
-    are one array per article, whose places number the chunks, so nothing is shuffled.
+    A section above ``max_tokens`` is split into parts numbered ``i/n``. Sections are one array per article, which
+    knows each one's first chunk, so nothing is shuffled. A header is repeated only in the rows that it is written to.
     ``counter`` and ``count_column`` are the same token count, per text and as a column.
     """
     batch_bytes = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(articles.sparkSession.conf.get(batch_bytes).rstrip("b")) > BATCH_BYTES:
         articles.sparkSession.conf.set(batch_bytes, str(BATCH_BYTES))
     parts = parts_column(F.col("title"), F.col("url"), F.col("body"), max_tokens, counter)
-    rows = parsed_articles(dealt(articles)).select("article_type", "article_slug", "url", "title", F.posexplode(parts).alias("chunk_idx", "s"))
-    number = F.when(F.col("s.parts") > 0, F.concat_ws("/", F.col("s.part").cast("string"), F.col("s.parts").cast("string")))
+    own = ("article_type", "article_slug", "url", "title")
+    found = parsed_articles(dealt(articles)).select(*own, F.explode(parts).alias("s")).select(*own, "s.*")
+    adds_up = getattr(count_column, "adds_up", False)
+    if adds_up:
+        # The header is counted once for all parts of a section, and what their numbers add to it is known.
+        found = found.withColumn("head_count", count_column(context_header(F.col("title"), F.col("breadcrumb"), F.col("url"))))
+    rows = found.select(*[c for c in found.columns if c != "contents"], F.posexplode("contents").alias("nth", "content"))
+    chunk_idx = F.col("first") + F.col("nth")
+    number = F.when(F.col("parts") > 0, F.concat_ws("/", (F.col("nth") + 1).cast("string"), F.col("parts").cast("string")))
     suffix = F.when(number.isNotNull(), F.concat(F.lit(f" ({PART} "), number, F.lit(")"))).otherwise(F.lit(""))
-    crumb = F.when(F.col("s.breadcrumb") != "", F.concat("s.breadcrumb", suffix)).otherwise(F.trim(suffix))
-    full = with_context(F.col("title"), crumb, F.col("url"), F.col("s.content"))
+    crumb = F.when(F.col("breadcrumb") != "", F.concat("breadcrumb", suffix)).otherwise(F.trim(suffix))
+    full = with_context(F.col("title"), crumb, F.col("url"), F.col("content"))
+    # "(part i/n)" is two words, and "| section:" two more where the header has no breadcrumb without it.
+    more = F.when(F.col("parts") == 0, 0).when(F.col("breadcrumb") != "", 2).otherwise(4)
+    token_count = F.col("head_count") + more + count_column(F.col("content")) if adds_up else count_column(full)
     return rows.select(
-        chunk_id(F.col("article_type"), F.col("article_slug"), F.col("chunk_idx")).alias("id"),
+        chunk_id(F.col("article_type"), F.col("article_slug"), chunk_idx).alias("id"),
         F.col("article_type").alias("type"),
         "article_slug",
         F.col("title").alias("article_title"),
         F.col("url").alias("article_url"),
-        F.col("s.breadcrumb").alias("section_path"),
+        F.col("breadcrumb").alias("section_path"),
         full.alias("text"),
-        count_column(full).alias("token_count"),
+        token_count.alias("token_count"),
         number.alias("split_part"),
-        "chunk_idx",
-        F.col("s.section").alias("section"),
-        F.col("s.content").alias("content"),
+        chunk_idx.alias("chunk_idx"),
+        "section",
+        "content",
     )
 
 

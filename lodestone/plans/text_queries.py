@@ -63,7 +63,8 @@ def guarded_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose chunks all hold the cap, with their number of whole sections, and the failed ones."""
-    good, failed = within_cap(materialised(chunk_articles(articles(spark, sf_dir), fail=False), "capped"))
+    counted = chunk_articles(articles(spark, sf_dir), fail=False).select("type", "article_slug", "token_count", "split_part")
+    good, failed = within_cap(materialised(counted, "capped"))
     whole = good.groupBy("type", "article_slug").agg(F.count_if(F.col("split_part").isNull()).alias("whole_sections"))
     return whole.withColumn("ok", F.lit(True)).unionByName(
         failed.select("type", "article_slug", F.lit(None).cast("long").alias("whole_sections"), F.lit(False).alias("ok"))

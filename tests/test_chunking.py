@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.sections import guarded, recursive_split, split_sections, whitespace_tokens
+from lodestone.functions.sections import article_parts, guarded, recursive_split, split_sections, whitespace_tokens
 from lodestone.operators import chunking
 from lodestone.operators.chunking import article_chunks, chunk_articles, parsed_articles, within_cap
 
@@ -81,6 +81,29 @@ def test_articles_above_the_cap_are_listed_and_the_others_stay(spark):
     assert "Exchange" not in plan
 
 
+def test_a_long_header_is_kept_and_counted_once_for_all_parts(spark):
+    # Below a header above the cap the text is split down to letters: thousands of parts with a header of thousands of characters each.
+    head, words = " ".join(f"header{k}" for k in range(600)), " ".join(f"word{k:04d}" for k in range(1000))
+    asked = []
+
+    def count(text):
+        asked.append(len(text))
+        return whitespace_tokens(text)
+
+    count.adds_up = True
+    body = f"lead\n## {head}\n{words}\n## B\n{words}"
+    found = article_parts("T", "U", body, 400, count)
+    assert sum(asked) < 100 * len(body) and sum(len(x) for s in found for x in (s[1], *s[4])) < 2 * len(body)
+    assert found == article_parts("T", "U", body, 400, lambda text: len(text.split()))  # by whole texts
+    assert [(s[0], s[2], s[3]) for s in found] == [(0, 0, 0), (1, 1, len(found[1][4])), (2, 1 + len(found[1][4]), len(found[2][4]))] and len(found[1][4]) > 8000
+    chunks = chunk_articles(article(spark, f"# SOURCE_URL: U\n# T\n{body}", "# SOURCE_URL: U\n# T\n" + words), fail=False)
+    wrong = chunks.where((F.col("token_count") != T.word_count(F.col("text"))) | (F.col("id") != T.chunk_id(F.col("type"), F.col("article_slug"), F.col("chunk_idx"))))
+    assert wrong.count() == 0 and chunks.where("split_part is not null and section_path = ''").count() > 1
+    first = chunks.where("article_slug = 's0'")
+    assert [r.chunk_idx for r in first.select("chunk_idx").orderBy("chunk_idx").collect()] == list(range(sum(len(s[4]) for s in found)))
+    assert sorted((r.article_slug, r.most_tokens) for r in within_cap(chunks)[1].collect()) == [("s0", 600 + 11)]
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         T.normalised(F.lit(" **a**\u00a0 b\n")).alias("norm"),
